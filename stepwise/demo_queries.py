@@ -73,3 +73,190 @@ REGISTRY = {
     "units_at_step": q_units_at_step,
     "sequence_gaps": q_sequence_gaps,
 }
+
+
+# ----------------------------------------------------------------------------- J06
+
+def q_last_reading_per_run(spark, sf_dir):
+    """Orders as runs on their customer's nation station; line items as sensor readings sharded by
+    the supplier's region; urgent orders are already in the target."""
+    from datetime import timedelta
+
+    from stepwise.plans.runs import last_reading_per_run
+    configure(spark)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    runs = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderkey").alias("id_growing_run"),
+        F.col("c_nationkey").alias("id_station"), F.col("o_orderdate").alias("start_time"),
+        F.timestamp_add("DAY", F.lit(60), F.col("o_orderdate")).alias("end_time"),
+        (F.col("o_totalprice") - 100000).alias("run_duration"))
+    n = table(spark, sf_dir, "nation")
+    stations = n.select(F.col("n_nationkey").alias("id_station"),
+                        F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("data_table"))
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    sensor = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == n.n_nationkey).select(
+        F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("data_table"),
+        F.col("l_shipdate").alias("timestamp"), F.col("l_orderkey").alias("id_run"),
+        F.struct(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.col("l_returnflag")).alias("id_value"),
+                 F.col("l_orderkey").cast("string").alias("id_run_growth")).alias("pyrometer"))
+    done = o.filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("id_run_growth"))
+    return last_reading_per_run(runs, stations, sensor, done, ORDERS_AS_OF,
+                                before=timedelta(days=60), after=timedelta(days=30))
+
+
+# ----------------------------------------------------------------------------- J07
+
+def q_config_at_run(spark, sf_dir):
+    """Purchases as growing runs; every other event of the same user is a configuration record."""
+    from stepwise.functions.rules import Alias
+    from stepwise.plans.runs import config_at_run
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    runs = e.filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("id_run_growth"), F.col("event_id").alias("id_growing_run"),
+        F.col("user_id").alias("id_station"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("station_name"),
+        F.col("ts").alias("start_time"))
+    config = e.filter(F.col("event_type") != "purchase").select(
+        F.col("event_id").alias("id_run"), F.col("user_id").alias("id_station"), F.col("ts").alias("start_time"),
+        F.when(F.col("value") > 100, "high").otherwise("low").alias("step_name"),
+        F.col("event_type").alias("step_parameter"), F.col("props").alias("step_data"))
+    aliases = [Alias("Clicks", values=["click"]), Alias("Views", like=["vi%"])]
+    cols = [("clicks", "Clicks"), ("views", "Views"), ("signups", "signup"), ("errors", ["error"])]
+    return config_at_run(runs, config, cols, aliases=aliases, width=500)
+
+
+# ----------------------------------------------------------------------------- J08
+
+def q_measure_over(spark, sf_dir):
+    from stepwise.plans.runs import measure_over
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    hist = e.select(F.col("user_id").alias("id_block"), F.col("event_type").alias("process_name"),
+                    F.when(F.col("value") > 300, "other").otherwise("k").alias("step_parameter"),
+                    F.when(F.col("value") < 1, "n/a").otherwise(F.regexp_extract("props", "([0-9]+)", 1)).alias("data"),
+                    F.col("ts").alias("timestamp"), F.col("event_id").alias("id_run"))
+    return measure_over(hist, ["click", "view", "signup"], "k", 40, EVENTS_AS_OF, days=30)
+
+
+# ----------------------------------------------------------------------------- J09
+
+def q_runs_missing_metric(spark, sf_dir):
+    from stepwise.plans.runs import runs_missing_metric
+    configure(spark)
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    blocks = li.select(F.col("l_partkey").alias("id_block"), F.col("l_orderkey").alias("id_run_growth"),
+                       F.col("l_quantity").alias("new_thickness"),
+                       F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("pre_thickness"),
+                       (F.col("l_extendedprice") / 1000).alias("abs_clean_area_rect_210"))
+    runs = o.select(F.col("o_orderkey").alias("id_run_growth"), (F.col("o_totalprice") / 1000).alias("run_duration"),
+                    F.col("o_orderpriority").alias("hardware_platform"), F.col("o_orderdate").alias("end_time"),
+                    F.col("o_orderstatus").alias("growing_location_name"))
+    d, p = F.col("run_duration"), F.col("hardware_platform")
+    classes = [((d >= 300) & p.like("1-%"), "Gem"), ((d >= 350) & p.like("2-%"), "Gem"), ((d >= 100) & (d < 200), "Plate")]
+    return runs_missing_metric(blocks, runs, classes, ORDERS_AS_OF, days=30, before_date="2001-07-25",
+                               location="O", tz=TZ)
+
+
+# ----------------------------------------------------------------------------- J11
+
+def q_flag_review(spark, sf_dir):
+    from stepwise.plans.runs import flag_review
+    configure(spark)
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    summary = li.groupBy(F.col("l_orderkey").alias("id_run_growth")).agg(
+        F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("char_block_count_240"))
+    runs = o.select(F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderdate").alias("end_time"),
+                    F.timestamp_add("DAY", F.lit(-10), F.col("o_orderdate")).alias("start_time"),
+                    (F.col("o_totalprice") / 1000).alias("run_duration"),
+                    F.when(F.col("o_orderstatus") == "O", "Production").otherwise("R&D").alias("loading_purpose"))
+    flags = o.select(F.col("o_orderkey").alias("id_run_growth"),
+                     F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Flagged").otherwise("No Excursions")
+                     .alias("excursion_types"))
+    events = li.select(F.col("l_orderkey").alias("id_run_growth"), F.col("l_shipdate").alias("timestamp"))
+    ids = o.filter(F.col("o_totalprice") > 100000).select("o_orderkey")
+    reviewed = o.filter(F.col("o_totalprice") > 400000).select("o_orderkey")
+    return flag_review(summary, runs, flags, events, ids, reviewed, ORDERS_AS_OF, days=90)
+
+
+# ----------------------------------------------------------------------------- J12
+
+def striation_inputs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    runs = e.groupBy(F.col("user_id").alias("id_run_growth")).agg(
+        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
+        F.when(F.min("value") < 1, "Test").otherwise("Production").alias("loading_purpose"))
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
+    ge = e.select(F.col("user_id").cast("string").alias("id_run_growth"), F.col("ts").alias("timestamp"),
+                  (F.col("value") / 400).alias("range_incident_power"), (F.col("value") / 200).alias("range_chamber_pressure"),
+                  (F.col("value") * 30).alias("range_reflected_power"), (k / 2).alias("range_ppb_n2"))
+    return ge, runs
+
+
+def striation_events(spark, sf_dir):
+    from stepwise.plans.runs import classify_events
+    ge, runs = striation_inputs(spark, sf_dir)
+    ip, cp, rp = F.col("range_incident_power"), F.col("range_chamber_pressure"), F.col("range_reflected_power")
+    rules = [(ip > 0.8, "incident_power_event"), (cp > 1, "chamber_pressure_event"), (rp > 6800, "reflected_power_event")]
+    keep = (((ip > 0.8) & (rp > 6800)) | (cp > 1)) & (F.col("range_ppb_n2") < 45)
+    return classify_events(ge, runs, rules, "vsp_counter_event", keep)
+
+
+def q_classify_events(spark, sf_dir):
+    configure(spark)
+    return striation_events(spark, sf_dir)
+
+
+# ----------------------------------------------------------------------------- J13
+
+def q_label_audit(spark, sf_dir):
+    from stepwise.plans.runs import label_audit
+    configure(spark)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    units = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("id_tray"),
+                     F.col("o_orderpriority").alias("tray_name"))
+    dims = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("latest_id_run_growth"),
+                    F.col("o_totalprice").alias("post_hep_bake_weight"),
+                    F.when(F.col("o_orderstatus") == "P", "flag").alias("custom_workflow"))
+    growth = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("id_run_growth"),
+                      F.when(F.col("o_totalprice") >= 50000, F.col("o_totalprice") / 1000).alias("final_clean_vol_cm3"))
+    trays = c.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    ev = striation_events(spark, sf_dir)
+    reasons = [(F.col("end_time") < F.lit("2024-01-10").cast("timestamp_ntz"), "Before ECN"),
+               (F.col("hour_til_end") < 48, "close to end"),
+               (F.col("final_clean_vol_cm3").isNull(), "No Charx"),
+               (F.col("loading_purpose") != "Production", "Not Production"),
+               (F.col("custom_workflow").isNotNull(), "Flagged but missed")]
+    return label_audit(units, dims, growth, ev, trays, reasons, exclude_tray_like="%LOW%")
+
+
+# ----------------------------------------------------------------------------- J19
+
+def q_change_impact(spark, sf_dir):
+    from stepwise.plans.runs import change_impact
+    configure(spark)
+    e, c, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    changes = e.select(F.col("event_id").alias("id_run"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("station_name"),
+                       F.col("ts").alias("start_time"), F.col("user_id").alias("id_station"),
+                       F.col("event_type").alias("step_parameter"),
+                       F.when(F.col("value") < 1, "n/a").otherwise(F.col("value").cast("string")).alias("step_data"))
+    edges = c.select(F.col("c_custkey").alias("source_id_station"), F.col("c_nationkey").alias("target_id_station"))
+    stations = n.select(F.col("n_nationkey").alias("id_station"), F.col("n_name").alias("station_name"))
+    p = e.filter(F.col("event_type") == "purchase")
+    runs = p.join(c, p.user_id == c.c_custkey).select(
+        F.col("event_id").alias("id_run_growth"), F.col("value").alias("mean_growth_rate"),
+        F.col("c_nationkey").alias("id_station"), F.timestamp_add("DAY", F.lit(-2), F.col("ts")).alias("start_time"),
+        F.col("ts").alias("end_time"))
+    out = change_impact(changes, edges, stations, runs, since=datetime(2024, 1, 2), id_width=500, time_width=86400)
+    return out.withColumn("change_of_n2", F.round("change_of_n2", 6))
+
+
+REGISTRY.update({
+    "last_reading_per_run": q_last_reading_per_run,
+    "config_at_run": q_config_at_run,
+    "measure_over": q_measure_over,
+    "runs_missing_metric": q_runs_missing_metric,
+    "flag_review": q_flag_review,
+    "classify_events": q_classify_events,
+    "label_audit": q_label_audit,
+    "change_impact": q_change_impact,
+})
