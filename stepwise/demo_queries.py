@@ -100,7 +100,7 @@ def q_last_reading_per_run(spark, sf_dir):
         F.struct(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.col("l_returnflag")).alias("id_value"),
                  F.col("l_orderkey").cast("string").alias("id_run_growth")).alias("pyrometer"))
     done = o.filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("id_run_growth"))
-    return last_reading_per_run(runs, stations, sensor, done, ORDERS_AS_OF,
+    return last_reading_per_run(runs, stations, sensor, done, ORDERS_AS_OF, window=timedelta(days=365),
                                 before=timedelta(days=60), after=timedelta(days=30))
 
 
@@ -260,3 +260,243 @@ REGISTRY.update({
     "label_audit": q_label_audit,
     "change_impact": q_change_impact,
 })
+
+
+# ----------------------------------------------------------------------------- J03
+
+SEGMENT_ROWS = [("AF0", "Coring"), ("AO0", "Coring"), ("NF0", "TDL"), ("NO0", "TDL"), ("RF0", "Shave/Trim"),
+                ("RO0", "Shave/Trim")]
+SEGMENT_SPLITS = {
+    "Shave/Trim": ([(["RF0001", "RO0001"], "Trim"), (["RF0002", "RO0002"], "Shave")], "Shave/Trim Buffer and Char"),
+    "TDL": ([(["NF0001", "NO0001"], "TDL"), (["NF0002", "NF0003", "NO0002", "NO0003"], "Split")], "TDL/Split"),
+}
+SEGMENT_RENAMES = {"Coring": "Core", "TDL": "TDL", "Split": "Split", "TDL/Split": "TDL/Split", "Trim": "Trim",
+                   "Shave": "Shave", "Shave/Trim Buffer and Char": "Trim / Shave"}
+
+
+def lineitem_step_log(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("id_block"),
+                     F.concat("l_returnflag", "l_linestatus", F.lpad(F.col("l_linenumber").cast("string"), 4, "0")).alias("step_name"),
+                     F.when(F.col("l_tax") > 0, F.lit("x")).alias("step_name_next"),
+                     (F.col("l_quantity") * 3600).alias("cycle_time"),
+                     F.when(F.col("l_discount") == 0, "Software Test").otherwise("Prod").alias("material_type_in"),
+                     F.col("l_shipdate").alias("end_time"))
+
+
+def q_segment_cycle_time(spark, sf_dir):
+    from stepwise.operators.grids import inline_rows
+    from stepwise.plans.cycle import segment_cycle_time, shipped_cohort
+    configure(spark)
+    o = table(spark, sf_dir, "orders")
+    plates = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_orderkey").alias("id_final_plate_shipment"),
+                      F.col("o_orderdate").alias("timestamp"))
+    shipments = o.select(F.col("o_orderkey").alias("id_final_plate_shipment"), F.col("o_orderpriority").alias("size_family"),
+                         F.col("o_orderstatus").alias("surface_finish"),
+                         F.substring("o_orderpriority", 1, 1).alias("output_category"))
+    blocks = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("parent_id_block"))
+    cohort = shipped_cohort(plates, shipments, blocks, ORDERS_AS_OF, days=90, tz=TZ)
+    segs = inline_rows(spark, SEGMENT_ROWS, "segment_id string, segment_name string")
+    return segment_cycle_time(lineitem_step_log(spark, sf_dir), cohort, segs, ORDERS_AS_OF,
+                              splits=SEGMENT_SPLITS, renames=SEGMENT_RENAMES)
+
+
+# ----------------------------------------------------------------------------- J10
+
+def q_add_struct_field(spark, sf_dir):
+    from stepwise.plans.imports import add_struct_field
+    configure(spark)
+    c = table(spark, sf_dir, "customer")
+    df = c.select("c_custkey", F.struct(F.col("c_name").alias("Growth_ID"),
+                                        F.col("c_mktsegment").alias("id_tray1")).alias("customFieldValues"))
+    out = add_struct_field(df, "customFieldValues", "MFG_GrowthID", "string",
+                           order=["Growth_ID", "id_tray1", "MFG_GrowthID"])
+    names = ",".join(f.name for f in out.schema["customFieldValues"].dataType.fields)
+    return out.select("c_custkey", F.col("customFieldValues.Growth_ID").alias("cf_growth_id"),
+                      F.col("customFieldValues.id_tray1").alias("cf_id_tray1"),
+                      F.col("customFieldValues.MFG_GrowthID").alias("cf_mfg_growth_id"),
+                      F.lit(names).alias("cf_fields"))
+
+
+# ----------------------------------------------------------------------------- J14 J15 J16
+
+def sheet_rows(spark, sf_dir) -> DataFrame:
+    """An untyped sheet export built from orders and customers, with its header row."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    name = (F.when(F.col("o_orderpriority") == "5-LOW", F.lit("?"))
+            .when((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), F.lit(None))
+            .otherwise(F.concat(F.lit("CUSTOMER "), F.substring("c_name", 10, 9))))
+    fields = {
+        0: F.col("o_orderkey").cast("string"),
+        2: F.when(F.col("o_orderpriority").like("1%"), F.concat(F.lit("Back End "), F.col("o_orderpriority")))
+            .otherwise(F.col("o_orderpriority")),
+        3: F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")),
+        4: F.col("o_custkey").cast("string"),
+        5: F.col("o_orderstatus"),
+        6: F.col("o_orderpriority"),
+        7: F.when(F.col("o_totalprice") < 20000, F.lit("TBD")).otherwise(F.date_format("o_orderdate", "M/d/yy")),
+        12: F.concat(F.lit("wc-"), F.col("o_orderkey").cast("string")),
+        13: F.concat(F.lit("f-"), F.col("o_custkey").cast("string")),
+        16: name,
+        18: F.col("c_mktsegment"),
+    }
+    cols = [(fields.get(i, F.lit(None).cast("string"))).alias(f"string_field_{i}") for i in range(19)]
+    data = j.select(*cols)
+    header = spark.createDataFrame([tuple(["Item"] + [f"h{i}" for i in range(1, 19)])],
+                                   ", ".join(f"string_field_{i} string" for i in range(19)))
+    return header.unionByName(data)
+
+
+def imported_docs(spark, sf_dir):
+    from stepwise.plans.imports import import_sheet
+    return import_sheet(sheet_rows(spark, sf_dir), ORDERS_AS_OF, tz=TZ)
+
+
+def q_import_sheet(spark, sf_dir):
+    configure(spark)
+    return imported_docs(spark, sf_dir)
+
+
+def q_resolve_people(spark, sf_dir):
+    from stepwise.plans.imports import resolve_people
+    configure(spark)
+    c = table(spark, sf_dir, "customer")
+    users = c.select(F.col("c_custkey").alias("id_user"), F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
+                     F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"))
+    aliases = {"CUSTOMER 000000007": "Customer 000000008", "CUSTOMER 000000011": "nobody here"}
+    return resolve_people(sheet_rows(spark, sf_dir), users, aliases=aliases)
+
+
+def q_explode_list(spark, sf_dir):
+    from stepwise.plans.imports import document_locations
+    configure(spark)
+    p = table(spark, sf_dir, "part")
+    released = p.select(F.col("p_partkey").cast("string").alias("Part_Number"), F.col("p_name").alias("Site"))
+    return document_locations(released, imported_docs(spark, sf_dir), sep=" ")
+
+
+# ----------------------------------------------------------------------------- J17 J18
+
+def q_tray_shipments(spark, sf_dir):
+    from stepwise.plans.audits import tray_shipments
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem")
+    trays = li.select(F.col("l_orderkey").alias("id_run"), F.col("l_shipdate").alias("timestamp"),
+                      F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("station_name"),
+                      F.when(F.col("l_returnflag") == "R", "External Slicing Vendor")
+                      .when(F.col("l_returnflag") == "A", "External Slicing Buffer").otherwise("Internal").alias("station_type_name"),
+                      F.col("l_partkey").alias("id_block"), F.col("l_quantity").alias("length"),
+                      F.col("l_extendedprice").alias("width"), F.col("l_discount").alias("thickness"),
+                      F.col("l_tax").alias("weight"), F.col("l_linestatus").alias("tray_name"),
+                      F.col("l_linenumber").alias("load_order"))
+    return tray_shipments(trays, ["External Slicing Buffer", "External Slicing Vendor"], ORDERS_AS_OF, days=90)
+
+
+def q_audit_absent(spark, sf_dir):
+    from stepwise.plans.audits import audit_absent
+    configure(spark)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    children = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("parent_id_block"),
+                        F.col("o_orderdate").alias("timestamp"))
+    dims = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_orderpriority").alias("batch_origin"),
+                    F.col("o_orderstatus").alias("job_number"))
+    trays = c.select(F.col("c_custkey").alias("id_block"), F.col("c_mktsegment").alias("station_name"),
+                     F.col("c_name").alias("location_name"),
+                     F.timestamp_add("DAY", F.col("c_nationkey"), F.lit("2000-01-01").cast("timestamp_ntz")).alias("timestamp"))
+    log = o.select(F.col("o_custkey").alias("id_block"), F.col("o_orderstatus").alias("step_name_next"))
+    return audit_absent(children, dims, trays, log, "P", ORDERS_AS_OF, origin_like="%URGENT%", days=365)
+
+
+# ----------------------------------------------------------------------------- J23 J27
+
+WORK_ORDER_CONSTANTS = {"maintenance_type": 11, "priority": 22, "requested_by": 33, "status": 44}
+
+
+def q_work_order_requests(spark, sf_dir):
+    from stepwise.plans.audits import work_order_requests
+    configure(spark)
+    o = table(spark, sf_dir, "orders")
+    runs = o.filter(F.col("o_totalprice") > 300000).select(
+        F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderpriority").alias("station_name"),
+        F.col("o_custkey").alias("RD"), (F.col("o_totalprice") / 7.0).alias("Max_Q_diff"),
+        (F.col("o_totalprice") / 13.0).alias("prev_Max_Q_diff"), F.col("o_custkey").alias("intSiteID"),
+        (F.col("o_orderkey") + 1000).alias("fiix_asset_id"))
+    return work_order_requests(runs, WORK_ORDER_CONSTANTS)
+
+
+NEW_DIMENSION_ROWS = [("s1", "Prep", "Block"), ("s2", "Prep", "Block"), ("s3", "Cut|parent", "Block"),
+                      ("s4", "Cut|child", "Plate"), ("s5", "Finish", "Plate")]
+
+
+def q_append_dimension(spark, sf_dir):
+    from stepwise.operators.grids import ordered_dim
+    from stepwise.plans.audits import append_dimension
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    steps = e.groupBy(F.col("event_type").alias("step_name")).agg(F.count(F.lit(1)).alias("_n"))
+    target = ordered_dim(steps, "step_name", 1, "pos").select(
+        "step_name", F.concat(F.lit("seg|"), F.col("step_name")).alias("segment_name"), F.col("pos").cast("int").alias("pos"),
+        F.lit("Block").alias("unit"), F.lit("events").alias("flow_name_in"))
+    return append_dimension(spark, target, NEW_DIMENSION_ROWS, "step_name string, segment_name string, unit string",
+                            start_pos=301, constants={"flow_name_in": "1x1-demo"})
+
+
+# ----------------------------------------------------------------------------- S02 S09 F11 F15
+
+def q_shard_scan(spark, sf_dir):
+    import uuid
+
+    from stepwise.session import checkpoint_dir
+    from stepwise.sources.tables import read_shards, write_shards
+    configure(spark)
+    root = checkpoint_dir(spark, allow_local_default=True)
+    path = f"{root.rstrip('/')}/stepwise_shards/{uuid.uuid4().hex}"
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    write_shards(li, path, "l_returnflag")
+    return read_shards(spark, path, "l_returnflag", ["A", "R"]).select("l_orderkey", "l_linenumber", "l_quantity",
+                                                                       "l_returnflag")
+
+
+def q_delete_by_key(spark, sf_dir):
+    from stepwise.sources.sinks import delete_keys
+    configure(spark)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    target = o.select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("o_custkey"),
+                      "o_orderstatus")
+    keys = c.filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    return delete_keys(target, keys, "o_custkey")
+
+
+def q_week_label(spark, sf_dir):
+    from stepwise.functions.timeops import local_wall, shift, year_week_u
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "ts", year_week_u(shift(local_wall("ts", TZ), 7, "DAY")).alias("week_label"))
+
+
+def q_strict_least(spark, sf_dir):
+    from stepwise.functions.nullops import strict_greatest, strict_least
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem")
+    d = F.when(F.col("l_discount") != 0, F.col("l_discount"))
+    t = F.when(F.col("l_tax") != 0, F.col("l_tax"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", strict_least(d, t).alias("least_dt"),
+                     strict_greatest(d, t).alias("greatest_dt"))
+
+
+REGISTRY.update({
+    "segment_cycle_time": q_segment_cycle_time,
+    "add_struct_field": q_add_struct_field,
+    "import_sheet": q_import_sheet,
+    "resolve_people": q_resolve_people,
+    "explode_list": q_explode_list,
+    "tray_shipments": q_tray_shipments,
+    "audit_absent": q_audit_absent,
+    "work_order_requests": q_work_order_requests,
+    "append_dimension": q_append_dimension,
+    "shard_scan": q_shard_scan,
+    "delete_by_key": q_delete_by_key,
+    "week_label": q_week_label,
+    "strict_least": q_strict_least,
+})
