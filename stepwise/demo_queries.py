@@ -500,3 +500,235 @@ REGISTRY.update({
     "week_label": q_week_label,
     "strict_least": q_strict_least,
 })
+
+
+# ----------------------------------------------------------------------------- J20 J21 J22
+
+def event_history(spark, sf_dir) -> DataFrame:
+    """Events as a measurement history: one run per user-day, parameter = event type."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("id_block"), F.col("event_id").alias("id_block_run"),
+                    F.date_format("ts", "yyyyMMdd").cast("bigint").alias("id_run"), F.col("ts").alias("timestamp"),
+                    F.when(F.col("value") > 50, "ProcA").otherwise("ProcB").alias("process_name"),
+                    F.lit("st").alias("step_name"), F.col("event_type").alias("step_parameter"),
+                    F.col("props").alias("data"),
+                    F.when(F.col("value") > 400, "WS").otherwise("WA").alias("location_name"))
+
+
+def q_backfill_latest(spark, sf_dir):
+    from stepwise.plans.backfill import HISTORY_COLUMNS, backfill_latest
+    configure(spark)
+    hist = event_history(spark, sf_dir)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    run_blocks = o.select(F.col("o_custkey").alias("id_block"), F.col("o_orderkey").alias("id_run_growth"))
+    ids = c.filter(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
+    target = hist.filter(F.col("step_parameter") == "view").select(*HISTORY_COLUMNS, F.lit(-1).cast("bigint").alias("last_growth"))
+    return backfill_latest(target, hist, run_blocks, ids, ["ProcA"], exclude_location="WS")
+
+
+def q_merge_fill_null(spark, sf_dir):
+    from stepwise.plans.backfill import merge_fill_null
+    configure(spark)
+    c, e = table(spark, sf_dir, "customer"), table(spark, sf_dir, "events")
+    target = c.select(F.col("c_custkey").alias("id_block"),
+                      F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("longest_dim"))
+    hist = e.select(F.col("user_id").alias("id_block"), F.col("event_id").alias("id_run"),
+                    F.col("event_type").alias("step_parameter"),
+                    F.when(F.col("value") < 5, "bad").otherwise(F.col("value").cast("string")).alias("data"))
+    return merge_fill_null(target, hist, "purchase", "longest_dim")
+
+
+def q_yield_per_parent(spark, sf_dir):
+    from stepwise.plans.backfill import yield_per_parent
+    configure(spark)
+    o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    blocks = o.select(F.col("o_orderkey").alias("id_block"), F.col("o_custkey").alias("parent_id_block"),
+                      F.col("o_orderdate").alias("timestamp"))
+    dims = o.select(F.col("o_orderkey").alias("id_block"), (F.col("o_totalprice") / 7777.0).alias("initial_longer_dimension"),
+                    F.when(F.col("o_orderstatus") != "P", F.length("o_orderpriority").cast("double")).alias("initial_shorter_dimension"))
+    gb = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_custkey").alias("id_block"), F.col("o_orderkey").alias("id_run_growth"),
+        (F.col("o_totalprice") / 7777.0).alias("pre_width"), (F.col("c_nationkey") + 2.0).alias("pre_length"),
+        F.col("c_nationkey").alias("id_tray_cell"))
+    gr = o.select(F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderdate").alias("end_time"),
+                  (F.col("o_totalprice") / 1000).alias("run_duration"))
+    cells = n.select(F.col("n_nationkey").alias("id_tray_cell"), (F.col("n_nationkey") + 1).alias("width"),
+                     (F.col("n_regionkey") + 1).alias("height"))
+    plates = li.select(F.col("l_orderkey").alias("id_block"), F.col("l_partkey").alias("id_final_plate_shipment"),
+                       F.col("l_shipdate").alias("timestamp"))
+    ships = p.select(F.col("p_partkey").alias("id_final_plate_shipment"),
+                     F.when(F.col("p_size") < 25, "1x1").otherwise("2x2").alias("size_family"))
+    out = yield_per_parent(blocks, dims, gb, gr, cells, plates, ships, "1998-01-01")
+    for col in ("total_run_duration", "parent_area", "child_avg_area", "shrinkage", "parent_tray_occupation"):
+        out = out.withColumn(col, F.round(col, 6))
+    return out
+
+
+# ----------------------------------------------------------------------------- J24 J25
+
+TRANSITION_ROWS = [("signup", "low", "Prep", "Block"), ("signup", "high", "RIM", "Block"),
+                   ("click", "low", "Sing|parent", "Block"), ("click", "high", "Sing|child", "Plate"),
+                   ("view", "low", "Surf", "Plate"), ("purchase", "low", "Finish", "Plate"),
+                   ("purchase", "high", "Finish", "Plate")]
+SEGMENT_STEP_ROWS = [("signup", "Prep", 0), ("click", "Sing|parent", 1), ("click", "Sing|child", 2),
+                     ("view", "Surf", 3), ("purchase", "Finish", 4), ("signup", "RIM", 5)]
+
+
+def event_step_log(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("id_block"), F.col("event_type").alias("step_name"),
+                    F.when(F.col("value") > 100, "high").otherwise("low").alias("step_name_next"),
+                    F.col("ts").alias("end_time"), (F.col("value") * 60).alias("cycle_time"),
+                    F.when(F.col("value") < 2, "Software Test").otherwise("Prod").alias("material_type_in"))
+
+
+def q_throughput_report(spark, sf_dir):
+    from stepwise.operators.grids import inline_rows
+    from stepwise.plans.reports import throughput_report
+    configure(spark)
+    e, c, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    transitions = inline_rows(spark, TRANSITION_ROWS, "step_name string, step_name_next string, segment_name string, unit string")
+    exclude = c.filter(F.col("c_acctbal") < 0).select("c_custkey")
+    dims = c.select(F.col("c_custkey").alias("id_block"),
+                    F.when(F.col("c_acctbal") < 0, F.lit(0.0)).otherwise(F.col("c_acctbal") / 5).alias("thickness"))
+    ships = e.filter(F.col("event_type") == "error").select(
+        F.col("user_id").alias("id_block"), F.col("ts").alias("timestamp"),
+        F.when(F.col("value") < 250, "1x1").otherwise("2x2").alias("size_family"))
+    stock = p.select(F.col("p_size").alias("plate_count"))
+    gblocks = e.filter(F.col("event_type") == "view").select(
+        F.col("user_id").alias("id_block"), F.col("ts").alias("end_time"), (F.col("value") * 10).alias("new_thickness"),
+        F.col("user_id").alias("id_run_growth"))
+    gruns = c.select(F.col("c_custkey").alias("id_run_growth"),
+                     F.when(F.col("c_mktsegment") == "AUTOMOBILE", "1x1").when(F.col("c_mktsegment") == "BUILDING", "2x2")
+                     .when(F.col("c_mktsegment") == "FURNITURE", "D200").otherwise("Others").alias("seed_size_type"))
+    out = throughput_report(event_step_log(spark, sf_dir), transitions, ships, dims, stock, gblocks, gruns, EVENTS_AS_OF,
+                            exclude_ids=exclude, parent_segment="Sing|parent", tz=TZ)
+    return out.withColumn("yield", F.round("yield", 6))
+
+
+def q_cycle_time_report(spark, sf_dir):
+    from stepwise.operators.grids import inline_rows
+    from stepwise.plans.reports import cycle_time_report
+    configure(spark)
+    c = table(spark, sf_dir, "customer")
+    transitions = inline_rows(spark, TRANSITION_ROWS, "step_name string, step_name_next string, segment_name string, unit string")
+    fs = inline_rows(spark, SEGMENT_STEP_ROWS, "step_name string, segment_name string, pos int")
+    blocks = c.select(F.col("c_custkey").alias("id_block"), F.col("c_nationkey").cast("bigint").alias("parent_id_block"))
+    exclude = c.filter(F.col("c_acctbal") < 0).select("c_custkey")
+    out = cycle_time_report(event_step_log(spark, sf_dir), transitions, fs, blocks, EVENTS_AS_OF, exclude_ids=exclude,
+                            parent_segment="Sing|parent", tz=TZ)
+    return out.withColumn("cycle_hour_avg", F.round("cycle_hour_avg", 6)).withColumn("cycle_hour_max", F.round("cycle_hour_max", 6))
+
+
+# ----------------------------------------------------------------------------- J26
+
+def flow_tables(spark, sf_dir):
+    r, n, c, s = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier"))
+    flows = r.select((F.col("r_regionkey") + 1000).cast("bigint").alias("FlowId"),
+                     (F.col("r_regionkey") + 1000).cast("bigint").alias("DefinitionId"), F.col("r_name").alias("Name"),
+                     F.lit("A").alias("Revision"), F.lit("1").alias("Version"),
+                     F.concat(F.lit("region "), F.col("r_name")).alias("Description"), F.lit(False).alias("IsAlternate"))
+    flows = flows.unionByName(n.select(
+        (F.col("n_nationkey") + 2000).cast("bigint").alias("FlowId"), (F.col("n_nationkey") + 2000).cast("bigint").alias("DefinitionId"),
+        F.col("n_name").alias("Name"), F.lit("B").alias("Revision"), F.col("n_regionkey").cast("string").alias("Version"),
+        F.lit("nation").alias("Description"), (F.col("n_nationkey") > 20).alias("IsAlternate")))
+    flows = flows.unionByName(c.select(
+        (F.col("c_custkey") + 100000).alias("FlowId"), (F.col("c_custkey") + 100000).alias("DefinitionId"),
+        F.col("c_name").alias("Name"), F.when(F.col("c_acctbal") >= 0, F.lit("C")).alias("Revision"),
+        F.lit("1").alias("Version"), F.col("c_mktsegment").alias("Description"), F.lit(False).alias("IsAlternate")))
+    subflows = n.select((F.col("n_regionkey") + 1000).cast("bigint").alias("SourceEntityId"),
+                        (F.col("n_nationkey") + 2000).cast("bigint").alias("TargetEntityId"),
+                        F.col("n_nationkey").cast("string").alias("Position"),
+                        (F.col("n_nationkey") + 1).cast("bigint").alias("CorrelationID"),
+                        F.col("n_name").alias("LogicalName"), F.lit(1).cast("bigint").alias("UniversalState"))
+    subflows = subflows.unionByName(c.select(
+        (F.col("c_nationkey") + 2000).cast("bigint").alias("SourceEntityId"), (F.col("c_custkey") + 100000).alias("TargetEntityId"),
+        F.col("c_custkey").cast("string").alias("Position"), F.col("c_custkey").alias("CorrelationID"),
+        F.lit(None).cast("string").alias("LogicalName"),
+        F.when(F.col("c_acctbal") < 0, F.lit(2)).otherwise(F.lit(1)).cast("bigint").alias("UniversalState")))
+    flow_steps = s.select((F.col("s_nationkey") + 2000).cast("bigint").alias("SourceEntityId"),
+                          F.col("s_suppkey").alias("TargetEntityId"), F.col("s_suppkey").cast("string").alias("Position"),
+                          F.col("s_suppkey").alias("CorrelationID"),
+                          F.when(F.col("s_acctbal") > 5000, F.lit("big")).alias("LogicalName"),
+                          F.lit(1).cast("bigint").alias("UniversalState"))
+    steps = s.select(F.col("s_suppkey").alias("StepId"), F.col("s_name").alias("Name"),
+                     F.concat(F.lit("acct "), F.col("s_acctbal").cast("string")).alias("Description"),
+                     F.col("s_nationkey").alias("DisplayOrder"))
+    states = spark.createDataFrame([(1, "Active"), (2, "Inactive")], "UniversalStateId bigint, Name string")
+    roots = flows.filter(F.col("FlowId") < 2000).select("FlowId")
+    return flows, subflows, flow_steps, steps, states, roots
+
+
+def q_flow_tree(spark, sf_dir):
+    from stepwise.plans.flowtree import flow_tree
+    configure(spark)
+    return flow_tree(*flow_tables(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- J28 J28b J29
+
+def thickness_inputs(spark, sf_dir):
+    e, c, o, n = (table(spark, sf_dir, t) for t in ("events", "customer", "orders", "nation"))
+    meas = e.select(F.col("user_id").alias("sample_id"), F.col("event_type").alias("data_collection_name"),
+                    F.when(F.col("value") > 450, "excluded").otherwise("main").alias("flow_name"),
+                    F.when(F.col("event_type").isin("click", "view"), "min_t")
+                    .when(F.col("event_type").isin("purchase", "signup"), "max_t").otherwise("other").alias("parameter_name"),
+                    F.when(F.col("value") < 1, "junk").otherwise(F.col("value").cast("string")).alias("collected_value"),
+                    F.col("ts").alias("data_collection_complete_date"), F.lit("L1").alias("manufacturer_lot_number"),
+                    F.lit("P1").alias("product_name"))
+    blocks = c.select(F.col("c_custkey").alias("id_block"), F.col("c_nationkey").cast("bigint").alias("parent_id_block"))
+    layers = c.select(F.col("c_custkey").alias("id_block"), F.col("c_mktsegment").alias("data"))
+    recipes = o.select(F.col("o_custkey").alias("id_block"), F.col("o_totalprice").cast("string").alias("recipe_target"),
+                       F.col("o_orderdate").alias("timestamp"))
+    hist = e.select(F.col("user_id").alias("id_block"),
+                    F.when(F.col("value") > 300, "Terminate").otherwise("Move").alias("operation_name"),
+                    F.col("event_type").alias("step_name"), F.col("ts").alias("modified_on"))
+    dims = n.select(F.col("n_nationkey").cast("bigint").alias("id_block"), (F.col("n_nationkey") + 10).alias("width"),
+                    F.when(F.col("n_regionkey") != 0, F.col("n_regionkey") * 10).alias("length"))
+    return meas, blocks, layers, recipes, hist, dims
+
+
+def thickness_demo(spark, sf_dir):
+    from datetime import timedelta
+
+    from stepwise.plans.thickness import thickness_report
+    return thickness_report(*thickness_inputs(spark, sf_dir), EVENTS_AS_OF, collection="purchase",
+                            exclude_flow="excluded", min_param="min_t", max_param="max_t", cohort_days=90,
+                            recent_days=30, offset=timedelta(days=2), step_prefixes=("err", "cli"), rank_width=10)
+
+
+def q_thickness_report(spark, sf_dir):
+    configure(spark)
+    return thickness_demo(spark, sf_dir)
+
+
+def q_outlier_classes(spark, sf_dir):
+    from stepwise.plans.thickness import outlier_class
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem")
+    center = (F.col("l_quantity") - 25) * 5
+    spread = F.col("l_discount") * 2000
+    x = li.select("l_orderkey", "l_linenumber", "l_partkey", (center - spread / 2).alias("minThick"),
+                  (center + spread / 2).alias("maxThick"))
+    return x.select("*", outlier_class("minThick", "maxThick", 80, 5).alias("outlier5"),
+                    outlier_class("minThick", "maxThick", 80, 3).alias("outlier3"))
+
+
+def q_chart_marks(spark, sf_dir):
+    from stepwise.plans.thickness import chart_marks
+    configure(spark)
+    return chart_marks(thickness_demo(spark, sf_dir))
+
+
+REGISTRY.update({
+    "backfill_latest": q_backfill_latest,
+    "merge_fill_null": q_merge_fill_null,
+    "yield_per_parent": q_yield_per_parent,
+    "throughput_report": q_throughput_report,
+    "cycle_time_report": q_cycle_time_report,
+    "flow_tree": q_flow_tree,
+    "thickness_report": q_thickness_report,
+    "outlier_classes": q_outlier_classes,
+    "chart_marks": q_chart_marks,
+})
