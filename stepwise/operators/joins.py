@@ -158,19 +158,17 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     probes = scanned.filter(F.col("_probe")).select(*keys, "_row", "_c1")
     # time of each candidate: one row per (key, id) of the right side
     rtime = right.groupBy(*keys, F.col(right_id).alias("_c1")).agg(F.max(right_time).alias("_c1t"))
-    checked = probes.join(rtime, keys + ["_c1"], "left")
     lt = F.col(f"_row.{left_time}")
-    good = checked.filter(F.col("_c1").isNull() | (F.col("_c1t") < lt))
-    bad = checked.filter(F.col("_c1").isNotNull() & ~(F.col("_c1t") < lt))
-    # exact fallback for the exceptions only
+    checked = probes.join(rtime, keys + ["_c1"], "left") \
+        .select(*keys, "_row", "_c1", (F.col("_c1").isNull() | (F.col("_c1t") < lt)).alias("_ok"))
+    # exact fallback, only for the (rare) rows whose id-order candidate is not earlier in time
+    bad = checked.filter(~F.col("_ok")).select(*keys, "_row")
     r2 = right.select(*keys, F.col(right_id).alias("_rid2"), F.col(right_time).alias("_rt2"))
     fb = bad.join(r2, keys).filter((F.col("_rid2") < F.col(f"_row.{left_id}")) & (F.col("_rt2") < lt))
-    fb = fb.groupBy(*keys, "_row").agg(F.max("_rid2").alias("_c1"))
-    bad_keys = bad.select(*keys, "_row")
-    resolved = bad_keys.join(fb, keys + ["_row"], "left")
-    allrows = good.select(*keys, "_row", "_c1").unionByName(resolved.select(*keys, "_row", "_c1"))
-    return allrows.select(*[F.col(f"_row.{c}").alias(c) for c in l_cols],
-                          *[F.col(k) for k in combos], F.col("_c1").alias(name))
+    fb = fb.groupBy(*keys, "_row").agg(F.max("_rid2").alias("_fb"))
+    res = checked.join(fb, keys + ["_row"], "left")
+    answer = F.when(F.col("_ok"), F.col("_c1")).otherwise(F.col("_fb"))
+    return res.select(*[F.col(f"_row.{c}").alias(c) for c in l_cols], *[F.col(k) for k in combos], answer.alias(name))
 
 
 # ----------------------------------------------------------------------------- misc shapes

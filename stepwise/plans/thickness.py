@@ -106,14 +106,22 @@ def facet_order(df: DataFrame, col: str = "layer", name: str = "facet") -> DataF
     return r.select(col, F.when(F.col("_r") == n, F.lit(0)).otherwise(F.col("_r")).alias(name))
 
 
-def chart_marks(report: DataFrame, *, limit: float = LIMIT, tolerance: float = TOLERANCE) -> DataFrame:
+def chart_marks(report: DataFrame, *, limit: float = LIMIT, tolerance: float = TOLERANCE,
+                materialize: bool = True) -> DataFrame:
     """The chart as tidy marks — one row per drawn element — instead of a rendered figure.
 
     Per report row: a ``bar`` from min to max deviation at x = parent rank; red ``upper`` /
     ``lower`` marks for Max/Min/Both; ``arrow_down`` / ``arrow_up`` for AllMin / AllMax; a ``scrap``
     marker at 0. Per facet (layer, ordered with the last layer first): the ``spec`` line at 0 and
     the ``band`` lines at ±tolerance across x-range min−0.5 .. max+0.5.
+
+    The report is read three times (facets, x-range, marks), so it is materialised once with a
+    reliable ``checkpoint()`` into the session's checkpoint folder (``materialize=False`` skips it).
     """
+    if materialize:
+        from stepwise.session import checkpoint_dir
+        checkpoint_dir(report.sparkSession, allow_local_default=report.sparkSession.sparkContext.master.startswith("local"))
+        report = report.checkpoint(eager=True)
     facets = facet_order(report, "layer", "facet")
     rows = report.filter(F.col("layer").isNotNull()).join(F.broadcast(facets), "layer")
     x = F.col("parent_rank").cast("double")
