@@ -104,6 +104,44 @@ def q_last_reading_per_run(spark, sf_dir):
                                 before=timedelta(days=60), after=timedelta(days=30))
 
 
+def end_time_check_inputs(spark, sf_dir):
+    o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    runs = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderkey").alias("id_growing_run"),
+        F.col("c_nationkey").alias("id_station"), F.col("o_orderdate").alias("start_time"),
+        F.timestamp_add("DAY", F.lit(60), F.col("o_orderdate")).alias("end_time"),
+        (F.col("o_totalprice") - 100000).alias("run_duration"), F.col("o_orderpriority").alias("priority"))
+    stations = n.select(F.col("n_nationkey").alias("id_station"),
+                        F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("data_table"))
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    sensor = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == n.n_nationkey).select(
+        F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("data_table"),
+        F.col("l_shipdate").alias("timestamp"), F.col("l_orderkey").alias("id_run"),
+        F.struct(F.when(F.col("l_linestatus") == "O", F.lit("")).otherwise(F.col("l_returnflag")).alias("id_value"),
+                 F.col("l_orderkey").cast("string").alias("id_run_growth")).alias("pyrometer"))
+    return runs, stations, sensor
+
+
+def q_stream_end_time_check(spark, sf_dir):
+    """J06 as a scheduled streaming load: run files arrive in two drops (urgent/high first, then all
+    runs again); each drain appends only runs not yet in the target."""
+    import uuid
+    from datetime import timedelta
+
+    from stepwise.session import checkpoint_dir
+    from stepwise.streaming.incremental import run_end_time_check
+    configure(spark)
+    runs, stations, sensor = end_time_check_inputs(spark, sf_dir)
+    root = f"{checkpoint_dir(spark, allow_local_default=True).rstrip('/')}/stepwise_stream/{uuid.uuid4().hex}"
+    kw = dict(window=timedelta(days=365), before=timedelta(days=60), after=timedelta(days=30))
+    runs.filter(F.col("priority").isin("1-URGENT", "2-HIGH")).write.parquet(f"{root}/runs/b1")
+    run_end_time_check(spark, f"{root}/runs", runs.schema, stations, sensor, f"{root}/target", f"{root}/ckpt",
+                       ORDERS_AS_OF, **kw)
+    runs.write.parquet(f"{root}/runs/b2")
+    return run_end_time_check(spark, f"{root}/runs", runs.schema, stations, sensor, f"{root}/target", f"{root}/ckpt",
+                              ORDERS_AS_OF, **kw)
+
+
 # ----------------------------------------------------------------------------- J07
 
 def q_config_at_run(spark, sf_dir):
@@ -252,6 +290,7 @@ def q_change_impact(spark, sf_dir):
 
 REGISTRY.update({
     "last_reading_per_run": q_last_reading_per_run,
+    "stream_end_time_check": q_stream_end_time_check,
     "config_at_run": q_config_at_run,
     "measure_over": q_measure_over,
     "runs_missing_metric": q_runs_missing_metric,

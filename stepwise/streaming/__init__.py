@@ -1,0 +1,3 @@
+"""Structured Streaming drivers (incremental loads)."""
+
+from stepwise.streaming.incremental import run_end_time_check, start_end_time_check  # noqa: F401
