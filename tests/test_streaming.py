@@ -1,4 +1,3 @@
-import os
 import uuid
 from datetime import datetime, timedelta
 
@@ -31,4 +30,3 @@ def test_incremental_load_is_exactly_once(spark):
     assert sorted(r.id_run_growth for r in second.collect()) == [1]  # 2: zero duration, 3: empty id / other shard
     again = run_end_time_check(**kw)  # nothing new to read
     assert again.count() == 1
-    assert os.path.isdir(f"{root}/ckpt")
