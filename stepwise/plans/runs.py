@@ -17,15 +17,11 @@ from stepwise.functions.timeops import (
     ts_literal,
 )
 from stepwise.operators.joins import anti_null_aware, in_ids, interval_join, latest_before
+from stepwise.operators.lists import grouped_sorted_list
 from stepwise.operators.ordered import shift_within
 from stepwise.operators.pivot import pivot_params
 
 
-def sorted_list(c: str, sep: str = ",") -> Column:
-    """``STRING_AGG(c)`` with a defined order (sorted text) and an explicit separator."""
-    return F.expr(f"listagg(CAST({c} AS STRING), '{sep}') WITHIN GROUP (ORDER BY CAST({c} AS STRING))")
-
-
 # ----------------------------------------------------------------------------- J06
 
 def last_reading_per_run(runs: DataFrame, stations: DataFrame, sensor: DataFrame, done: DataFrame, as_of, *,
@@ -114,8 +110,9 @@ def runs_missing_metric(blocks: DataFrame, runs: DataFrame, classes: Sequence[tu
         keep = keep & (F.col("end_date") < F.lit(before_date).cast("date"))
     if location is not None:
         keep = keep & (F.col("growing_location_name") == F.lit(location))
-    return j.filter(keep).groupBy("id_run_growth", "growing_location_name").agg(
-        F.count("id_block").alias("block_count"), sorted_list("id_block").alias("block_ids"))
+    return grouped_sorted_list(j.filter(keep), ["id_run_growth", "growing_location_name"], "id_block", "block_ids",
+                               count_name="block_count").select("id_run_growth", "growing_location_name",
+                                                                "block_count", "block_ids")
 
 
 # ----------------------------------------------------------------------------- J11
@@ -219,6 +216,6 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
     rr = runs.select("id_run_growth", "mean_growth_rate", F.col("id_station").alias("_rst"),
                      F.col("start_time").alias("_rs"), F.col("end_time").alias("_re"))
     hit = interval_join(j, rr, [("target_id_station", "_rst")], "start_time", "_rs", "_re", width=time_width)
-    return hit.groupBy("id_run_growth", "mean_growth_rate").agg(
-        F.sum("change_of_value").alias("change_of_n2"), sorted_list("step_parameter").alias("changed_parameters"),
-        F.count("step_parameter").alias("changed_parameter_count"))
+    out = grouped_sorted_list(hit, ["id_run_growth", "mean_growth_rate"], "step_parameter", "changed_parameters",
+                              count_name="changed_parameter_count", sums={"change_of_n2": "change_of_value"})
+    return out.select("id_run_growth", "mean_growth_rate", "change_of_n2", "changed_parameters", "changed_parameter_count")

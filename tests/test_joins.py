@@ -73,3 +73,14 @@ def test_full_join_coalesce_keys_and_layer(spark):
     b = spark.createDataFrame([(1, 2, "C1", "x"), (2, 9, "bottom", "y")], "p int, u int, layer string, t string")
     got = full_join_coalesce(a, b, ["p", "u"], ["layer"])
     assert rows(got, "p", "u", "layer", "v", "t") == [(1, 1, "top", 5.0, None), (1, 2, "C1", 6.0, "x"), (2, 9, "bottom", None, "y")]
+
+
+def test_grouped_sorted_list_equals_listagg(spark):
+    from stepwise.operators.lists import grouped_sorted_list
+
+    df = spark.createDataFrame([(1, "b", 1.0), (1, "a", 2.0), (1, "b", None), (1, None, 4.0), (2, None, None),
+                                (3, "10", 1.0), (3, "9", 1.0)], "k int, p string, x double")
+    got = grouped_sorted_list(df, ["k"], "p", "lst", count_name="n", sums={"s": "x"})
+    exp = df.groupBy("k").agg(F.expr("listagg(p, ',') WITHIN GROUP (ORDER BY p)").alias("lst"),
+                              F.count("p").alias("n"), F.sum("x").alias("s"))
+    assert rows(got, "k", "lst", "n", "s") == rows(exp, "k", "lst", "n", "s")
