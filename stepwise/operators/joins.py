@@ -61,9 +61,9 @@ def anti_null_aware(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """
     right_key = right_key or left_key
     rk = right.select(F.col(right_key).alias("_nk"))
-    stats = rk.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_nk").isNull()).alias("nn"))
-    n_all = stats.select("n").scalar()
-    n_null = stats.select("nn").scalar()
+    stats = rk.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_nk").isNull()).alias("nn"))).scalar()
+    n_all = stats.getField("n")
+    n_null = stats.getField("nn")
     non_null = rk.filter(F.col("_nk").isNotNull())
     kept = left.join(non_null, left[left_key] == non_null["_nk"], "left_anti")
     return kept.filter((n_null == 0) & (F.col(left_key).isNotNull() | (n_all == 0)))
