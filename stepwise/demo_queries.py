@@ -21,6 +21,11 @@ ORDERS_AS_OF = datetime(2001, 8, 1, 0, 0, 0)
 TZ = "America/Los_Angeles"
 
 
+def _local(spark: SparkSession) -> bool:
+    """A scratch checkpoint folder is only acceptable in local mode (tests, single machine)."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,7 +137,7 @@ def q_stream_end_time_check(spark, sf_dir):
     from stepwise.streaming.incremental import run_end_time_check
     configure(spark)
     runs, stations, sensor = end_time_check_inputs(spark, sf_dir)
-    root = f"{checkpoint_dir(spark, allow_local_default=True).rstrip('/')}/stepwise_stream/{uuid.uuid4().hex}"
+    root = f"{checkpoint_dir(spark, allow_local_default=_local(spark)).rstrip('/')}/stepwise_stream/{uuid.uuid4().hex}"
     kw = dict(window=timedelta(days=365), before=timedelta(days=60), after=timedelta(days=30))
     runs.filter(F.col("priority").isin("1-URGENT", "2-HIGH")).write.parquet(f"{root}/runs/b1")
     run_end_time_check(spark, f"{root}/runs", runs.schema, stations, sensor, f"{root}/target", f"{root}/ckpt",
@@ -489,7 +494,7 @@ def q_shard_scan(spark, sf_dir):
     from stepwise.session import checkpoint_dir
     from stepwise.sources.tables import read_shards, write_shards
     configure(spark)
-    root = checkpoint_dir(spark, allow_local_default=True)
+    root = checkpoint_dir(spark, allow_local_default=_local(spark))
     path = f"{root.rstrip('/')}/stepwise_shards/{uuid.uuid4().hex}"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     write_shards(li, path, "l_returnflag")

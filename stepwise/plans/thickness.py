@@ -73,7 +73,7 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
         F.max(tgt).alias("recipe_target"), F.max("flow_name").alias("flow"),
         F.max(F.when(F.col("parameter_name") == F.lit(min_param), safe_number("collected_value"))).alias("minThick_raw"),
         F.max(F.when(F.col("parameter_name") == F.lit(max_param), safe_number("collected_value"))).alias("maxThick_raw"))
-    raw = raw.persist()
+
     ht = history.schema["modified_on"].dataType
     prefix_len = len(step_prefixes[0]) if step_prefixes else 3
     sc = history.filter((F.col("operation_name") == F.lit(terminate_op))
