@@ -9,7 +9,7 @@ Fixed reference instants: ``events`` spans 2024-01-01..2024-01-30, ``orders`` 19
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -776,3 +776,141 @@ REGISTRY.update({
     "outlier_classes": q_outlier_classes,
     "chart_marks": q_chart_marks,
 })
+
+
+# ----------------------------------------------------------------------------- operator-level demos
+
+def q_interval_join(spark, sf_dir):
+    """Each event meets the purchases of the same user whose 2-day window contains it."""
+    from stepwise.operators.joins import interval_join
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    pts = e.select(F.col("event_id").alias("pid"), F.col("user_id").alias("pk"), "ts")
+    iv = e.filter(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("iid"), F.col("user_id").alias("ik"),
+        F.timestamp_add("DAY", F.lit(-2), F.col("ts")).alias("s"), F.col("ts").alias("e"))
+    return interval_join(pts, iv, [("pk", "ik")], "ts", "s", "e", width=86400).select("pid", "iid")
+
+
+def q_latest_before(spark, sf_dir):
+    """Per purchase and event type, the newest earlier event of the user by id *and* by time.
+
+    The right side's time is shifted by the event value (minutes), so id order and time order
+    disagree for some rows and the exact fallback is exercised."""
+    from stepwise.operators.joins import latest_before
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    left = e.filter(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("run_id"),
+                                                             F.col("ts").alias("t"))
+    right = e.filter(F.col("event_type") != "purchase").select(
+        "user_id", "event_type", F.col("event_id").alias("cfg_id"),
+        F.timestamp_add("MINUTE", F.round(F.col("value")).cast("int"), F.col("ts")).alias("cfg_t"))
+    return latest_before(left, right, by=["user_id"], combos=["event_type"], left_id="run_id", right_id="cfg_id",
+                         left_time="t", right_time="cfg_t", width=500, name="last_id").select(
+        "run_id", "event_type", "last_id")
+
+
+def q_any_key_join(spark, sf_dir):
+    """Line items whose order key equals the order's key or its customer key."""
+    from stepwise.operators.joins import any_key_join
+    configure(spark)
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    small = o.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey")
+    return any_key_join(small, li.select("l_orderkey", "l_linenumber", "l_quantity"), ["o_orderkey", "o_custkey"],
+                        "l_orderkey").select("o_orderkey", "o_custkey", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+def q_median_over(spark, sf_dir):
+    """Exact median of the extended price per return flag on every line item."""
+    from stepwise.operators.ordered import median_over
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return median_over(li, ["l_returnflag"], "l_extendedprice", width=5000, name="median_price")
+
+
+def q_dense_rank_global(spark, sf_dir):
+    """DENSE_RANK() OVER (ORDER BY segment, customer key) without a single-partition window."""
+    from stepwise.operators.ordered import global_dense_rank
+    configure(spark)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return global_dense_rank(c, ["c_mktsegment", "c_custkey"], width=100, name="rank", bucket_col="c_custkey")
+
+
+def q_lead_lag(spark, sf_dir):
+    """Next and previous event value per user in time order."""
+    from stepwise.operators.ordered import shift_within
+    configure(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    nxt = shift_within(e, ["user_id"], ["ts"], ["value"], offset=1, width=86400, prefix="next_")
+    return shift_within(nxt, ["user_id"], ["ts"], ["value"], offset=-1, width=86400, prefix="prev_")
+
+
+def q_latest_per_key(spark, sf_dir):
+    """All line items of each part's newest ship date (ties kept)."""
+    from stepwise.operators.latest import latest_per_key
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber")
+    return latest_per_key(li, ["l_partkey"], "l_shipdate")
+
+
+def q_top_row_per_key(spark, sf_dir):
+    """Newest order per customer, ties broken by the larger total price."""
+    from stepwise.operators.latest import top_row_per_key
+    configure(spark)
+    o = table(spark, sf_dir, "orders")
+    return top_row_per_key(o, ["o_custkey"], ["o_orderdate"], ["o_totalprice", "o_orderkey"])
+
+
+def q_pivot_params(spark, sf_dir):
+    """Per user, the largest value of each event type as its own column."""
+    from stepwise.operators.pivot import pivot_params
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    return pivot_params(e, ["user_id"], "event_type", "value",
+                        [("clicks", "click"), ("views", "view"), ("buys", ["purchase"]), ("other", ["signup", "error"])])
+
+
+def q_sorted_list(spark, sf_dir):
+    """Per order, the sorted list of return flags with their count and quantity total."""
+    from stepwise.operators.lists import grouped_sorted_list
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem")
+    return grouped_sorted_list(li, ["l_orderkey"], "l_returnflag", "flags", count_name="n_flags",
+                               sums={"qty": "l_quantity"})
+
+
+def q_not_in_null_aware(spark, sf_dir):
+    """Customers whose key is NOT IN the keys of orders above a price (SQL semantics)."""
+    from stepwise.operators.joins import anti_null_aware
+    configure(spark)
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    return anti_null_aware(c.select("c_custkey", "c_name"), o.filter(F.col("o_totalprice") > 250000), "c_custkey", "o_custkey")
+
+
+def q_period_rollup(spark, sf_dir):
+    """Event value per type for three look-backs from a single scan."""
+    from stepwise.functions.timeops import between_instants
+    from stepwise.operators.grids import Period, explode_periods
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    mem = [(Period(label, i, d), between_instants(e, "ts", EVENTS_AS_OF - timedelta(days=d), EVENTS_AS_OF))
+           for i, (label, d) in enumerate([("7d", 7), ("14d", 14), ("30d", 30)])]
+    tagged = explode_periods(e, mem)
+    return tagged.groupBy("event_type", "period").agg(
+        F.round(F.sum("value") / F.max("_divisor"), 6).alias("per_day"), F.count(F.lit(1)).alias("n"))
+
+
+REGISTRY.update({
+    "interval_join": q_interval_join,
+    "latest_before": q_latest_before,
+    "any_key_join": q_any_key_join,
+    "median_over": q_median_over,
+    "dense_rank_global": q_dense_rank_global,
+    "lead_lag": q_lead_lag,
+    "latest_per_key": q_latest_per_key,
+    "top_row_per_key": q_top_row_per_key,
+    "pivot_params": q_pivot_params,
+    "sorted_list": q_sorted_list,
+    "not_in_null_aware": q_not_in_null_aware,
+    "period_rollup": q_period_rollup,
+})

@@ -17,19 +17,27 @@ from pyspark.sql import functions as F
 from stepwise.session import checkpoint_dir
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a (small, reused) table into the session's checkpoint folder."""
+    spark = df.sparkSession
+    checkpoint_dir(spark, allow_local_default=spark.sparkContext.master.startswith("local"))
+    return df.checkpoint(eager=True)
+
+
 def walk_levels(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], *, level_col: str = "Level",
-                max_depth: int = 100, checkpoint_every: int = 1) -> tuple[DataFrame, int]:
+                max_depth: int = 100, checkpoint_every: int = 1, base_level: int | None = None) -> tuple[DataFrame, int]:
     """Run ``frontier = step(frontier)`` from ``anchor`` until empty; return (union of levels, max level).
 
     ``step`` maps the rows of one level to the rows of the next (typically a join with edges).
     The returned max level is known from the loop itself, so no global ``MAX() OVER ()`` is needed.
+    Pass ``base_level`` when the anchor's level is known, to save one job.
     """
     spark = anchor.sparkSession
     checkpoint_dir(spark, allow_local_default=spark.sparkContext.master.startswith("local"))
     frontier = anchor.checkpoint(eager=True)
     if frontier.isEmpty():
         return frontier, None
-    base = frontier.agg(F.min(level_col)).first()[0]
+    base = base_level if base_level is not None else frontier.agg(F.min(level_col)).first()[0]
     levels = [frontier]
     depth = 1
     while True:

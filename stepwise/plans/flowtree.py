@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import CARRIAGE_RETURN, pad_position, tsql_concat, tsql_default_width, tsql_plus
-from stepwise.operators.tree import walk_levels
+from stepwise.operators.tree import materialize, walk_levels
 
 OUTPUT_COLUMNS = ["RootFlowId", "RootFlowName", "FlowId", "FlowName", "IsAlternate", "PrettyFlowName",
                   "PrettyFlowChain", "PrettyPath", "FlowPath", "StepId", "StepName", "PrettyStep", "Level",
@@ -53,6 +53,8 @@ def flow_tree(flows: DataFrame, subflows: DataFrame, flow_steps: DataFrame, step
                     F.col("sf.CorrelationID")).alias("FlowPath"),
         F.col("sf.CorrelationID").cast("bigint").alias("CorrelationID"), F.col("sf.LogicalName").alias("LogicalName"),
         F.lit(0).alias("DisplayOrder"))
+    # the active edge table is joined once per level: resolve it once (flow graphs are small)
+    subs = materialize(subs)
 
     f = flows.alias("f")
     fcv = flows.alias("fcv")
@@ -83,7 +85,7 @@ def flow_tree(flows: DataFrame, subflows: DataFrame, flow_steps: DataFrame, step
             F.col("s2.IsAlternate"), (F.col("ft.Level") + 1).alias("Level"), F.col("s2.CorrelationID"),
             F.col("s2.LogicalName"), F.col("s2.DisplayOrder"))
 
-    tree, max_level = walk_levels(anchor, step, level_col="Level", max_depth=max_depth)
+    tree, max_level = walk_levels(anchor, step, level_col="Level", max_depth=max_depth, base_level=1)
     top = (max_level or 0) + 1  # deepest node level + 1 (the flow-node branch's MAX(Level + 1))
 
     fs = flow_steps.alias("fs").join(act, F.col("fs.UniversalState") == F.col("_state"))
