@@ -26,8 +26,16 @@ def _local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The driver's table as a (lazy) DataFrame; the handle is reused per session so the file listing
+    and footer read happen once, not in every query."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,17 @@ def explode_periods(df: DataFrame, membership: Sequence[tuple[Period, Column]],
     arr = F.filter(F.array(*tags), lambda x: x.isNotNull())
     out = df.withColumn("_pt", F.explode(arr))
     return out.withColumn(name, F.col("_pt.l")).withColumn("_divisor", F.col("_pt.d")).drop("_pt")
+
+
+def union_sources(*dfs: DataFrame) -> DataFrame:
+    """U01/U03/U04 ``UNION ALL`` by column name; columns missing on one side become null."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
+def per_day(total: Column | str, divisor: float) -> Column:
+    """A09 ``SUM(x) / n`` with real division."""
+    t = F.col(total) if isinstance(total, str) else total
+    return t / F.lit(float(divisor))

@@ -217,3 +217,15 @@ def explode_list(df: DataFrame, col: str, sep: str = ",", name: str | None = Non
         out = out.withColumn(name, F.trim(F.col(name)))
     return out
 
+
+
+def join_back(df: DataFrame, picked: DataFrame, on) -> DataFrame:
+    """R13 ``JOIN picked USING (on)``: fetch every row matching the picked key tuple (ties kept)."""
+    return df.join(picked, _names(on), "inner")
+
+
+def with_parent(df: DataFrame, blocks: DataFrame, *, id_col: str = "id_block", parent_col: str = "parent_id_block",
+                how: str = "inner") -> DataFrame:
+    """R14 child → parent lookup through the lineage table (``JOIN blocks ON blocks.id = df.id``)."""
+    b = blocks.select(F.col(id_col).alias("_wp_id"), F.col(parent_col).alias(parent_col))
+    return df.join(b, df[id_col] == b["_wp_id"], how).drop("_wp_id")

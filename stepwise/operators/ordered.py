@@ -205,3 +205,27 @@ def running_max_before(df: DataFrame, keys, order: str, value: str, probe: str,
     keep = [F.col(f"_l.{c}") for c in df.columns]
     res = F.greatest(F.col("_l._lmax"), F.col("_s._carry"))  # greatest skips nulls: max of both parts
     return joined.select(*keep, res.alias(name))
+
+
+def next_value(df: DataFrame, keys, order: Sequence[str], value: str, *, width, name: str | None = None) -> DataFrame:
+    """W01 ``LEAD(value) OVER (PARTITION BY keys ORDER BY order)`` (skew-safe)."""
+    out = shift_within(df, keys, order, [value], offset=1, width=width, prefix="_next_")
+    return out.withColumnRenamed(f"_next_{value}", name or f"next_{value}")
+
+
+def prev_value(df: DataFrame, keys, order: Sequence[str], value: str, *, width, name: str | None = None) -> DataFrame:
+    """W02 ``LAG(value) OVER (PARTITION BY keys ORDER BY order)`` (skew-safe)."""
+    out = shift_within(df, keys, order, [value], offset=-1, width=width, prefix="_prev_")
+    return out.withColumnRenamed(f"_prev_{value}", name or f"last_{value}")
+
+
+def delta_from_prev(df: DataFrame, value: str, keys, order: Sequence[str], *, width, name: str = "change_of_value") -> DataFrame:
+    """W03 ``value - LAG(value)``; apply row filters *after* this call (the window sees all rows)."""
+    out = prev_value(df, keys, order, value, width=width, name="_prev_for_delta")
+    return out.withColumn(name, F.col(value) - F.col("_prev_for_delta")).drop("_prev_for_delta")
+
+
+def with_global_max(df: DataFrame, col: str, name: str) -> DataFrame:
+    """W11 ``MAX(col) OVER ()`` on every row as a scalar subquery (one partial aggregate, no
+    single-partition window, no cross join)."""
+    return df.withColumn(name, df.select(F.max(col)).scalar())

@@ -55,3 +55,19 @@ def walk_levels(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], *, le
     for lv_df in levels[1:]:
         out = out.unionByName(lv_df)
     return out, base + depth - 1
+
+
+def walk_tree(edges: DataFrame, roots: DataFrame, *, src: str = "src", dst: str = "dst", max_depth: int = 100) -> DataFrame:
+    """Every node reachable from each root with its level (root = 1), one join per level.
+
+    ``roots`` has one column of root node ids. Returns ``(root, node, Level)``.
+    """
+    r = roots.select(F.col(roots.columns[0]).alias("root"))
+    anchor = r.select("root", F.col("root").alias("node"), F.lit(1).alias("Level"))
+    e = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"))
+
+    def step(fr: DataFrame) -> DataFrame:
+        return fr.join(e, fr["node"] == e["_src"]).select("root", F.col("_dst").alias("node"), (F.col("Level") + 1).alias("Level"))
+
+    out, _ = walk_levels(anchor, step, max_depth=max_depth, base_level=1)
+    return out

@@ -24,7 +24,8 @@ def test_entry_runs_on_smoke_data(spark):
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
 @pytest.mark.parametrize("name", ["step_delay", "sequence_gaps", "config_at_run", "segment_cycle_time",
-                                  "throughput_report", "flow_tree", "thickness_report", "backfill_latest"])
+                                  "throughput_report", "flow_tree", "thickness_report", "backfill_latest",
+                                  "latest_before", "median_over", "dense_rank_global", "sorted_list"])
 def test_query_matches_oracle_at_smoke_scale(spark, name):
     from tools.oracle_check import duck, rows_of
 
