@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stepwise.operators.ordered import order_bucket, running_max_before
 
@@ -149,18 +150,20 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     # each left row is repeated for the (small) set of combos seen on its key
     combo_set = right.select(*keys).distinct()
     lx = left.join(combo_set, by, "inner")
-    lrows = lx.select(*keys, F.col(left_id).alias("_id"), F.lit(None).cast(right.schema[right_id].dataType).alias("_rid"),
+    # candidates carry their time: max(struct(id, time)) orders by id, so the running maximum
+    # returns the id-order candidate together with its time (no separate lookup join)
+    cand_type = StructType([StructField("_rid", right.schema[right_id].dataType),
+                            StructField("_rt", right.schema[right_time].dataType)])
+    lrows = lx.select(*keys, F.col(left_id).alias("_id"), F.lit(None).cast(cand_type).alias("_rv"),
                       F.lit(True).alias("_probe"), F.struct(*[F.col(c) for c in l_cols]).alias("_row"))
     rrows = right.select(*keys, F.col(right_id).cast(left.schema[left_id].dataType).alias("_id"),
-                         F.col(right_id).alias("_rid"), F.lit(False).alias("_probe"),
-                         F.lit(None).cast(lrows.schema["_row"].dataType).alias("_row"))
-    scanned = running_max_before(lrows.unionByName(rrows), keys, "_id", "_rid", "_probe", width=width, name="_c1")
-    probes = scanned.filter(F.col("_probe")).select(*keys, "_row", "_c1")
-    # time of each candidate: one row per (key, id) of the right side
-    rtime = right.groupBy(*keys, F.col(right_id).alias("_c1")).agg(F.max(right_time).alias("_c1t"))
+                         F.struct(F.col(right_id).alias("_rid"), F.col(right_time).alias("_rt")).alias("_rv"),
+                         F.lit(False).alias("_probe"), F.lit(None).cast(lrows.schema["_row"].dataType).alias("_row"))
+    scanned = running_max_before(lrows.unionByName(rrows), keys, "_id", "_rv", "_probe", width=width, name="_cand")
     lt = F.col(f"_row.{left_time}")
-    checked = probes.join(rtime, keys + ["_c1"], "left") \
-        .select(*keys, "_row", "_c1", (F.col("_c1").isNull() | (F.col("_c1t") < lt)).alias("_ok"))
+    checked = scanned.filter(F.col("_probe")).select(
+        *keys, "_row", F.col("_cand._rid").alias("_c1"),
+        (F.col("_cand").isNull() | (F.col("_cand._rt") < lt)).alias("_ok"))
     # exact fallback, only for the (rare) rows whose id-order candidate is not earlier in time
     bad = checked.filter(~F.col("_ok")).select(*keys, "_row")
     r2 = right.select(*keys, F.col(right_id).alias("_rid2"), F.col(right_time).alias("_rt2"))

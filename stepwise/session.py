@@ -17,6 +17,11 @@ _TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
+# Context-level settings (only effective when the session is created here).
+_CONTEXT = {
+    # reliable checkpoints (recursion frontiers, materialised reports) are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -44,7 +49,7 @@ def get_session(master: str | None = None, app: str = "stepwise", shuffle_partit
     b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in {**_REQUIRED, **_TUNING, **(extra or {})}.items():
+    for k, v in {**_REQUIRED, **_TUNING, **_CONTEXT, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     configure(spark)
