@@ -83,11 +83,34 @@ def col_literal(df: DataFrame, col: str, value: datetime) -> Column:
     return ts_literal(value, df.schema[col].dataType)
 
 
+# timestamp column -> date partition column (UTC date of the timestamp), see register_date_partition
+DATE_PARTITIONS: dict[str, str] = {}
+
+
+def register_date_partition(ts_col: str, date_col: str) -> None:
+    """Declare that tables carrying ``ts_col`` are partitioned by ``date_col = to_date(ts_col)`` (UTC).
+
+    Every range predicate on ``ts_col`` then also bounds ``date_col`` with literal dates, so the scan
+    prunes whole partition directories, not just Parquet row groups.
+    """
+    DATE_PARTITIONS[ts_col] = date_col
+
+
 def between_instants(df: DataFrame, col: str, lo: datetime | None, hi: datetime | None,
                      lo_inclusive: bool = True, hi_inclusive: bool = True) -> Column:
-    """Range predicate on a bare column with literal bounds (pushed to the scan)."""
+    """Range predicate on a bare column with literal bounds (pushed to the scan).
+
+    When ``col`` has a registered date partition present in ``df``, the partition column is bounded
+    too (partition pruning).
+    """
     c = F.col(col)
     conds = []
+    part = DATE_PARTITIONS.get(col)
+    if part and part in df.columns:
+        if lo is not None:
+            conds.append(F.col(part) >= F.lit(as_utc(lo).date()))
+        if hi is not None:
+            conds.append(F.col(part) <= F.lit(as_utc(hi).date()))
     if lo is not None:
         b = col_literal(df, col, lo)
         conds.append(c >= b if lo_inclusive else c > b)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import number_text
-from stepwise.functions.timeops import as_utc, ts_literal
+from stepwise.functions.timeops import as_utc, between_instants
 from stepwise.operators.grids import inline_rows, numbered
 from stepwise.operators.joins import anti_null_aware
 
@@ -19,7 +19,7 @@ def tray_shipments(trays: DataFrame, station_types: Sequence[str], as_of, *, day
     """Units placed in trays at the given station types in the last ``days``, renamed, newest first."""
     since = as_utc(as_of) - timedelta(days=days)
     t = trays.filter(F.col("station_type_name").isin(list(station_types))
-                     & (F.col("timestamp") > ts_literal(since, trays.schema["timestamp"].dataType)))
+                     & between_instants(trays, "timestamp", since, None, False))
     out = t.select(F.col("id_run").alias("transaction_id"), F.col("timestamp").alias("date_transacted"),
                    F.col("station_name").alias("vendor"), "id_block", "length", "width", "thickness", "weight",
                    "tray_name", "load_order")
@@ -32,7 +32,7 @@ def audit_absent(children: DataFrame, dims: DataFrame, trays: DataFrame, log: Da
     passed ``step`` — with SQL ``NOT IN`` semantics (a null in the passed list empties the result)."""
     since = as_utc(as_of) - timedelta(days=days)
     passed = log.filter(F.col("step_name_next") == F.lit(step)).select("id_block").distinct()
-    kids = children.filter(F.col("timestamp") > ts_literal(since, children.schema["timestamp"].dataType))
+    kids = children.filter(between_instants(children, "timestamp", since, None, False))
     kids = kids.select("id_block", "parent_id_block").join(
         dims.select("id_block", "batch_origin", "job_number"), "id_block")
     kids = kids.filter(F.col("batch_origin").like(origin_like))

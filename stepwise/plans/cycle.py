@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.rules import classify
 from stepwise.functions.timeops import (
-    DEFAULT_TZ, as_utc, between_instants, local_midnight_of, local_wall, shift, ts_literal, year_week_u,
+    DEFAULT_TZ, as_utc, between_instants, local_midnight_of, local_wall, shift, year_week_u,
 )
 from stepwise.operators.joins import any_key_join
 from stepwise.operators.ordered import median_over
@@ -44,7 +44,7 @@ def segment_cycle_time(log: DataFrame, cohort: DataFrame, segments: DataFrame, a
     since = as_utc(as_of)
     from datetime import timedelta
     since = since - timedelta(days=log_days)
-    mh = log.filter((F.col("end_time") > ts_literal(since, log.schema["end_time"].dataType))
+    mh = log.filter(between_instants(log, "end_time", since, None, False)
                     & F.col("step_name_next").isNotNull() & F.col("cycle_time").isNotNull())
     if exclude_material is not None:
         mh = mh.filter(F.col("material_type_in") != F.lit(exclude_material))

@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.nullops import nonzero_or
 from stepwise.functions.text import split_first
 from stepwise.functions.timeops import (
-    DEFAULT_TZ, as_utc, between_instants, in_local_dates, instant_of_local_date, local_date, local_day_floor,
+    DEFAULT_TZ, as_utc, between_instants, in_local_dates, instant_of_local_date, local_day_floor,
     local_day_start, local_midnight_of, local_today, ts_literal,
 )
 from stepwise.operators.grids import Period, explode_periods, ordered_dim, rank_by_first, report_grid
@@ -166,7 +166,7 @@ def cycle_time_report(log: DataFrame, transitions: DataFrame, segment_steps: Dat
         .groupBy("id_block", "segment_name").agg(F.max("end_time").alias("segment_finish_time"))
     since = as_of - timedelta(days=log_days)
     mh = _log_filters(log, flow, flow_col, exclude_material, None)
-    mh = mh.filter((F.col("end_time") > ts_literal(since, log.schema["end_time"].dataType))
+    mh = mh.filter(between_instants(log, "end_time", since, None, False)
                    & F.col("step_name_next").isNotNull() & F.col("cycle_time").isNotNull())
     mh = mh.select("id_block", "step_name", (F.col("cycle_time") / 3600).alias("cycle_hour"))
     rr = mh.join(bts, "id_block").join(F.broadcast(segment_steps.select("step_name", "segment_name")),

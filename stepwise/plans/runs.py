@@ -14,7 +14,6 @@ from stepwise.functions.nullops import safe_number
 from stepwise.functions.rules import Alias, canonicalise, classify
 from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, hours_between, in_local_dates, local_date, shift, sunday_week,
-    ts_literal,
 )
 from stepwise.operators.joins import anti_null_aware, in_ids, interval_join, latest_before
 from stepwise.operators.lists import grouped_sorted_list
@@ -88,7 +87,7 @@ def measure_over(history: DataFrame, processes: Sequence[str], parameter: str, m
     since = as_utc(as_of) - timedelta(days=days)
     h = history.filter(F.col("process_name").isin(list(processes)) & (F.col("step_parameter") == F.lit(parameter))
                        & (safe_number("data") > F.lit(min_value))
-                       & (F.col("timestamp") > ts_literal(since, history.schema["timestamp"].dataType)))
+                       & between_instants(history, "timestamp", since, None, False))
     return h.groupBy("id_block", "process_name").agg(F.max("timestamp").alias("timestamp"),
                                                      F.max("id_run").alias("id_run"), F.max("data").alias("data"))
 
@@ -122,7 +121,7 @@ def flag_review(summary: DataFrame, runs: DataFrame, flags: DataFrame, events: D
     """Runs from an id list (minus reviewed ids) with positive block count but flag ``flag_value``;
     one row per run event with hours from run start; newest run first."""
     since = as_utc(as_of) - timedelta(days=days)
-    r = runs.filter(F.col("end_time") > ts_literal(since, runs.schema["end_time"].dataType)) \
+    r = runs.filter(between_instants(runs, "end_time", since, None, False)) \
         .filter(F.col("loading_purpose") == F.lit(purpose))
     j = summary.join(r, "id_run_growth", "inner")
     j = in_ids(j, "id_run_growth", ids)
@@ -204,7 +203,7 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
     if station_name is not None:
         gc = gc.filter(F.col("station_name") == F.lit(station_name))
     if since is not None:
-        gc = gc.filter(F.col("start_time") > ts_literal(as_utc(since), gc.schema["start_time"].dataType))
+        gc = gc.filter(between_instants(gc, "start_time", as_utc(since), None, False))
     if run_ids is not None:
         gc = in_ids(gc, "id_run", run_ids)
     sr = edges.select("source_id_station", "target_id_station").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.nullops import safe_number, strict_least
-from stepwise.functions.timeops import as_utc, shift, ts_literal
+from stepwise.functions.timeops import as_utc, between_instants, shift
 from stepwise.operators.joins import full_join_coalesce, offset_join
 from stepwise.operators.latest import first_per_key, top_row_per_key
 from stepwise.operators.ordered import global_dense_rank
@@ -52,12 +52,12 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
     as_of = as_utc(as_of)
     mt = measurements.schema["data_collection_complete_date"].dataType
     first = measurements.filter((F.col("data_collection_name") == F.lit(collection))
-                                & (F.col("data_collection_complete_date") > ts_literal(as_of - timedelta(days=cohort_days), mt)))
+                                & between_instants(measurements, "data_collection_complete_date", as_of - timedelta(days=cohort_days), None, False))
     if exclude_flow is not None:
         first = first.filter(F.col("flow_name") != F.lit(exclude_flow))
     first = first_per_key(first, ["sample_id"], "data_collection_complete_date", "_first")
     last_laser = top_row_per_key(recipes, ["id_block"], ["timestamp"], ["recipe_target"])
-    dc = measurements.filter(F.col("data_collection_complete_date") > ts_literal(as_of - timedelta(days=recent_days), mt))
+    dc = measurements.filter(between_instants(measurements, "data_collection_complete_date", as_of - timedelta(days=recent_days), None, False))
     fc = first.select(F.col("sample_id").alias("_fs"), "_first")
     j = offset_join(dc, fc, [("sample_id", "_fs")],
                     F.col("data_collection_complete_date") < shift(F.col("_first"), int(offset.total_seconds()), "SECOND"))
@@ -77,7 +77,7 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
     ht = history.schema["modified_on"].dataType
     prefix_len = len(step_prefixes[0]) if step_prefixes else 3
     sc = history.filter((F.col("operation_name") == F.lit(terminate_op))
-                        & (F.col("modified_on") > ts_literal(as_of - timedelta(days=cohort_days), ht))
+                        & between_instants(history, "modified_on", as_of - timedelta(days=cohort_days), None, False)
                         & F.substring("step_name", 1, prefix_len).isin(list(step_prefixes)))
     sc = sc.join(blocks.select("id_block", "parent_id_block"), "id_block") \
         .join(layers.select("id_block", F.col("data").alias("layer")), "id_block")

@@ -57,3 +57,18 @@ def test_in_local_days_is_a_pushed_bare_column_filter(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(end_time), GreaterThanOrEqual(end_time" in plan
     assert q.count() == 1
+
+
+def test_registered_date_partition_is_pruned(spark, tmp_path):
+    p = str(tmp_path / "log")
+    rows_ = [(datetime(2024, 1, d, 12), date(2024, 1, d)) for d in (1, 10, 20, 29)]
+    spark.createDataFrame(rows_, "end_time timestamp_ntz, end_date date").write.partitionBy("end_date").parquet(p)
+    df = spark.read.parquet(p)
+    T.register_date_partition("end_time", "end_date")
+    try:
+        q = df.filter(T.in_local_days(df, "end_time", datetime(2024, 1, 31), 15))
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(end_date" in plan and "2024-01-15" in plan
+        assert sorted(r.end_time.day for r in q.collect()) == [20, 29]
+    finally:
+        T.DATE_PARTITIONS.pop("end_time", None)
