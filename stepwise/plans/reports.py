@@ -67,7 +67,7 @@ def throughput_report(log: DataFrame, transitions: DataFrame, shipments: DataFra
     lo, hi = local_midnight_of(as_of, tz, 15), local_midnight_of(as_of, tz, 0)
     mh = _log_filters(log, flow, flow_col, exclude_material, exclude_ids)
     mh = mh.filter(between_instants(log, "end_time", lo, hi) & F.col("end_time").isNotNull())
-    mh = mh.join(F.broadcast(numbered.select("step_name", "step_name_next", "segment_name", "unit")),
+    mh = mh.join(numbered.select("step_name", "step_name_next", "segment_name", "unit"),
                  ["step_name", "step_name_next"]).filter(F.col("segment_name") != F.lit(exclude_segment))
     th = dims.select(F.col("id_block").alias("_bid"), "thickness")
     logged = mh.join(th, mh["id_block"] == th["_bid"], "left").select("unit", "end_time", "segment_name", "thickness", "id_block")
@@ -161,7 +161,7 @@ def cycle_time_report(log: DataFrame, transitions: DataFrame, segment_steps: Dat
     base = _log_filters(log, flow, flow_col, None, None)
     cohort_src = base if exclude_ids is None else _log_filters(base, None, flow_col, None, exclude_ids)
     cohort_src = cohort_src.filter(between_instants(log, "end_time", lo, hi, False, False))
-    bts = cohort_src.join(F.broadcast(transitions.select("step_name", "step_name_next", "segment_name")),
+    bts = cohort_src.join(transitions.select("step_name", "step_name_next", "segment_name"),
                           ["step_name", "step_name_next"]) \
         .groupBy("id_block", "segment_name").agg(F.max("end_time").alias("segment_finish_time"))
     since = as_of - timedelta(days=log_days)
@@ -169,7 +169,7 @@ def cycle_time_report(log: DataFrame, transitions: DataFrame, segment_steps: Dat
     mh = mh.filter(between_instants(log, "end_time", since, None, False)
                    & F.col("step_name_next").isNotNull() & F.col("cycle_time").isNotNull())
     mh = mh.select("id_block", "step_name", (F.col("cycle_time") / 3600).alias("cycle_hour"))
-    rr = mh.join(bts, "id_block").join(F.broadcast(segment_steps.select("step_name", "segment_name")),
+    rr = mh.join(bts, "id_block").join(segment_steps.select("step_name", "segment_name"),
                                        ["step_name", "segment_name"])
     ctpb = rr.groupBy("id_block", "segment_name", "segment_finish_time").agg(F.sum("cycle_hour").alias("cycle_hour"))
     kids = blocks.select(F.col("id_block").alias("_child"), F.col("parent_id_block").alias("_parent"))

@@ -123,7 +123,7 @@ def chart_marks(report: DataFrame, *, limit: float = LIMIT, tolerance: float = T
         checkpoint_dir(report.sparkSession, allow_local_default=report.sparkSession.sparkContext.master.startswith("local"))
         report = report.checkpoint(eager=True)
     facets = facet_order(report, "layer", "facet")
-    rows = report.filter(F.col("layer").isNotNull()).join(F.broadcast(facets), "layer")
+    rows = report.filter(F.col("layer").isNotNull()).join(facets, "layer")
     x = F.col("parent_rank").cast("double")
     o = F.col("outlier_type")
 
