@@ -473,7 +473,7 @@ def q_work_order_requests(spark, sf_dir):
         F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderpriority").alias("station_name"),
         F.col("o_custkey").alias("RD"), (F.col("o_totalprice") / 7.0).alias("Max_Q_diff"),
         (F.col("o_totalprice") / 13.0).alias("prev_Max_Q_diff"), F.col("o_custkey").alias("intSiteID"),
-        (F.col("o_orderkey") + 1000).alias("fiix_asset_id"))
+        (F.col("o_orderkey") + 1000).alias("asset_id"))
     return work_order_requests(runs, WORK_ORDER_CONSTANTS)
 
 

@@ -63,7 +63,7 @@ def work_order_requests(df: DataFrame, constants: dict[str, int], *, site_col: s
                    F.lit(constants["status"]).alias("intWorkOrderStatusID"),
                    F.col("_desc").alias("strDescription"))
     out = df.withColumn("_desc", desc)
-    return out.select("id_run_growth", "fiix_asset_id", F.col("_desc").alias("description"),
+    return out.select("id_run_growth", "asset_id", F.col("_desc").alias("description"),
                       F.to_json(obj).alias("request_json"))
 
 
