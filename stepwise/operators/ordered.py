@@ -44,11 +44,24 @@ def order_bucket(df: DataFrame, col: str, width) -> Column:
     return F.floor(c / F.lit(width))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in cols:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+_K = "_k"    # struct of the partition keys: one non-null column; nulls inside compare equal, as in GROUP BY
+_G = "_gk"   # struct(_k, bucket): the plain equi-join key of a (key, bucket) group
+
+
+def _keyed(df: DataFrame, keys: Sequence[str], order_col: str, width) -> DataFrame:
+    """Add the bucket, the key struct and the (key, bucket) struct.
+
+    Windows partition by ``_gk`` and summaries join back on ``_gk`` with ordinary equality, so the
+    large side keeps the hash partitioning of its window exchange (a null-safe join on the separate
+    columns would rewrite the keys and shuffle the large side a second time).
+    """
+    b = df.withColumn(_B, order_bucket(df, order_col, width))
+    k = F.struct(*[F.col(c) for c in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+    return b.withColumn(_K, k).withColumn(_G, _group_key(_K, _B))
+
+
+def _group_key(k_col: str, b_col: str) -> Column:
+    return F.struct(F.col(k_col).alias("k"), F.col(b_col).alias("b"))
 
 
 def shift_within(df: DataFrame, keys, order: Sequence[str], values: Sequence[str], *, offset: int = 1,
@@ -67,32 +80,25 @@ def shift_within(df: DataFrame, keys, order: Sequence[str], values: Sequence[str
     values = _names(values)
     tie = [c for c in values if c not in order]
     sort_cols = order + tie
-    b = df.withColumn(_B, order_bucket(df, order[0], width))
-    asc = [F.col(c).asc_nulls_first() for c in sort_cols]
-    w = Window.partitionBy(*keys, _B).orderBy(*asc)
+    b = _keyed(df, keys, order[0], width)
+    w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
     fn = F.lead if offset == 1 else F.lag
     local = b
     for v in values:
         local = local.withColumn(prefix + v, fn(F.col(v), 1).over(w))
     local = local.withColumn("_edge", fn(F.lit(1), 1).over(w).isNull())
 
-    # Boundary rows: the first (for LEAD) / last (for LAG) row of the neighbouring non-empty bucket.
+    # Boundary rows: the first (for LEAD) / last (for LAG) row of the neighbouring non-empty bucket,
+    # from a one-row-per-bucket summary (partially aggregated before its shuffle).
     packed = F.struct(*[F.col(c) for c in sort_cols + [v for v in values if v not in sort_cols]])
-    if offset == 1:
-        ends = b.groupBy(*keys, _B).agg(F.min(packed).alias("_end"))
-        wn = Window.partitionBy(*keys).orderBy(F.col(_B).asc())
-        ends = ends.withColumn("_nb", F.lead("_end", 1).over(wn))
-    else:
-        ends = b.groupBy(*keys, _B).agg(F.max(packed).alias("_end"))
-        wn = Window.partitionBy(*keys).orderBy(F.col(_B).asc())
-        ends = ends.withColumn("_nb", F.lag("_end", 1).over(wn))
-    ends = ends.select(*keys, _B, "_nb")
-    e = ends.alias("_e")
-    joined = local.alias("_l").join(e, _null_safe_on(local.alias("_l"), e, keys + [_B]), "left")
-    added = {prefix + v for v in values} | {"_edge", _B}
-    out_cols = [F.col(f"_l.{c}") for c in local.columns if c not in added]
+    ends = b.groupBy(_K, _B).agg((F.min(packed) if offset == 1 else F.max(packed)).alias("_end"))
+    wn = Window.partitionBy(_K).orderBy(F.col(_B).asc())
+    ends = ends.withColumn("_nb", (F.lead if offset == 1 else F.lag)("_end", 1).over(wn))
+    ends = ends.select(_group_key(_K, _B).alias(_G), "_nb")
+    joined = local.join(ends, _G, "left")
+    out_cols = [F.col(c) for c in df.columns]
     for v in values:
-        out_cols.append(F.when(F.col("_l._edge"), F.col(f"_e._nb.{v}")).otherwise(F.col(f"_l.{prefix + v}")).alias(prefix + v))
+        out_cols.append(F.when(F.col("_edge"), F.col(f"_nb.{v}")).otherwise(F.col(prefix + v)).alias(prefix + v))
     return joined.select(*out_cols)
 
 
@@ -107,30 +113,28 @@ def ordered_rank(df: DataFrame, keys, order: Sequence[str], *, width, name: str
     """
     keys = _names(keys)
     order = _names(order)
-    b = df.withColumn(_B, order_bucket(df, order[0], width))
-    w = Window.partitionBy(*keys, _B).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    b = _keyed(df, keys, order[0], width)
+    w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     local = b.withColumn("_lrn", F.row_number().over(w))
-    counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.partitionBy(*keys).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = b.groupBy(_K, _B).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wk), F.lit(0)))
     if count_name:
-        counts = counts.withColumn(count_name, F.sum("_n").over(Window.partitionBy(*keys)))
-    sel = [*keys, _B, "_before"] + ([count_name] if count_name else [])
-    c = counts.select(*sel).alias("_c")
-    l = local.alias("_l")
-    joined = l.join(c, _null_safe_on(l, c, keys + [_B]), "left")
-    out = [F.col(f"_l.{x}") for x in local.columns if x not in ("_lrn", _B)]
-    out.append((F.col("_l._lrn") + F.col("_c._before")).alias(name))
+        counts = counts.withColumn(count_name, F.sum("_n").over(Window.partitionBy(_K)))
+    counts = counts.select(_group_key(_K, _B).alias(_G), "_before", *([count_name] if count_name else []))
+    joined = local.join(counts, _G, "left")
+    out = [F.col(c) for c in df.columns] + [(F.col("_lrn") + F.col("_before")).alias(name)]
     if count_name:
-        out.append(F.col(f"_c.{count_name}"))
+        out.append(F.col(count_name))
     return joined.select(*out)
 
 
 def median_over(df: DataFrame, keys, value: str, *, width, name: str = "median") -> DataFrame:
     """``PERCENTILE_CONT(value, 0.5) OVER (PARTITION BY keys)`` on every row — exact and skew-safe.
 
-    Non-null values are ranked per key (``ordered_rank``); the two middle ranks are fetched with an
-    equi join on ``(key, rank)`` and interpolated. No group is ever collected into one buffer.
+    Non-null values are ranked per key (``ordered_rank``); the two middle ranks are kept and
+    interpolated per key; the one-row-per-key result is joined back. No group is ever collected into
+    one buffer.
     """
     keys = _names(keys)
     vals = df.filter(F.col(value).isNotNull()).select(*keys, value)
@@ -138,49 +142,41 @@ def median_over(df: DataFrame, keys, value: str, *, width, name: str = "median")
     pos = F.lit(1.0) + F.lit(0.5) * (F.col("_cnt") - 1)
     ranked = ranked.withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos))
     picks = ranked.filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    med = picks.groupBy(*keys).agg(
+    med = picks.groupBy(F.struct(*[F.col(k) for k in keys]).alias(_K)).agg(
         F.max(F.when(F.col("_r") == F.col("_lo"), F.col(value))).alias("_vlo"),
         F.max(F.when(F.col("_r") == F.col("_hi"), F.col(value))).alias("_vhi"),
-        F.first("_lo").alias("_plo"),
-        F.first("_cnt").alias("_pc"),
-    )
+        F.max("_lo").alias("_plo"), F.max("_cnt").alias("_pc"))
     frac = (F.lit(1.0) + F.lit(0.5) * (F.col("_pc") - 1)) - F.col("_plo")
-    med = med.select(*keys, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).cast("double").alias(name))
-    m = med.alias("_m")
-    d = df.alias("_d")
-    joined = d.join(m, _null_safe_on(d, m, keys), "left")
-    return joined.select(*[F.col(f"_d.{c}") for c in df.columns], F.col(f"_m.{name}"))
+    med = med.select(_K, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).cast("double").alias(name))
+    d = df.withColumn(_K, F.struct(*[F.col(k) for k in keys]))
+    return d.join(med, _K, "left").select(*[F.col(c) for c in df.columns], F.col(name))
 
 
 def global_dense_rank(df: DataFrame, order: Sequence[str], *, width, name: str = "dense_rank",
                       bucket_col: str | None = None) -> DataFrame:
-    """``DENSE_RANK() OVER (ORDER BY order…)`` without a single-partition window.
+    """``DENSE_RANK() OVER (ORDER BY order…)`` without a window over all rows.
 
-    Distinct order tuples are numbered with ``ordered_rank`` using buckets of ``bucket_col``
-    (default: the last order column, which must be numeric or temporal) nested under the
-    leading columns, then joined back to every row.
+    The distinct order tuples are grouped into composite buckets (leading columns + bucket of
+    ``bucket_col``, default the last order column, numeric or temporal): row numbers inside each
+    bucket plus the number of tuples in earlier buckets. Only the bucket summary (one row per
+    bucket, size ≈ distinct / width) is ordered as a whole; the result is joined back to every row.
     """
     order = _names(order)
     bc = bucket_col or order[-1]
     lead_cols = order[: order.index(bc)] if bc in order else []
     distinct = df.select(*order).distinct()
-    # composite bucket (leading columns, bucket of bc) is monotone in the full order
     b = distinct.withColumn("_ob0", order_bucket(distinct, bc, width))
-    bucket_keys = lead_cols + ["_ob0"]
-    buckets = b.groupBy(*bucket_keys).agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(F.lit(0)).orderBy(*[F.col(c).asc_nulls_first() for c in bucket_keys]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket: this window runs on the bucket summary only (size = distinct / width)
+    b = b.withColumn(_G, F.struct(*[F.col(c) for c in lead_cols + ["_ob0"]]))
+    buckets = b.groupBy(_G).agg(F.count(F.lit(1)).alias("_n"))
+    # struct ordering is field by field with nulls first, the same as ORDER BY lead…, bucket
+    wb = Window.orderBy(F.col(_G).asc()).rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    wl = Window.partitionBy(*bucket_keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    wl = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     local = b.withColumn("_lrn", F.row_number().over(wl))
-    l = local.alias("_l")
-    s = buckets.alias("_s")
-    ranked = l.join(s, _null_safe_on(l, s, bucket_keys), "left").select(
-        *[F.col(f"_l.{c}") for c in order], (F.col("_l._lrn") + F.col("_s._before")).alias(name))
-    r = ranked.alias("_r")
-    d = df.alias("_d")
-    return d.join(r, _null_safe_on(d, r, order), "left").select(*[F.col(f"_d.{c}") for c in df.columns], F.col(f"_r.{name}"))
+    ranked = local.join(buckets, _G, "left").select(F.struct(*[F.col(c) for c in order]).alias("_ot"),
+                                                    (F.col("_lrn") + F.col("_before")).alias(name))
+    d = df.withColumn("_ot", F.struct(*[F.col(c) for c in order]))
+    return d.join(ranked, "_ot", "left").select(*[F.col(c) for c in df.columns], F.col(name))
 
 
 def running_max_before(df: DataFrame, keys, order: str, value: str, probe: str, *, width,
@@ -192,19 +188,16 @@ def running_max_before(df: DataFrame, keys, order: str, value: str, probe: str,
     maximum of all earlier buckets of the key, taken from the one-row-per-bucket summary.
     """
     keys = _names(keys)
-    b = df.withColumn(_B, order_bucket(df, order, width)).withColumn("_side", F.when(F.col(probe), 0).otherwise(1))
-    w = Window.partitionBy(*keys, _B).orderBy(F.col(order).asc_nulls_first(), F.col("_side").asc()) \
+    b = _keyed(df, keys, order, width).withColumn("_side", F.when(F.col(probe), 0).otherwise(1))
+    w = Window.partitionBy(_G).orderBy(F.col(order).asc_nulls_first(), F.col("_side").asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = b.withColumn("_lmax", F.max(value).over(w))
-    summ = b.groupBy(*keys, _B).agg(F.max(value).alias("_bmax"))
-    wk = Window.partitionBy(*keys).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.withColumn("_carry", F.max("_bmax").over(wk)).select(*keys, _B, "_carry")
-    l = local.alias("_l")
-    s = summ.alias("_s")
-    joined = l.join(s, _null_safe_on(l, s, keys + [_B]), "left")
-    keep = [F.col(f"_l.{c}") for c in df.columns]
-    res = F.greatest(F.col("_l._lmax"), F.col("_s._carry"))  # greatest skips nulls: max of both parts
-    return joined.select(*keep, res.alias(name))
+    summ = b.groupBy(_K, _B).agg(F.max(value).alias("_bmax"))
+    wk = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_carry", F.max("_bmax").over(wk)).select(_group_key(_K, _B).alias(_G), "_carry")
+    joined = local.join(summ, _G, "left")
+    res = F.greatest(F.col("_lmax"), F.col("_carry"))  # greatest skips nulls: max of both parts
+    return joined.select(*[F.col(c) for c in df.columns], res.alias(name))
 
 
 def next_value(df: DataFrame, keys, order: Sequence[str], value: str, *, width, name: str | None = None) -> DataFrame:
