@@ -30,3 +30,25 @@ def test_incremental_load_is_exactly_once(spark):
     assert sorted(r.id_run_growth for r in second.collect()) == [1]  # 2: zero duration, 3: empty id / other shard
     again = run_end_time_check(**kw)  # nothing new to read
     assert again.count() == 1
+
+
+def test_sharded_sensor_is_pruned_by_the_run_join(spark, tmp_path):
+    from stepwise.plans.runs import last_reading_per_run
+    from stepwise.sources.tables import read_shards, write_shards
+
+    t = datetime(2025, 1, 10)
+    sensor = spark.createDataFrame(
+        [(f"shard{i % 4}", t + timedelta(minutes=i % 50), 11, ("p", "1")) for i in range(200)],
+        "data_table string, timestamp timestamp_ntz, id_run long, pyrometer struct<id_value:string,id_run_growth:string>")
+    path = str(tmp_path / "sensor")
+    write_shards(sensor, path, "data_table")
+    runs = spark.createDataFrame([(1, 11, 5, t - timedelta(hours=5), t, 3.0)],
+                                 "id_run_growth long, id_growing_run long, id_station long, start_time timestamp_ntz, "
+                                 "end_time timestamp_ntz, run_duration double")
+    stations = spark.createDataFrame([(5, "shard2")], "id_station long, data_table string")
+    done = spark.createDataFrame([], "id_run_growth long")
+    out = last_reading_per_run(runs, stations, read_shards(spark, path, "data_table"), done, t + timedelta(hours=1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    # shard2 rows are i % 4 == 2 at minute i % 50; the newest (i = 98 or 198) is minute 48
+    assert [(r.id_run_growth, r.id_run_end_time) for r in out.collect()] == [(1, t + timedelta(minutes=48))]
