@@ -50,7 +50,6 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
     ``LEAST`` → ``DENSE_RANK`` over (size group, parent) without a single-partition window.
     """
     as_of = as_utc(as_of)
-    mt = measurements.schema["data_collection_complete_date"].dataType
     first = measurements.filter((F.col("data_collection_name") == F.lit(collection))
                                 & between_instants(measurements, "data_collection_complete_date", as_of - timedelta(days=cohort_days), None, False))
     if exclude_flow is not None:
@@ -74,7 +73,6 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
         F.max(F.when(F.col("parameter_name") == F.lit(min_param), safe_number("collected_value"))).alias("minThick_raw"),
         F.max(F.when(F.col("parameter_name") == F.lit(max_param), safe_number("collected_value"))).alias("maxThick_raw"))
 
-    ht = history.schema["modified_on"].dataType
     prefix_len = len(step_prefixes[0]) if step_prefixes else 3
     sc = history.filter((F.col("operation_name") == F.lit(terminate_op))
                         & between_instants(history, "modified_on", as_of - timedelta(days=cohort_days), None, False)
