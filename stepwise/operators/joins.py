@@ -129,7 +129,7 @@ def offset_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
 
 def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combos: Sequence[str],
                   left_id: str, right_id: str, left_time: str, right_time: str, width,
-                  name: str = "last_id") -> DataFrame:
+                  name: str = "last_id", materialize: bool = False) -> DataFrame:
     """For each left row and each ``combos`` value present for its ``by`` key: the largest
     ``right_id`` with ``right_id < left_id`` **and** ``right_time < left_time`` (or null).
 
@@ -142,6 +142,8 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
        ``by + combos`` with both inequalities, restricted to those left rows only.
 
     Returns ``left`` columns + ``combos`` + ``name`` for every (left row, combo) with a match.
+    The candidate rows feed both the fast path and the fallback; ``materialize=True`` writes them
+    once as a reliable checkpoint (shared checkpoint folder) instead of computing them twice.
     """
     by = _names(by)
     combos = _names(combos)
@@ -164,6 +166,9 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     checked = scanned.filter(F.col("_probe")).select(
         *keys, "_row", F.col("_cand._rid").alias("_c1"),
         (F.col("_cand").isNull() | (F.col("_cand._rt") < lt)).alias("_ok"))
+    if materialize:
+        from stepwise.operators.tree import materialize as _materialize
+        checked = _materialize(checked)
     # exact fallback, only for the (rare) rows whose id-order candidate is not earlier in time
     bad = checked.filter(~F.col("_ok")).select(*keys, "_row")
     r2 = right.select(*keys, F.col(right_id).alias("_rid2"), F.col(right_time).alias("_rt2"))

@@ -55,7 +55,7 @@ def last_reading_per_run(runs: DataFrame, stations: DataFrame, sensor: DataFrame
 # ----------------------------------------------------------------------------- J07
 
 def config_at_run(runs: DataFrame, config: DataFrame, columns: Sequence[tuple[str, Sequence[str] | str]], *,
-                  aliases: Sequence[Alias] = (), width=1_000_000) -> DataFrame:
+                  aliases: Sequence[Alias] = (), width=1_000_000, materialize: bool = False) -> DataFrame:
     """Equipment configuration in force at each growing run.
 
     Parameter names are canonicalised; per run × (step name, parameter) the latest earlier config
@@ -69,7 +69,8 @@ def config_at_run(runs: DataFrame, config: DataFrame, columns: Sequence[tuple[st
     right = rdh.select("id_station", "step_name", "step_parameter", "id_run", "start_time")
     last = latest_before(left, right, by=["id_station"], combos=["step_name", "step_parameter"],
                          left_id="id_growing_run", right_id="id_run", left_time="start_time",
-                         right_time="start_time", width=width, name="last_equipment_run")
+                         right_time="start_time", width=width, name="last_equipment_run",
+                         materialize=materialize)
     last = last.filter(F.col("last_equipment_run").isNotNull())
     last = last.groupBy("id_growing_run", "id_run_growth", "station_name", "step_name", "step_parameter") \
         .agg(F.max("last_equipment_run").alias("last_equipment_run"))

@@ -84,3 +84,17 @@ def test_grouped_sorted_list_equals_listagg(spark):
     exp = df.groupBy("k").agg(F.expr("listagg(p, ',') WITHIN GROUP (ORDER BY p)").alias("lst"),
                               F.count("p").alias("n"), F.sum("x").alias("s"))
     assert rows(got, "k", "lst", "n", "s") == rows(exp, "k", "lst", "n", "s")
+
+
+def test_latest_before_materialized_equals_lazy(spark):
+    from datetime import datetime, timedelta
+
+    base = datetime(2024, 1, 1)
+    right = spark.createDataFrame([(1, "a", i, base + timedelta(hours=(i * 7) % 11)) for i in range(1, 30)],
+                                  "st int, p string, rid long, t timestamp_ntz")
+    left = spark.createDataFrame([(1, n, 10 + n, base + timedelta(hours=n)) for n in range(12)],
+                                 "st int, n int, lid long, t timestamp_ntz")
+    kw = dict(by=["st"], combos=["p"], left_id="lid", right_id="rid", left_time="t", right_time="t", width=5, name="x")
+    a = latest_before(left, right, **kw)
+    b = latest_before(left, right, materialize=True, **kw)
+    assert rows(a, "n", "x") == rows(b, "n", "x")

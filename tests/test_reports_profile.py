@@ -63,7 +63,7 @@ def test_cycle_time_report_inherits_parent_hours(spark):
     ], LOG_SCHEMA)
     blocks = spark.createDataFrame([(101, 100), (102, 100)], "id_block long, parent_id_block long")
     out = cycle_time_report(log, transitions(spark, CYCLE_TRANSITIONS), segment_steps(spark), blocks, AS_OF,
-                            flow=F_, parent_segment=PARENT_SEGMENT)
+                            flow=F_, parent_segment=PARENT_SEGMENT, materialize=True)
     got = {(r.segment_name, r.period): (r.segment_rank, r.cycle_hour_avg, r.cycle_hour_max, r.number_of_blocks)
            for r in out.collect()}
     # children 101 (3 h inherited + 2 h own) and 102 (3 h inherited); the parent's own row is dropped
