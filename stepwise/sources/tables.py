@@ -15,9 +15,15 @@ def read_table(spark: SparkSession, path_or_name: str, fmt: str = "parquet") ->
     return spark.table(path_or_name)
 
 
-def write_shards(df: DataFrame, path: str, shard_col: str, mode: str = "overwrite") -> None:
-    """Lay a dataset out as ``path/<shard_col>=<value>/`` so a shard filter prunes directories."""
-    df.repartition(shard_col).write.mode(mode).partitionBy(shard_col).parquet(path)
+def write_shards(df: DataFrame, path: str, shard_col: str, mode: str = "overwrite", files_per_shard: int = 8) -> None:
+    """Lay a dataset out as ``path/<shard_col>=<value>/`` so a shard filter prunes directories.
+
+    Rows are spread over ``files_per_shard`` tasks per shard by a hash of their content (a
+    deterministic salt, so a retried task writes the same rows): a shard holding a third of the data
+    is written by several tasks, not one.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_shard))
+    df.repartition(F.col(shard_col), salt).write.mode(mode).partitionBy(shard_col).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, shard_col: str, shards: Sequence[str] | DataFrame | None = None) -> DataFrame:
