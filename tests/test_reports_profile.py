@@ -71,3 +71,43 @@ def test_cycle_time_report_inherits_parent_hours(spark):
         assert got[("Singulation", period)] == (3, pytest.approx(4.0), pytest.approx(5.0), 2)
     assert got[("Block Prep", "90d")] == (1, 0.01, 0.01, None)
     assert [k for k in got if k[1] == "90d"] and len(got) == 5 * 3
+
+
+def test_throughput_report_reference_filter(spark):
+    F_ = BACK_END_FLOW
+    log = spark.createDataFrame([(1, F_, "702038", "702040", datetime(2025, 11, 3, 18), "Prod", 1.0)], LOG_SCHEMA)
+    dims = spark.createDataFrame([(1, 920.0)], "id_block long, thickness double")
+    ships = spark.createDataFrame([], "id_block long, timestamp timestamp_ntz, size_family string")
+    stock = spark.createDataFrame([(30.0,)], "plate_count double")
+    grown = spark.createDataFrame([], "id_block long, id_run_growth long, end_time timestamp_ntz, new_thickness double")
+    runs = spark.createDataFrame([], "id_run_growth long, seed_size_type string")
+    out = throughput_report(log, transitions(spark), ships, dims, stock, grown, runs, AS_OF, flow=F_,
+                            keep_period="5d", keep_product="1x1").collect()
+    got = {(r.segment, r.step_order): r["yield"] for r in out}
+    assert {r.period for r in out} == {"5d"} and {r.master_product for r in out} == {"1x1"}
+    assert got[("Block Prep", 2)] == pytest.approx(2 / 5) and got[("Stock/30", 8)] == pytest.approx(1.0)
+    assert got[("Grown", 1)] == 0.01 and got[("RIM", 3)] == 0.01
+    assert [r.step_order for r in out] == sorted(r.step_order for r in out)
+
+
+def test_segment_cycle_time_keeps_one_segment_with_median(spark):
+    from stepwise.operators.grids import inline_rows
+    from stepwise.plans.cycle import segment_cycle_time
+    from stepwise.plans.profiles import CORING_RENAMES, CORING_SPLITS
+
+    cohort = spark.createDataFrame([(1, 10, datetime(2025, 11, 1)), (2, 20, datetime(2025, 11, 2)),
+                                    (3, None, datetime(2025, 11, 2))],
+                                   "id_block long, parent_id_block long, WS_ship_out_time timestamp_ntz")
+    log = spark.createDataFrame([
+        (10, "302010", "x", 3600.0 * 4, "Prod", datetime(2025, 10, 1)),   # parent of 1: coring 4 h
+        (1, "302011", "x", 3600.0 * 1, "Prod", datetime(2025, 10, 2)),    # child 1 itself: + 1 h -> 5 h
+        (20, "302010", "x", 3600.0 * 2, "Prod", datetime(2025, 10, 1)),   # parent of 2: 2 h
+        (3, "302010", "x", 3600.0 * 9, "Software Test", datetime(2025, 10, 1)),  # test material: ignored
+        (3, "304020", "x", 3600.0 * 7, "Prod", datetime(2025, 10, 1)),    # TDL step, not Core
+        (1, "302010", None, 3600.0 * 50, "Prod", datetime(2025, 10, 1)),  # no next step: ignored
+    ], "id_block long, step_name string, step_name_next string, cycle_time double, material_type_in string, "
+       "end_time timestamp_ntz")
+    segs = inline_rows(spark, [("302", "Coring"), ("304", "TDL")], "segment_id string, segment_name string")
+    out = segment_cycle_time(log, cohort, segs, AS_OF, splits=CORING_SPLITS, renames=CORING_RENAMES, segment="Core")
+    got = sorted((r.child_plate, r.cycle_hour, r.median_cycle_hour) for r in out.collect())
+    assert got == [(1, 5.0, 3.5), (2, 2.0, 3.5)]
