@@ -16,6 +16,7 @@ the window's hash partitioning of the large side, so only the summary is shuffle
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,23 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 _B = "_ob"  # bucket column
 
+# Inputs whose planned size (Catalyst's estimate of the optimized plan) is at most this many bytes fit
+# one task, so no key can be "hot": the single-stage window is exact and cheapest there. Larger or
+# unknown inputs (joins report a product estimate) take the two-level path. 0 always splits.
+ONE_TASK_BYTES = int(os.environ.get("STEPWISE_ONE_TASK_BYTES", str(16 * 1024 * 1024)))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """True when the planner's size estimate of ``df`` is within ``ONE_TASK_BYTES``."""
+    if ONE_TASK_BYTES <= 0:
+        return False
+    try:
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())
+    except Exception:  # noqa: BLE001 - no estimate: take the safe path
+        return False
+    return size <= ONE_TASK_BYTES
+
 
 def _names(cols) -> list[str]:
     if cols is None:
@@ -80,9 +98,12 @@ def shift_within(df: DataFrame, keys, order: Sequence[str], values: Sequence[str
     values = _names(values)
     tie = [c for c in values if c not in order]
     sort_cols = order + tie
+    fn = F.lead if offset == 1 else F.lag
+    if fits_one_task(df):
+        w1 = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
+        return df.select("*", *[fn(F.col(v), 1).over(w1).alias(prefix + v) for v in values])
     b = _keyed(df, keys, order[0], width)
     w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
-    fn = F.lead if offset == 1 else F.lag
     local = b
     for v in values:
         local = local.withColumn(prefix + v, fn(F.col(v), 1).over(w))
@@ -113,6 +134,12 @@ def ordered_rank(df: DataFrame, keys, order: Sequence[str], *, width, name: str
     """
     keys = _names(keys)
     order = _names(order)
+    if fits_one_task(df):
+        w1 = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        cols = [F.row_number().over(w1).cast("bigint").alias(name)]  # same type as the two-level path
+        if count_name:
+            cols.append(F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(count_name))
+        return df.select("*", *cols)
     b = _keyed(df, keys, order[0], width)
     w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     local = b.withColumn("_lrn", F.row_number().over(w))
@@ -162,6 +189,9 @@ def global_dense_rank(df: DataFrame, order: Sequence[str], *, width, name: str =
     bucket, size ≈ distinct / width) is ordered as a whole; the result is joined back to every row.
     """
     order = _names(order)
+    if fits_one_task(df):
+        w1 = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+        return df.withColumn(name, F.dense_rank().over(w1).cast("bigint"))  # same type as the two-level path
     bc = bucket_col or order[-1]
     lead_cols = order[: order.index(bc)] if bc in order else []
     distinct = df.select(*order).distinct()
@@ -188,7 +218,12 @@ def running_max_before(df: DataFrame, keys, order: str, value: str, probe: str,
     maximum of all earlier buckets of the key, taken from the one-row-per-bucket summary.
     """
     keys = _names(keys)
-    b = _keyed(df, keys, order, width).withColumn("_side", F.when(F.col(probe), 0).otherwise(1))
+    side = F.when(F.col(probe), 0).otherwise(1)
+    if fits_one_task(df):
+        w1 = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), side.asc()) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", F.max(value).over(w1).alias(name))
+    b = _keyed(df, keys, order, width).withColumn("_side", side)
     w = Window.partitionBy(_G).orderBy(F.col(order).asc_nulls_first(), F.col("_side").asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = b.withColumn("_lmax", F.max(value).over(w))

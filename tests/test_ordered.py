@@ -75,3 +75,33 @@ def test_running_max_before_is_strict(spark):
 def test_no_unpartitioned_window_over_rows(spark, skewed):
     plan = shift_within(skewed, ["k"], ["t"], ["i"], width=86400)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_one_task_path_matches_two_level_path(spark, skewed, tmp_path):
+    from stepwise.operators import ordered
+
+    # sizes come from file statistics (an in-memory DataFrame has no estimate and always splits)
+    skewed.write.parquet(str(tmp_path / "skewed"))
+    skewed = spark.read.parquet(str(tmp_path / "skewed"))
+
+    def run_all():
+        lead = shift_within(skewed, ["k"], ["t"], ["i"], offset=1, width=86400)
+        rank = ordered_rank(skewed, ["k"], ["t", "i"], width=86400, name="rn", count_name="n")
+        med = median_over(skewed, ["k"], "v", width=25, name="med")
+        dr = global_dense_rank(skewed, ["k", "i"], width=100, name="r", bucket_col="i")
+        types = [d.dtypes for d in (lead, rank, med, dr)]
+        return (types, rows(lead, "i", "next_i"), rows(rank, "i", "rn", "n"), rows(med, "i", "med"), rows(dr, "i", "r"))
+
+    old = ordered.ONE_TASK_BYTES
+    try:
+        ordered.ONE_TASK_BYTES = 0
+        assert not ordered.fits_one_task(skewed)
+        split = run_all()
+        ordered.ONE_TASK_BYTES = 1 << 30
+        assert ordered.fits_one_task(skewed)
+        plan = shift_within(skewed, ["k"], ["t"], ["i"], width=86400)._jdf.queryExecution().executedPlan().toString()
+        assert "_gk" not in plan  # the single-stage window was taken
+        single = run_all()
+    finally:
+        ordered.ONE_TASK_BYTES = old
+    assert split == single
