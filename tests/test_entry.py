@@ -23,9 +23,7 @@ def test_entry_runs_on_smoke_data(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
-@pytest.mark.parametrize("name", ["step_delay", "sequence_gaps", "config_at_run", "segment_cycle_time",
-                                  "throughput_report", "flow_tree", "thickness_report", "backfill_latest",
-                                  "latest_before", "median_over", "dense_rank_global", "sorted_list"])
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle_at_smoke_scale(spark, name):
     from tools.oracle_check import duck, rows_of
 
@@ -35,3 +33,5 @@ def test_query_matches_oracle_at_smoke_scale(spark, name):
     d_cols, d_rows = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert s_cols == d_cols
     assert s_rows == d_rows
+    from tools.oracle_check import type_mismatches
+    assert type_mismatches(sdf, duck(SF), E.oracle_sql()[name]) == []
