@@ -922,3 +922,18 @@ REGISTRY.update({
     "not_in_null_aware": q_not_in_null_aware,
     "period_rollup": q_period_rollup,
 })
+
+
+def q_backfill_latest_plain(spark, sf_dir):
+    """J20, second instance: the target has no growth-id column; other processes and no location rule."""
+    from stepwise.plans.backfill import HISTORY_COLUMNS, backfill_latest
+    configure(spark)
+    hist = event_history(spark, sf_dir)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    run_blocks = o.select(F.col("o_custkey").alias("id_block"), F.col("o_orderkey").alias("id_run_growth"))
+    ids = c.filter(F.col("c_mktsegment") == "MACHINERY").select("c_custkey")
+    target = hist.filter(F.col("step_parameter") == "click").select(*HISTORY_COLUMNS)
+    return backfill_latest(target, hist, run_blocks, ids, ["ProcA", "ProcB"], with_growth=False)
+
+
+REGISTRY["backfill_latest_plain"] = q_backfill_latest_plain
