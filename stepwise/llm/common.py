@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, where their Python can't import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_package_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="llm-package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(name, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    sc.addPyFile(str(name))
+    sc._llm_package_sent = True

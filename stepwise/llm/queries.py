@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert_shards, quality_rules
-from .common import table
+from . import fingerprints, hilbert_shards, packing, pieces, quality_rules, toxicity
+from .common import ship_package, stored, table
+
+
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """Path of a public tokenizer's file; ``folder`` defaults to the installed package's."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +28,34 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    path = vocabulary("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                       (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                       (F.col("decoded") == F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("round_trip"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hilbert_shards.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    cut = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    cut = stored(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op5_quality_rules, op8_sharding)
+    f.__name__: f for f in (op2_document_fingerprints, op5_quality_rules, op6_sentencepiece, op7_toxicity, op8_sharding, op9_packing)
 }
 ORACLES: dict[str, str] = {}
