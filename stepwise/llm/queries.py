@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert_shards, packing, pieces, quality_rules, toxicity
+from . import fingerprints, hilbert_shards, html_text, packing, pieces, quality_rules, toxicity, url_filter
 from .common import ship_package, stored, table
 
 
@@ -24,6 +24,15 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -56,6 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op5_quality_rules, op6_sentencepiece, op7_toxicity, op8_sharding, op9_packing)
+    f.__name__: f for f in (op2_document_fingerprints, op3_html_extraction, op4_url_filter, op5_quality_rules, op6_sentencepiece, op7_toxicity,
+                              op8_sharding, op9_packing)
 }
 ORACLES: dict[str, str] = {}
