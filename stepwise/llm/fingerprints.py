@@ -14,6 +14,8 @@ others. Equal texts have equal fingerprints; the hash has no seed from the run.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,6 +102,13 @@ def likeness(a: Column, b: Column, bins: int = BINS, width: int = WIDTH) -> Colu
     return F.when(none_a & none_b, 1.0).when(none_a | none_b, 0.0).otherwise(F.least(F.greatest(est, F.lit(0.0)), F.lit(1.0)))
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which nulls equal nulls; the keys come from the left."""
+    left, right = left.alias("l"), right.alias("r")
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return left.join(right, on).select("l.*", *[f"r.{c}" for c in right.columns if c not in keys])
+
+
 def next_documents(keys: DataFrame, runs: int = RUNS) -> DataFrame:
     """(doc_id, h) with the next pair in order as (next_id, next_h); after the last comes the first.
     Order is cut into runs by quantiles; only one row per run meets in one task."""
@@ -114,33 +123,36 @@ def next_documents(keys: DataFrame, runs: int = RUNS) -> DataFrame:
     return out.select("doc_id", "h", F.col("nk.doc_id").alias("next_id"), F.col("nk.h").alias("next_h"))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
+def edited_pairs(docs: DataFrame) -> tuple[DataFrame, bool]:
     """Every document with its edited text: the last half replaced by the start of the next document.
     Documents are told apart by (doc_id, hash of the text); rows equal in both count as one document
-    when the next is sought, and each gets a row of its own in the result."""
+    when the next is sought, and each gets a row of its own in the result; the flag tells if there are any."""
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    counts = stored(rows.groupBy("doc_id", "h", "n_chars").agg(F.count("*").alias("copies")), "fingerprint-keys")
-    follow = stored(next_documents(counts.select("doc_id", "h")), "fingerprint-next")
-    want = follow.join(counts.drop("copies"), ["doc_id", "h"]).withColumn(
-        "half", F.expr("n_chars div 2").cast("int")).drop("n_chars")
-    source = rows.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
-    heads = want.join(source, ["next_id", "next_h"]).select(
-        "doc_id", "h", "next_id", "next_h", F.expr("substring(next_text, 1, half)").alias("head"))
-    if counts.where("copies > 1").limit(1).count():  # repeated rows meet the same head several times
+    keys = rows.groupBy("doc_id", "h").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n_chars"))
+    keys = stored(keys, "fingerprint-keys")
+    repeated = bool(keys.where("copies > 1").limit(1).count())
+    follow = stored(next_documents(keys.select("doc_id", "h")), "fingerprint-next")
+    want = same(follow, keys.drop("copies"), ["doc_id", "h"]).withColumn("half", F.expr("n_chars div 2").cast("int"))
+    # both joins read the texts dealt by (doc_id, h), so the one exchange serves twice
+    heads = want.alias("w").join(rows.alias("r"), F.col("w.next_id").eqNullSafe(F.col("r.doc_id")) & (F.col("w.next_h") == F.col("r.h"))).select(
+        "w.doc_id", "w.h", "w.next_id", "w.next_h", F.expr("substring(r.text, 1, half)").alias("head"))
+    if repeated:  # equal rows meet the same head several times
         heads = heads.dropDuplicates(["doc_id", "h"])
-    return rows.join(heads, ["doc_id", "h"]).withColumn(
+    both = same(rows, heads, ["doc_id", "h"]).withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), "head"))
+    return both, repeated
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and edited texts, with their likeness to each other and to the next."""
-    d = edited_pairs(docs).select("doc_id", "h", "next_id", "next_h", "n_chars", "text", "edited")
+    d, repeated = edited_pairs(docs)
+    d = d.select("doc_id", "h", "next_id", "next_h", "n_chars", "text", "edited")
     d = d.withColumn("edited_sha256", F.sha2("edited", 256))
     d = fingerprint(d, "text", "f").drop("text")
     d = stored(fingerprint(d, "edited", "e").drop("edited"), "fingerprints")
-    after = d.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("f").alias("nf")).dropDuplicates(
-        ["next_id", "next_h"])
-    return d.join(after, ["next_id", "next_h"]).select(
+    after = d.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("f").alias("nf"))
+    if repeated:
+        after = after.dropDuplicates(["next_id", "next_h"])
+    return same(d, after, ["next_id", "next_h"]).select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("nf")).alias("near_next"))

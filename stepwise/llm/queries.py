@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert_shards, html_text, packing, pieces, quality_rules, toxicity, url_filter
+from . import fingerprints, hilbert_shards, html_text, packing, pieces, quality_rules, repeats, toxicity, url_filter
 from .common import ship_package, stored, table
 
 
@@ -20,6 +20,14 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -65,7 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_html_extraction, op4_url_filter, op5_quality_rules, op6_sentencepiece, op7_toxicity,
+    f.__name__: f for f in (op1_suffix_dedup, op2_document_fingerprints, op3_html_extraction, op4_url_filter, op5_quality_rules, op6_sentencepiece, op7_toxicity,
                               op8_sharding, op9_packing)
 }
 ORACLES: dict[str, str] = {}
