@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert_shards, html_text, packing, pieces, quality_rules, repeats, toxicity, url_filter
+from . import fingerprints, hilbert_shards, html_text, jaccard_join, packing, pieces, quality_rules, repeats, toxicity, url_filter
 from .common import ship_package, stored, table
 
 
@@ -72,8 +72,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_document_fingerprints, op3_html_extraction, op4_url_filter, op5_quality_rules, op6_sentencepiece, op7_toxicity,
-                              op8_sharding, op9_packing)
+                              op8_sharding, op9_packing, op10_ngram_jaccard_join)
 }
 ORACLES: dict[str, str] = {}
