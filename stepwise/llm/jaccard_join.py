@@ -56,11 +56,11 @@ LEAST_BITS, MOST_BITS = 64, 1 << 15
 def class_key(s: np.ndarray) -> int:
     """64-bit name of a set."""
     x = mix(s)
-    both = np.array([np.bitwise_xor.reduce(x) if len(x) else 0, x.sum(dtype=np.uint64), len(x)], dtype=np.uint64)
-    out = np.uint64(0)
-    for part in both:
-        out = mix(np.array([out * np.uint64(0x9E3779B97F4A7C15) + part], dtype=np.uint64))[0]
-    return int(out.astype(np.int64))
+    parts = (np.bitwise_xor.reduce(x, keepdims=True), x.sum(dtype=np.uint64, keepdims=True), np.array([len(x)], np.uint64))
+    out = np.zeros(1, np.uint64)
+    for part in parts:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
+    return int(out.view(np.int64)[0])
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -324,8 +324,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n_shingles, component_id), one row per document; ``h`` is the text's xxhash64."""
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document's set, and (node, root) of every class that has a link."""
     sets = stored(document_sets(docs), "sets")
     some = sets.where("n > 0")
     classes = stored(some.groupBy("c").agg(F.first("n").alias("n"), F.min("h").alias("h"), F.any_value("sketch").alias("sketch")), "classes")
@@ -340,7 +340,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if rest.limit(1).count():
         links = links.union(verified(rest, docs, classes))
         roots = stored(components(links), "roots")
-    named = sets.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    return sets, roots
+
+
+def with_roots(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n, c, root): the documents' sets (``h``: xxhash64 of the text) with their component."""
+    sets, roots = linked(docs)
+    return stored(sets.drop("sketch").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document."""
+    named = with_roots(docs)
     ids = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
     return named.join(ids, "root", "left").select(
-        "doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay: of every component the one with the smallest
+    (doc_id, text hash), and all rows without words."""
+    named = with_roots(docs)
+    staying = named.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    staying = stored(staying.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")).union(
+        named.where("n = 0").select("doc_id", "h").distinct()), "staying")
+    rows = docs.withColumn("_text_h", F.xxhash64(text_or_empty()))
+    rows = rows.join(staying, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi")
+    if named.where("n > 0").groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # repeated rows
+        words = rows.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        rows = words.dropDuplicates(["doc_id", "_text_h"]).union(rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+    return rows.drop("_text_h")

@@ -17,6 +17,8 @@ id: pieces of a document are consecutive.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +31,33 @@ from .common import text_or_empty
 ROOM = 2048
 END_ID = 1
 SALTS = 16
-#: words whose ids a task remembers
-REMEMBERED = 600_000
+#: words and parts of words whose ids a task remembers
+WORDS, PARTS = 400_000, 600_000
+#: words of these characters alone fall into letters, single digits and runs of other signs
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ɏ]+")
+PART = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
 
 _TOKENIZERS: dict = {}
 
 
+class PartIds(dict):
+    """Pre-token (lower-cased letters, a digit, or a run of signs) -> its ids as little-endian uint32
+    bytes, by the vocabulary's BPE model alone; the model's alphabet stands for bytes."""
+
+    def __init__(self, model) -> None:  # noqa: ANN001
+        self.tokenize = model.tokenize
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: chr(b) for b in own}
+        self.alphabet |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.alphabet)}
+
+    def __missing__(self, part: str) -> bytes:
+        coded = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode()))
+        out = array("I", [t.id for t in self.tokenize(coded)]).tobytes()
+        if len(self) < PARTS:
+            self[part] = out
+        return out
+
+
 class WordIds(dict):
     """Word (UTF-8 bytes) -> its ids as little-endian uint32 bytes, encoded when first met. The
     vocabulary's pre-tokeniser never joins text over ASCII white space, so words are independent."""
@@ -42,12 +65,16 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.parts = tokenizer.encode, PartIds(tokenizer.model)
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) < REMEMBERED:
+        text = word.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            out = b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
+        else:
+            out = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) < WORDS:
             self[word] = out
         return out
 

@@ -67,7 +67,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     count = lambda word: F.size(F.filter("v", lambda x: x.isin(word, word.capitalize()))).cast("long")
     hist = lambda lang: F.array(*map(count, COMMON[lang]))
     return d.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), F.length("t").cast("long").alias("n_chars"),
+        "doc_id", F.xxhash64("t").alias("h"), "lang", n.cast("long").alias("n_words"), F.length("t").cast("long").alias("n_chars"),
         (F.length("t") - F.col("c_white")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("rest_upper", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -141,4 +141,11 @@ def judge(docs: DataFrame) -> DataFrame:
         (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHARS) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_COMMON))
     return out.withColumn("kept", ~F.col("base_failed") & ~off).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "char_distance", "word_distance")
+        "char_distance", "word_distance", "h")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) that the rules keep; rows are found again by doc_id and text."""
+    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.withColumn("_text_h", F.xxhash64(text_or_empty()))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi").drop("_text_h")

@@ -226,3 +226,20 @@ def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
     schema = rows.select(*columns).schema.add("kept", "binary").add(
         "spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
     return rows.mapInArrow(cut, schema)
+
+
+def without_repeated_text(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) with the repeated bytes taken out of ``text``; a character that lost part of
+    its bytes goes too, and ``n_chars`` follows where there is such a column. Null texts stay null."""
+    names = docs.columns
+    rows = without_repeats(docs, names).drop("spans")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [kept.decode("utf-8", "ignore") if there else None for there, kept in zip(
+                batch.column("text").is_valid().to_pylist(), batch.column("kept").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+
+    out = rows.mapInArrow(decode, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -220,3 +220,12 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, train_grammar(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose score is under 0.5."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([grammar.score(t or "") < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
