@@ -364,9 +364,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     staying = named.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
     staying = stored(staying.select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_h")).union(
         named.where("n = 0").select("doc_id", "h").distinct()), "staying")
-    rows = docs.withColumn("_text_h", F.xxhash64(text_or_empty()))
-    rows = rows.join(staying, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi")
+    same = docs["doc_id"].eqNullSafe(staying["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == staying["_h"])
+    rows = docs.join(staying, same, "left_semi")
     if named.where("n > 0").groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # repeated rows
-        words = rows.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-        rows = words.dropDuplicates(["doc_id", "_text_h"]).union(rows.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
-    return rows.drop("_text_h")
+        some = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        rows = rows.where(some).dropDuplicates(["doc_id", "text"]).union(rows.where(~some))
+    return rows

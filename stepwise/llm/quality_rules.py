@@ -147,5 +147,5 @@ def judge(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that the rules keep; rows are found again by doc_id and text."""
     kept = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumn("_text_h", F.xxhash64(text_or_empty()))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi").drop("_text_h")
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_h"])
+    return docs.join(kept, same, "left_semi")

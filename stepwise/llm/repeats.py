@@ -155,7 +155,7 @@ def marks(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.col("later") | F.col("mixed") | (F.size("again") > 0))
     return rows.groupBy("_id", "_ver").agg(
         F.flatten(F.collect_list(F.when(F.col("later"), F.array_append("again", F.col("place"))).otherwise(F.col("again")))).alias("cuts"),
-        F.collect_list(F.when(F.col("mixed"), F.col("place"))).alias("ask"))
+        F.collect_set(F.when(F.col("mixed"), F.col("place"))).alias("ask"))
 
 
 def string_rows(asked: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -204,13 +204,14 @@ def merged(cuts: list[int], depth: int = DEPTH) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of ``docs`` with ``kept`` (the remaining bytes) and ``spans`` (what went)."""
-    own = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"),
-                      F.crc32(text_or_empty()).alias("_ver"), text_or_empty().cast("binary").alias("_text"))
-    rows = repeated_spans(own).select(*columns, "_text", "_cuts")
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """(row, kept, spans): every row of ``docs`` as one struct, its remaining bytes, and what went."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_id"),
+                      F.crc32(F.coalesce(docs["text"], F.lit(""))).alias("_ver"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("_text"))
+    rows = repeated_spans(own).select("row", "_text", "_cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             kept, spans = [], []
             for text, cuts in zip(batch.column("_text").to_pylist(), batch.column("_cuts").to_pylist(), strict=True):
@@ -219,27 +220,31 @@ def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
                 starts = [*(s for s, _ in gone), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends, starts, strict=True)) if gone else text)
                 spans.append([{"start": s, "end": e} for s, e in gone])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(kept, pa.binary()), pa.array(spans, kind)],
-                                             names=[*columns, "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "kept", "spans"])
 
-    schema = rows.select(*columns).schema.add("kept", "binary").add(
-        "spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
-    return rows.mapInArrow(cut, schema)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    return rows.mapInArrow(cut, T.StructType([*rows.select("row").schema.fields, T.StructField("kept", T.BinaryType()),
+                                              T.StructField("spans", T.ArrayType(span))]))
+
+
+def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of ``docs`` with ``kept`` (the remaining bytes) and ``spans`` (what went)."""
+    need = docs.select(*dict.fromkeys([*columns, "doc_id", "text"]))
+    return cut_rows(need).select(*[F.col("row").getField(c).alias(c) for c in columns], "kept", "spans")
 
 
 def without_repeated_text(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with the repeated bytes taken out of ``text``; a character that lost part of
     its bytes goes too, and ``n_chars`` follows where there is such a column. Null texts stay null."""
-    names = docs.columns
-    rows = without_repeats(docs, names).drop("spans")
+    rows = cut_rows(docs).select("row", "kept")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [kept.decode("utf-8", "ignore") if there else None for there, kept in zip(
-                batch.column("text").is_valid().to_pylist(), batch.column("kept").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
-
-    out = rows.mapInArrow(decode, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+            texts = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts], names=["row", "new"])
+
+    rows = rows.mapInArrow(decode, T.StructType([rows.schema["row"], T.StructField("new", T.StringType())]))
+    old = lambda c: F.col("row").getField(c)
+    text = F.when(old("text").isNotNull(), F.col("new"))
+    return rows.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+                         old(c).alias(c) for c in docs.columns])
