@@ -23,11 +23,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+UNSCORED = -1e8
 REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -43,20 +45,23 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes, self.text, lowest = {}, {}, 0.0
+        self.bytes, self.text = {}, {}
         automaton = ahocorasick.Automaton()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                # pieces the user added to the model have no score of their own: never worth a split
                 self.check(piece)
                 self.text[i] = piece
-                lowest = min(lowest, model.get_score(i)) if model.get_score(i) > -1e8 else lowest
-                automaton.add_word(piece, (len(piece), model.get_score(i), i))
+        scores = {i: model.get_score(i) for i in self.text}
+        usual = [v for v in scores.values() if v > UNSCORED] or [0.0]
+        # pieces added without a score (runs of spaces) are as good as the best piece for each character
+        self.scores = {i: v if v > UNSCORED else len(self.text[i]) * max(usual) - 0.1 for i, v in scores.items()}
+        for i, piece in self.text.items():
+            automaton.add_word(piece, (len(piece), self.scores[i], i))
         automaton.make_automaton()
-        self.automaton, self.unknown = automaton, lowest - UNKNOWN_PENALTY
+        self.automaton, self.unknown = automaton, min(usual) - UNKNOWN_PENALTY
         self.values = {i: bytes([b]) for b, i in self.bytes.items()} | {i: p.encode() for i, p in self.text.items()}
         self.known: dict[str, bytes] = {}
 
@@ -133,7 +138,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column ``decoded``."""
-    schema = encoded.schema.add("decoded", "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     place = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
