@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .url_filter import with_parts
 
 MIN_PAGES = 8
@@ -162,7 +163,7 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
                                              names=["host", "page", "token", "n", "place", "is_text"])
 
     rows = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    sizes = rows.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
+    sizes = rows.where("trim(html) != ''").groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
     tokens = rows.mapInArrow(run, "host string, page long, token long, n long, place long, is_text boolean")
     # copies of a page count once: first over (host, page, token), then the vector over pages
     vectors = (tokens.groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("is_text").alias("is_text"))
@@ -172,13 +173,14 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     frequent = vectors.join(sizes, "host").where(F.col("df") == F.col("pages"))
     classes = frequent.groupBy("host", "vector").agg(
         F.count("*").alias("size"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts")).where(F.col("size") >= MIN_CLASS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
+    return classes.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template")).where(F.size("template") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = with_parts(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))).drop("path")
-    templates = host_templates(rows)
+    # written first: the planner then knows its size, and the pages move only if it is too large to send
+    templates = stored(host_templates(rows), "templates")
     both = rows.join(templates, "host", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
