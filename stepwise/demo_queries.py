@@ -9,21 +9,45 @@ Fixed reference instants: ``events`` spans 2024-01-01..2024-01-30, ``orders`` 19
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.session import configure
+from stepwise.session import checkpoint_dir, configure
 
 EVENTS_AS_OF = datetime(2024, 1, 31, 0, 0, 0)
 ORDERS_AS_OF = datetime(2001, 8, 1, 0, 0, 0)
 TZ = "America/Los_Angeles"
 
 
-def _local(spark: SparkSession) -> bool:
-    """A scratch checkpoint folder is only acceptable in local mode (tests, single machine)."""
-    return spark.sparkContext.master.startswith("local")
+def scratch_folder(spark: SparkSession) -> str:
+    """The checkpoint folder for demos that write. A local session that names none gets one here, so
+    that the demos run on a single machine; the library itself never does that. Folders that demos
+    make are deleted when the program ends."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepwise-demo-"))
+    return checkpoint_dir(spark).rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder, deleted when the program ends."""
+    path = f"{scratch_folder(spark)}/{name}/{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session is already gone; nothing else to do at exit
+            pass
+
+    atexit.register(clear)
+    return path
 
 
 _TABLES: dict = {}
@@ -138,14 +162,12 @@ def end_time_check_inputs(spark, sf_dir):
 def q_stream_end_time_check(spark, sf_dir):
     """J06 as a scheduled streaming load: run files arrive in two drops (urgent/high first, then all
     runs again); each drain appends only runs not yet in the target."""
-    import uuid
     from datetime import timedelta
 
-    from stepwise.session import checkpoint_dir
     from stepwise.streaming.incremental import run_end_time_check
     configure(spark)
     runs, stations, sensor = end_time_check_inputs(spark, sf_dir)
-    root = f"{checkpoint_dir(spark, allow_local_default=_local(spark)).rstrip('/')}/stepwise_stream/{uuid.uuid4().hex}"
+    root = own_folder(spark, "stepwise_stream")
     kw = dict(window=timedelta(days=365), before=timedelta(days=60), after=timedelta(days=30))
     runs.filter(F.col("priority").isin("1-URGENT", "2-HIGH")).write.parquet(f"{root}/runs/b1")
     run_end_time_check(spark, f"{root}/runs", runs.schema, stations, sensor, f"{root}/target", f"{root}/ckpt",
@@ -469,7 +491,7 @@ def q_work_order_requests(spark, sf_dir):
     from stepwise.plans.audits import work_order_requests
     configure(spark)
     o = table(spark, sf_dir, "orders")
-    runs = o.filter(F.col("o_totalprice") > 300000).select(
+    runs = o.select(
         F.col("o_orderkey").alias("id_run_growth"), F.col("o_orderpriority").alias("station_name"),
         F.col("o_custkey").alias("RD"), (F.col("o_totalprice") / 7.0).alias("Max_Q_diff"),
         (F.col("o_totalprice") / 13.0).alias("prev_Max_Q_diff"), F.col("o_custkey").alias("intSiteID"),
@@ -497,13 +519,9 @@ def q_append_dimension(spark, sf_dir):
 # ----------------------------------------------------------------------------- S02 S09 F11 F15
 
 def q_shard_scan(spark, sf_dir):
-    import uuid
-
-    from stepwise.session import checkpoint_dir
     from stepwise.sources.tables import read_shards, write_shards
     configure(spark)
-    root = checkpoint_dir(spark, allow_local_default=_local(spark))
-    path = f"{root.rstrip('/')}/stepwise_shards/{uuid.uuid4().hex}"
+    path = own_folder(spark, "stepwise_shards")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     write_shards(li, path, "l_returnflag")
     return read_shards(spark, path, "l_returnflag", ["A", "R"]).select("l_orderkey", "l_linenumber", "l_quantity",
@@ -715,6 +733,7 @@ def flow_tables(spark, sf_dir):
 def q_flow_tree(spark, sf_dir):
     from stepwise.plans.flowtree import flow_tree
     configure(spark)
+    scratch_folder(spark)
     return flow_tree(*flow_tables(spark, sf_dir))
 
 
@@ -823,7 +842,7 @@ def q_any_key_join(spark, sf_dir):
     from stepwise.operators.joins import any_key_join
     configure(spark)
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    small = o.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey")
+    small = o.select("o_orderkey", "o_custkey")
     return any_key_join(small, li.select("l_orderkey", "l_linenumber", "l_quantity"), ["o_orderkey", "o_custkey"],
                         "l_orderkey").select("o_orderkey", "o_custkey", "l_orderkey", "l_linenumber", "l_quantity")
 
@@ -836,6 +855,47 @@ def q_median_over(spark, sf_dir):
     return median_over(li, ["l_returnflag"], "l_extendedprice", width=5000, name="median_price")
 
 
+def q_median_nan(spark, sf_dir):
+    """W09 with NaN among the values (NaN sorts last): median event value per type on every event."""
+    from stepwise.operators.ordered import median_over
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return median_over(e.select("event_id", "event_type", v.alias("v")), ["event_type"], "v", width=50, name="med").select(
+        "event_id", "event_type", "med")
+
+
+def q_rank_nan(spark, sf_dir):
+    """Exact row numbers per user over values with NaN (after every number), ties by event id."""
+    from stepwise.operators.ordered import ordered_rank
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    v = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return ordered_rank(e.select("event_id", "user_id", v.alias("v")), ["user_id"], ["v", "event_id"], width=50, name="rn").select(
+        "event_id", "user_id", "rn")
+
+
+def q_lead_text(spark, sf_dir):
+    """W01 with a text order key: the next customer of the nation by name."""
+    from stepwise.operators.ordered import shift_within
+    configure(spark)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    return shift_within(c, ["c_nationkey"], ["c_name"], ["c_custkey"], offset=1, prefix="next_")
+
+
+NUMBER_FORMS = ("", "d", "f", "e2", "x", ".", " ")
+
+
+def q_parse_numbers(spark, sf_dir):
+    """Numbers as text with endings that only some parsers take."""
+    from stepwise.functions.nullops import safe_number
+    configure(spark)
+    li = table(spark, sf_dir, "lineitem")
+    ending = F.element_at(F.array(*map(F.lit, NUMBER_FORMS)), (F.col("l_orderkey") % len(NUMBER_FORMS) + 1).cast("int"))
+    text = F.concat(F.col("l_linenumber").cast("string"), F.lit(".5"), ending)
+    return li.select("l_orderkey", "l_linenumber", safe_number(text).alias("number"))
+
+
 def q_dense_rank_global(spark, sf_dir):
     """DENSE_RANK() OVER (ORDER BY segment, customer key) without a single-partition window."""
     from stepwise.operators.ordered import global_dense_rank
@@ -888,11 +948,11 @@ def q_sorted_list(spark, sf_dir):
 
 
 def q_not_in_null_aware(spark, sf_dir):
-    """Customers whose key is NOT IN the keys of orders above a price (SQL semantics)."""
+    """Customers whose key is NOT IN the keys of any order (SQL semantics)."""
     from stepwise.operators.joins import anti_null_aware
     configure(spark)
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return anti_null_aware(c.select("c_custkey", "c_name"), o.filter(F.col("o_totalprice") > 250000), "c_custkey", "o_custkey")
+    return anti_null_aware(c.select("c_custkey", "c_name"), o, "c_custkey", "o_custkey")
 
 
 def q_period_rollup(spark, sf_dir):
@@ -921,6 +981,10 @@ REGISTRY.update({
     "sorted_list": q_sorted_list,
     "not_in_null_aware": q_not_in_null_aware,
     "period_rollup": q_period_rollup,
+    "median_nan": q_median_nan,
+    "rank_nan": q_rank_nan,
+    "lead_text": q_lead_text,
+    "parse_numbers": q_parse_numbers,
 })
 
 

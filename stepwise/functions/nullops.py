@@ -28,9 +28,16 @@ def strict_greatest(*cols) -> Column:
     return F.when(any_null, F.lit(None)).otherwise(F.greatest(*cs))
 
 
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?|nan))\s*$"
+
+
 def safe_number(c, to: str = "double") -> Column:
-    """``SAFE_CAST(x AS FLOAT64)`` / ``pd.to_numeric(errors='coerce')``: unparsable text becomes null."""
-    return _c(c).try_cast(to)
+    """``SAFE_CAST(x AS FLOAT64)`` / ``pd.to_numeric(errors='coerce')``: unparsable text becomes null.
+
+    The pattern keeps out what the JVM's parser takes besides numbers (``1d``, ``2.5f``).
+    """
+    text = _c(c).cast("string")
+    return F.when(text.rlike(NUMBER), _c(c).try_cast(to))
 
 
 def distinct_from(a, b) -> Column:

@@ -31,7 +31,9 @@ def key_frame(spark, ids, name: str = "id") -> DataFrame:
     """An id list as a one-column DataFrame (a Python list, or a DataFrame column)."""
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).alias(name)) if name not in ids.columns else ids.select(name)
-    return spark.createDataFrame([(i,) for i in ids], f"{name} bigint")
+    ids = list(ids)
+    kind = "string" if any(isinstance(i, str) for i in ids) else "bigint"
+    return spark.createDataFrame([(i,) for i in ids], f"{name} {kind}")
 
 
 def in_ids(df: DataFrame, key: str, ids, negate: bool = False) -> DataFrame:
@@ -65,7 +67,7 @@ def anti_null_aware(left: DataFrame, right: DataFrame, left_key: str, right_key:
     stats = rk.select(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_nk").isNull()).alias("nn"))).scalar()
     n_all = stats.getField("n")
     n_null = stats.getField("nn")
-    non_null = rk.filter(F.col("_nk").isNotNull())
+    non_null = rk.filter(F.col("_nk").isNotNull()).distinct()
     kept = left.join(non_null, left[left_key] == non_null["_nk"], "left_anti")
     return kept.filter((n_null == 0) & (F.col(left_key).isNotNull() | (n_all == 0)))
 
@@ -103,8 +105,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[tuple[st
     Intervals are exploded into the time buckets they overlap and points carry their own bucket, so
     the equi key is ``(k, bucket)``: a station holding a third of all rows is spread over its buckets
     and every pair is produced exactly once (a point has one bucket). ``width`` is the bucket size
-    in seconds; pick it near the typical interval length.
+    in seconds; pick it near the typical interval length. ``how`` is ``inner`` or ``left`` (points
+    without an interval stay): an interval lies in several buckets, so outer joins that keep
+    intervals have no meaning here.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("interval_join keeps points only: how must be 'inner' or 'left'")
     pb = points.withColumn("_pb", order_bucket(points, t, width))
     iv = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
     iv = iv.withColumn("_pb", F.explode(F.sequence(order_bucket(iv, start, width), order_bucket(iv, end, width))))
@@ -133,13 +139,15 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     """For each left row and each ``combos`` value present for its ``by`` key: the largest
     ``right_id`` with ``right_id < left_id`` **and** ``right_time < left_time`` (or null).
 
-    Exact, and pair-free in the common case where ids and times grow together:
+    Exact for any agreement of ids and times, nulls in ``by`` and ``combos`` included (equal nulls are
+    one key, as in GROUP BY):
 
     1. Fast path: a skew-safe running maximum of ``right_id`` over the union of both sides ordered by
        id (``running_max_before``) gives ``c1 = max{r.id < l.id}``. When ``c1``'s time is also
        earlier than ``left_time`` it is the answer.
-    2. Exceptions (``c1`` exists but is not earlier in time) are resolved by an equi join on
-       ``by + combos`` with both inequalities, restricted to those left rows only.
+    2. Exceptions (``c1`` exists but is not earlier in time) are resolved by id bucket, not by key: the
+       left row's own bucket is searched, then the last earlier bucket whose smallest time is earlier,
+       found in the one-row-per-bucket summary. A row meets at most two buckets of candidates.
 
     Returns ``left`` columns + ``combos`` + ``name`` for every (left row, combo) with a match.
     The candidate rows feed both the fast path and the fallback; ``materialize=True`` writes them
@@ -150,8 +158,8 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     keys = by + combos
     l_cols = left.columns
     # each left row is repeated for the (small) set of combos seen on its key
-    combo_set = right.select(*keys).distinct()
-    lx = left.join(combo_set, by, "inner")
+    combo_set = right.select(F.struct(*[F.col(c) for c in by]).alias("_by"), *combos).distinct()
+    lx = left.withColumn("_by", F.struct(*[F.col(c) for c in by])).join(combo_set, "_by").drop("_by")
     # candidates carry their time: max(struct(id, time)) orders by id, so the running maximum
     # returns the id-order candidate together with its time (no separate lookup join)
     cand_type = StructType([StructField("_rid", right.schema[right_id].dataType),
@@ -169,12 +177,23 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     if materialize:
         from stepwise.operators.tree import materialize as _materialize
         checked = _materialize(checked)
-    # exact fallback, only for the (rare) rows whose id-order candidate is not earlier in time
-    bad = checked.filter(~F.col("_ok")).select(*keys, "_row")
-    r2 = right.select(*keys, F.col(right_id).alias("_rid2"), F.col(right_time).alias("_rt2"))
-    fb = bad.join(r2, keys).filter((F.col("_rid2") < F.col(f"_row.{left_id}")) & (F.col("_rt2") < lt))
-    fb = fb.groupBy(*keys, "_row").agg(F.max("_rid2").alias("_fb"))
-    res = checked.join(fb, keys + ["_row"], "left")
+    key = F.struct(*[F.col(c) for c in keys])
+    probe = F.struct(F.col(f"_row.{left_id}").alias("i"))
+    checked = checked.withColumn("_id", probe["i"]).withColumn("_lt", lt).withColumn("_key", key)
+    checked = checked.withColumn("_lb", order_bucket(checked, "_id", width))
+    bad = checked.filter(~F.col("_ok")).select("_key", "_row", "_id", "_lt", "_lb").distinct()
+    r2 = right.select(key.alias("_key"), F.col(right_id).cast(left.schema[left_id].dataType).alias("_rid2"), F.col(right_time).alias("_rt2"))
+    r2 = r2.withColumn("_rb", order_bucket(r2, "_rid2", width)).filter(F.col("_rt2").isNotNull())
+    bucket = lambda k, b: F.struct(F.col(k).alias("k"), F.col(b).alias("b")).alias("_kb")
+    inside = r2.select(bucket("_key", "_rb"), "_rid2", "_rt2")
+    starts = r2.groupBy("_key", "_rb").agg(F.min("_rt2").alias("_t0"))
+    own = bad.select(bucket("_key", "_lb"), "_key", "_row", "_id", "_lt").join(inside, "_kb").filter(
+        (F.col("_rid2") < F.col("_id")) & (F.col("_rt2") < F.col("_lt"))).groupBy("_key", "_row").agg(F.max("_rid2").alias("_own"))
+    back = bad.join(starts, "_key").filter((F.col("_rb") < F.col("_lb")) & (F.col("_t0") < F.col("_lt"))).groupBy(
+        "_key", "_row", "_lt").agg(F.max("_rb").alias("_pb"))
+    back = back.select(bucket("_key", "_pb"), "_key", "_row", "_lt").join(inside, "_kb").filter(
+        F.col("_rt2") < F.col("_lt")).groupBy("_key", "_row").agg(F.max("_rid2").alias("_back"))
+    res = checked.join(own, ["_key", "_row"], "left").join(back, ["_key", "_row"], "left").withColumn("_fb", F.coalesce("_own", "_back"))
     answer = F.when(F.col("_ok"), F.col("_c1")).otherwise(F.col("_fb"))
     return res.select(*[F.col(f"_row.{c}").alias(c) for c in l_cols], *[F.col(k) for k in combos], answer.alias(name))
 

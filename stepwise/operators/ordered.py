@@ -16,32 +16,15 @@ the window's hash partitioning of the large side, so only the summary is shuffle
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (BinaryType, BooleanType, DateType, DoubleType, FloatType, NumericType, StringType,
+                               TimestampNTZType, TimestampType)
 
 _B = "_ob"  # bucket column
-
-# Inputs whose planned size (Catalyst's estimate of the optimized plan) is at most this many bytes fit
-# one task, so no key can be "hot": the single-stage window is exact and cheapest there. Larger or
-# unknown inputs (joins report a product estimate) take the two-level path. 0 always splits.
-ONE_TASK_BYTES = int(os.environ.get("STEPWISE_ONE_TASK_BYTES", str(16 * 1024 * 1024)))
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the planner's size estimate of ``df`` is within ``ONE_TASK_BYTES``."""
-    if ONE_TASK_BYTES <= 0:
-        return False
-    try:
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = raw if isinstance(raw, int) else int(raw.toString())
-    except Exception:  # noqa: BLE001 - no estimate: take the safe path
-        return False
-    return size <= ONE_TASK_BYTES
-
+TEXT_PREFIX = 3  # leading characters that bucket a text order column
 
 def _names(cols) -> list[str]:
     if cols is None:
@@ -51,15 +34,29 @@ def _names(cols) -> list[str]:
     return list(cols)
 
 
+# bucket of NaN: after every number, as Spark orders it
+_NAN_BUCKET = (1 << 63) - 1
+
+
 def order_bucket(df: DataFrame, col: str, width) -> Column:
-    """Monotone bucket id of ``col``: timestamps by seconds, dates by days, numbers by value."""
+    """Monotone bucket id of ``col``: timestamps by seconds, dates by days, numbers by value (NaN last),
+    texts and binaries by their first ``TEXT_PREFIX`` characters or bytes. Nulls have a null bucket.
+    Other types have no bucket and are refused."""
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (TimestampType, TimestampNTZType)):
         return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(int(width * 1_000_000)))
     if isinstance(dt, DateType):
         return F.floor(F.unix_date(c) / F.lit(width))
-    return F.floor(c / F.lit(width))
+    if isinstance(dt, (DoubleType, FloatType)):
+        return F.when(F.isnan(c), F.lit(_NAN_BUCKET)).otherwise(F.floor(c / F.lit(width)))
+    if isinstance(dt, NumericType):
+        return F.floor(c / F.lit(width))
+    if isinstance(dt, BooleanType):
+        return c.cast("bigint")
+    if isinstance(dt, (StringType, BinaryType)):
+        return F.substring(c, 1, TEXT_PREFIX)
+    raise TypeError(f"no order bucket for {dt.simpleString()} column {col}")
 
 
 _K = "_k"    # struct of the partition keys: one non-null column; nulls inside compare equal, as in GROUP BY
@@ -99,9 +96,6 @@ def shift_within(df: DataFrame, keys, order: Sequence[str], values: Sequence[str
     tie = [c for c in values if c not in order]
     sort_cols = order + tie
     fn = F.lead if offset == 1 else F.lag
-    if fits_one_task(df):
-        w1 = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
-        return df.select("*", *[fn(F.col(v), 1).over(w1).alias(prefix + v) for v in values])
     b = _keyed(df, keys, order[0], width)
     w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
     local = b
@@ -134,12 +128,6 @@ def ordered_rank(df: DataFrame, keys, order: Sequence[str], *, width, name: str
     """
     keys = _names(keys)
     order = _names(order)
-    if fits_one_task(df):
-        w1 = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-        cols = [F.row_number().over(w1).cast("bigint").alias(name)]  # same type as the two-level path
-        if count_name:
-            cols.append(F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(count_name))
-        return df.select("*", *cols)
     b = _keyed(df, keys, order[0], width)
     w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     local = b.withColumn("_lrn", F.row_number().over(w))
@@ -159,23 +147,31 @@ def ordered_rank(df: DataFrame, keys, order: Sequence[str], *, width, name: str
 def median_over(df: DataFrame, keys, value: str, *, width, name: str = "median") -> DataFrame:
     """``PERCENTILE_CONT(value, 0.5) OVER (PARTITION BY keys)`` on every row — exact and skew-safe.
 
-    Non-null values are ranked per key (``ordered_rank``); the two middle ranks are kept and
-    interpolated per key; the one-row-per-key result is joined back. No group is ever collected into
-    one buffer.
+    Rows are counted per ``(key, value bucket)``; running sums over those counts name the one or two
+    buckets that hold the middle ranks. Only their rows are looked at again, pre-counted per distinct
+    value, so a value repeated a million times is one row. Nothing is sorted as a whole and no group is
+    collected. NaN counts as the largest value; the one-row-per-key result is joined back.
     """
     keys = _names(keys)
-    vals = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    ranked = ordered_rank(vals, keys, [value], width=width, name="_r", count_name="_cnt")
+    vals = _keyed(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value, width)
+    counts = vals.groupBy(_K, _B).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy(_K).orderBy(F.col(_B).asc())
+    counts = counts.withColumn("_upto", F.sum("_n").over(wk)).withColumn("_cnt", F.sum("_n").over(Window.partitionBy(_K)))
     pos = F.lit(1.0) + F.lit(0.5) * (F.col("_cnt") - 1)
-    ranked = ranked.withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos))
-    picks = ranked.filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    med = picks.groupBy(F.struct(*[F.col(k) for k in keys]).alias(_K)).agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("_hi"), F.col(value))).alias("_vhi"),
-        F.max("_lo").alias("_plo"), F.max("_cnt").alias("_pc"))
-    frac = (F.lit(1.0) + F.lit(0.5) * (F.col("_pc") - 1)) - F.col("_plo")
-    med = med.select(_K, (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).cast("double").alias(name))
-    d = df.withColumn(_K, F.struct(*[F.col(k) for k in keys]))
+    counts = counts.withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos)).withColumn("_frac", pos - F.floor(pos))
+    middle = counts.filter((F.col("_upto") >= F.col("_lo")) & (F.col("_upto") - F.col("_n") < F.col("_hi"))).select(
+        _group_key(_K, _B).alias(_G), F.col(_K).alias("_mk"), (F.col("_upto") - F.col("_n")).alias("_before"), "_lo", "_hi", "_frac")
+    same = vals.select(_G, value).join(middle, _G).groupBy(_G, "_mk", "_before", "_lo", "_hi", "_frac", value).agg(
+        F.count(F.lit(1)).alias("_m"))
+    wv = Window.partitionBy(_G).orderBy(F.col(value).asc())
+    same = same.withColumn("_last", F.col("_before") + F.sum("_m").over(wv))
+    holds = lambda rank: (F.col("_last") >= F.col(rank)) & (F.col("_last") - F.col("_m") < F.col(rank))
+    med = same.groupBy(F.col("_mk").alias(_K)).agg(
+        F.max(F.when(holds("_lo"), F.col(value))).alias("_vlo"), F.max(F.when(holds("_hi"), F.col(value))).alias("_vhi"),
+        F.max("_frac").alias("_frac"))
+    between = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
+    med = med.select(_K, F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(between).cast("double").alias(name))
+    d = df.withColumn(_K, F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all")))
     return d.join(med, _K, "left").select(*[F.col(c) for c in df.columns], F.col(name))
 
 
@@ -189,9 +185,6 @@ def global_dense_rank(df: DataFrame, order: Sequence[str], *, width, name: str =
     bucket, size ≈ distinct / width) is ordered as a whole; the result is joined back to every row.
     """
     order = _names(order)
-    if fits_one_task(df):
-        w1 = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])
-        return df.withColumn(name, F.dense_rank().over(w1).cast("bigint"))  # same type as the two-level path
     bc = bucket_col or order[-1]
     lead_cols = order[: order.index(bc)] if bc in order else []
     distinct = df.select(*order).distinct()
@@ -219,10 +212,6 @@ def running_max_before(df: DataFrame, keys, order: str, value: str, probe: str,
     """
     keys = _names(keys)
     side = F.when(F.col(probe), 0).otherwise(1)
-    if fits_one_task(df):
-        w1 = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), side.asc()) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", F.max(value).over(w1).alias(name))
     b = _keyed(df, keys, order, width).withColumn("_side", side)
     w = Window.partitionBy(_G).orderBy(F.col(order).asc_nulls_first(), F.col("_side").asc()) \
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ from stepwise.session import checkpoint_dir
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a (small, reused) table into the session's checkpoint folder."""
     spark = df.sparkSession
-    checkpoint_dir(spark, allow_local_default=spark.sparkContext.master.startswith("local"))
+    checkpoint_dir(spark)
     return df.checkpoint(eager=True)
 
 
@@ -33,28 +33,28 @@ def walk_levels(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], *, le
     Pass ``base_level`` when the anchor's level is known, to save one job.
     """
     spark = anchor.sparkSession
-    checkpoint_dir(spark, allow_local_default=spark.sparkContext.master.startswith("local"))
+    checkpoint_dir(spark)
     frontier = anchor.checkpoint(eager=True)
     if frontier.isEmpty():
         return frontier, None
     base = base_level if base_level is not None else frontier.agg(F.min(level_col)).first()[0]
     levels = [frontier]
-    depth = 1
+    depth = 0  # recursions so far; the anchor is none
     while True:
         nxt = step(frontier)
-        if depth % checkpoint_every == 0:
+        if (depth + 1) % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)
         if nxt.isEmpty():
             break
         depth += 1
         if depth > max_depth:
-            raise RuntimeError(f"recursion exceeded {max_depth} levels (cycle in the graph?)")
+            raise RuntimeError(f"recursion exceeded {max_depth} steps (cycle in the graph?)")
         levels.append(nxt)
         frontier = nxt
     out = levels[0]
     for lv_df in levels[1:]:
         out = out.unionByName(lv_df)
-    return out, base + depth - 1
+    return out, base + depth
 
 
 def walk_tree(edges: DataFrame, roots: DataFrame, *, src: str = "src", dst: str = "dst", max_depth: int = 100) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from stepwise.functions.nullops import safe_number
 from stepwise.functions.rules import alias_values
 from stepwise.functions.timeops import DEFAULT_TZ, as_utc, instant_of, parse_us_date, shift, ts_literal
 from stepwise.operators.joins import explode_list
@@ -19,8 +18,8 @@ def import_sheet(raw: DataFrame, as_of, *, tz: str = DEFAULT_TZ, header_value: s
                  mapping: dict[str, str] | None = None) -> DataFrame:
     """Typed document rows from an untyped sheet export.
 
-    Header rows (``header_value`` in field 0) and rows without ``required`` are dropped; ids are
-    safely cast; the row timestamp is ``as_of - 1 day + id seconds`` (deterministic per row);
+    Header rows (``header_value`` in field 0) and rows without ``required`` are dropped; an id that is
+    no integer stops the import, as the plain CAST does (ANSI mode); the row timestamp is ``as_of - 1 day + id seconds`` (deterministic per row);
     category prefixes collapse to one label; ``M/d/yy`` dates parse safely in the local zone.
     """
     m = {"team_center_doc_id": "string_field_4", "status": "string_field_5", "priority": "string_field_6",
@@ -29,7 +28,7 @@ def import_sheet(raw: DataFrame, as_of, *, tz: str = DEFAULT_TZ, header_value: s
     m.update(mapping or {})
     keep = (F.col(m["id"]) != F.lit(header_value)) & F.col(required).isNotNull()
     r = raw.filter(keep)
-    ident = safe_number(m["id"], "bigint")
+    ident = F.col(m["id"]).cast("bigint")
     base = ts_literal(as_utc(as_of), None)
     ts = shift(shift(base, -1, "DAY"), ident, "SECOND")
     fe = F.col(m["fe_be"])
@@ -56,7 +55,7 @@ def resolve_people(raw: DataFrame, users: DataFrame, *, aliases: dict[str, str]
     """
     r = raw.filter((F.col(id_field) != F.lit(header_value)) & F.col(required).isNotNull()
                    & F.col(name_field).isNotNull() & (F.col(name_field) != F.lit(unknown)))
-    r = r.select(safe_number(id_field, "bigint").alias("id"), F.col(name_field).alias("_name"))
+    r = r.select(F.col(id_field).cast("bigint").alias("id"), F.col(name_field).alias("_name"))
     if isinstance(aliases, DataFrame):
         a = aliases.select(F.col(aliases.columns[0]).alias("_alias"), F.col(aliases.columns[1]).alias("_canon"))
         r = r.join(a, r["_name"] == a["_alias"], "left").select(

@@ -73,10 +73,12 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
         F.max(F.when(F.col("parameter_name") == F.lit(min_param), safe_number("collected_value"))).alias("minThick_raw"),
         F.max(F.when(F.col("parameter_name") == F.lit(max_param), safe_number("collected_value"))).alias("maxThick_raw"))
 
-    prefix_len = len(step_prefixes[0]) if step_prefixes else 3
+    in_steps = F.lit(False)
+    for prefix in step_prefixes:  # prefixes may differ in length
+        in_steps = in_steps | F.col("step_name").startswith(prefix)
     sc = history.filter((F.col("operation_name") == F.lit(terminate_op))
                         & between_instants(history, "modified_on", as_of - timedelta(days=cohort_days), None, False)
-                        & F.substring("step_name", 1, prefix_len).isin(list(step_prefixes)))
+                        & in_steps)
     sc = sc.join(blocks.select("id_block", "parent_id_block"), "id_block") \
         .join(layers.select("id_block", F.col("data").alias("layer")), "id_block")
     sc = sc.join(raw.select("parent_id_block").distinct(), "parent_id_block", "left_semi")
@@ -118,7 +120,7 @@ def chart_marks(report: DataFrame, *, limit: float = LIMIT, tolerance: float = T
     """
     if materialize:
         from stepwise.session import checkpoint_dir
-        checkpoint_dir(report.sparkSession, allow_local_default=report.sparkSession.sparkContext.master.startswith("local"))
+        checkpoint_dir(report.sparkSession)
         report = report.checkpoint(eager=True)
     facets = facet_order(report, "layer", "facet")
     rows = report.filter(F.col("layer").isNotNull()).join(facets, "layer")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every stepwise job relies on (time semantics) or benefits from (adaptive execution).
@@ -40,8 +37,8 @@ def get_session(master: str | None = None, app: str = "stepwise", shuffle_partit
                 extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's conventions.
 
-    The checkpoint folder is taken from ``spark.checkpoint.dir`` when the deployment sets it
-    (a shared folder on a cluster); only a local master without one gets a scratch folder.
+    Jobs that write intermediates need ``spark.checkpoint.dir`` (``extra`` or the deployment's
+    configuration); there is no default.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -53,24 +50,18 @@ def get_session(master: str | None = None, app: str = "stepwise", shuffle_partit
         b = b.config(k, v)
     spark = b.getOrCreate()
     configure(spark)
-    checkpoint_dir(spark, allow_local_default=bool(master and master.startswith("local")))
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, allow_local_default: bool = False) -> str:
-    """Return the shared checkpoint folder, registering it with the SparkContext.
-
-    Reads ``spark.checkpoint.dir`` from the session. A machine-local scratch folder is used only
-    when ``allow_local_default`` is set (local-mode tests) and nothing is configured.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the deployment names in ``spark.checkpoint.dir``, registered
+    with the SparkContext. The library never makes one of its own."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not allow_local_default:
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-        d = tempfile.mkdtemp(prefix="stepwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder that all executors share")
     sc.setCheckpointDir(d)
     return sc._jsc.sc().getCheckpointDir().get()

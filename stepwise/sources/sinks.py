@@ -65,11 +65,18 @@ def merge_update(target: DataFrame, source: DataFrame, on: Sequence[str], update
     """``MERGE target USING source ON on WHEN MATCHED [AND when] THEN UPDATE SET col = expr``.
 
     ``updates`` and ``when`` reference target columns as ``t.<col>`` and source columns as
-    ``s.<col>``. A source with duplicate keys would make MERGE fail; it must be unique on ``on``.
+    ``s.<col>``. Two source rows with one key stop the job, as MERGE does. Updates take the target
+    column's type.
     """
     on = _names(on)
     t = target.alias("t")
-    s = source.alias("s")
+    # one row per key, or an error: the count rides along with the grouping that the join needs anyway
+    row = F.struct(*[F.col(c) for c in source.columns])
+    only = source.filter(F.expr(" and ".join(f"`{k}` is not null" for k in on))).groupBy(*on).agg(
+        F.any_value(row).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.lit("MERGE: several source rows match one key")).cast(
+        only.schema["_row"].dataType))
+    s = only.select(checked.alias("_row")).select("_row.*").alias("s")
     j = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on], "left")
     matched = F.col(f"s.{on[0]}").isNotNull()
     for k in on[1:]:
@@ -78,7 +85,7 @@ def merge_update(target: DataFrame, source: DataFrame, on: Sequence[str], update
     out = []
     for c in target.columns:
         if c in updates:
-            out.append(F.when(cond, updates[c]).otherwise(F.col(f"t.{c}")).alias(c))
+            out.append(F.when(cond, updates[c].cast(target.schema[c].dataType)).otherwise(F.col(f"t.{c}")).alias(c))
         else:
             out.append(F.col(f"t.{c}").alias(c))
     return j.select(*out)
@@ -93,7 +100,8 @@ def write_replace(df: DataFrame, path: str, fmt: str = "parquet", staging_root:
     """``CREATE OR REPLACE TABLE`` for a path that ``df`` may itself read from.
 
     Writes to a staging folder next to the table (same file system, so the swap is a rename), then
-    replaces the table folder. Returns the final path.
+    replaces the table folder. Returns the final path. Each rename is checked; the swap is two renames,
+    so it is not atomic, and on object stores a rename is a copy.
     """
     spark = df.sparkSession
     jvm = spark._jvm
@@ -104,8 +112,9 @@ def write_replace(df: DataFrame, path: str, fmt: str = "parquet", staging_root:
     df.write.mode("overwrite").format(fmt).save(staging)
     backup = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.__old_{uuid.uuid4().hex}")
     had_old = fs.exists(dst)
-    if had_old:
-        fs.rename(dst, backup)
+    if had_old and not fs.rename(dst, backup):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+        raise RuntimeError(f"could not move {path} aside")
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), dst):
         if had_old:
             fs.rename(backup, dst)

@@ -4,9 +4,13 @@ The warehouse script loops over "runs ended recently and not yet in the target"
 aggregate per run. Here new run records arrive as files; each micro-batch is one set-based
 ``last_reading_per_run`` over the batch's runs, anti-joined against the rows already in the target,
 and written to the target folder ``epoch=<batch id>``. The stream's checkpoint (in the shared
-checkpoint folder) records which files were processed and a retried batch overwrites its own folder,
-so a restarted or failed job resumes without duplicates; ``availableNow`` drains what is there and
-stops, which suits a scheduled job.
+checkpoint folder) records which files were processed. A retried batch overwrites its own folder and
+does not count that folder's rows as loaded, so a restarted or failed job resumes without duplicates
+and without losses; ``availableNow`` drains what is there and stops, which suits a scheduled job.
+
+A stream sees each run file once, but the readings of a run may arrive later. Every drain therefore
+ends with one re-check of all runs inside the window that the target still lacks, written to a folder
+of its own (``epoch=late-<as_of>``).
 """
 
 from __future__ import annotations
@@ -14,19 +18,24 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stepwise.plans.runs import last_reading_per_run
 
 TARGET_COLUMNS = ["id_run_growth", "id_growing_run", "end_time", "id_run_end_time"]
 
 
-def _target_or_empty(spark: SparkSession, target_path: str, schema: StructType) -> DataFrame:
+def _target_or_empty(spark: SparkSession, target_path: str, schema: StructType, but: str | None = None) -> DataFrame:
+    """Rows of the target, without those of the folder ``epoch=<but>``."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(target_path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(p):
-        return spark.read.parquet(target_path).select(*TARGET_COLUMNS)
+        rows = spark.read.schema(StructType([*schema.fields, StructField("epoch", StringType())])).parquet(target_path)
+        if but is not None:
+            rows = rows.filter(F.col("epoch") != F.lit(but))
+        return rows.select(*TARGET_COLUMNS)
     return spark.createDataFrame([], schema)
 
 
@@ -49,7 +58,7 @@ def start_end_time_check(spark: SparkSession, runs_path: str, runs_schema: Struc
     runs = reader.parquet(runs_path)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        done = _target_or_empty(spark, target_path, _target_schema(batch))
+        done = _target_or_empty(spark, target_path, _target_schema(batch), but=str(epoch_id))
         out = last_reading_per_run(batch, stations, sensor, done.select("id_run_growth"), as_of,
                                    window=window, before=before, after=after)
         # one folder per micro-batch, overwritten on a retry of the same epoch: exactly-once output
@@ -65,8 +74,6 @@ def start_end_time_check(spark: SparkSession, runs_path: str, runs_schema: Struc
 
 def _target_schema(batch: DataFrame) -> StructType:
     s = batch.schema
-    from pyspark.sql.types import StructField
-
     return StructType([StructField("id_run_growth", s["id_run_growth"].dataType),
                        StructField("id_growing_run", s["id_growing_run"].dataType),
                        StructField("end_time", s["end_time"].dataType),
@@ -79,8 +86,19 @@ def run_end_time_check(spark: SparkSession, runs_path: str, runs_schema: StructT
     q = start_end_time_check(spark, runs_path, runs_schema, stations, sensor, target_path, checkpoint_path, as_of,
                              available_now=True, **kw)
     q.awaitTermination()
-    schema = StructType([f for f in runs_schema.fields if f.name in ("id_run_growth", "id_growing_run", "end_time")])
-    from pyspark.sql.types import StructField
-
-    schema = StructType(list(schema.fields) + [StructField("id_run_end_time", runs_schema["end_time"].dataType)])
-    return _target_or_empty(spark, target_path, schema)
+    window = {k: kw[k] for k in ("window", "before", "after") if k in kw}
+    load_late_readings(spark, runs_path, runs_schema, stations, sensor, target_path, as_of, glob=kw.get("glob"),
+                       recursive=kw.get("recursive", True), **window)
+    return _target_or_empty(spark, target_path, _target_schema(spark.createDataFrame([], runs_schema)))
+
+
+def load_late_readings(spark: SparkSession, runs_path: str, runs_schema: StructType, stations: DataFrame, sensor: DataFrame,
+                       target_path: str, as_of, *, glob: str | None = None, recursive: bool = True, **window) -> None:
+    """Load the runs inside the window that the target still lacks because their readings came after
+    them. The folder is named by ``as_of``, so a repeated call writes the same rows."""
+    name = f"late-{as_of:%Y%m%dT%H%M%S}"
+    reader = spark.read.schema(runs_schema).option("recursiveFileLookup", str(recursive).lower())
+    runs = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(runs_path).dropDuplicates(["id_run_growth"])
+    done = _target_or_empty(spark, target_path, _target_schema(runs), but=name)
+    out = last_reading_per_run(runs, stations, sensor, done.select("id_run_growth"), as_of, **window)
+    out.select(*TARGET_COLUMNS).write.mode("overwrite").parquet(f"{target_path.rstrip('/')}/epoch={name}")

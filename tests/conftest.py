@@ -22,7 +22,7 @@ def spark():
     # tests only: a scratch checkpoint folder when the deployment names none
     if not s.sparkContext._jsc.sc().getCheckpointDir().isDefined() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepwise-test-ckpt-"))
-    checkpoint_dir(s, allow_local_default=True)
+    checkpoint_dir(s)
     yield s
     s.stop()
 
@@ -32,15 +32,3 @@ def rows(df, *cols):
     cols = cols or tuple(df.columns)
     out = [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
     return sorted(out, key=lambda t: tuple((x is not None, x) for x in t))
-
-
-@pytest.fixture(autouse=True, scope="session")
-def _always_two_level():
-    """Tests run the skew-safe two-level path everywhere (their inputs would fit one task);
-    ``test_ordered.py::test_one_task_path_*`` covers the single-stage path."""
-    from stepwise.operators import ordered
-
-    old = ordered.ONE_TASK_BYTES
-    ordered.ONE_TASK_BYTES = 0
-    yield
-    ordered.ONE_TASK_BYTES = old

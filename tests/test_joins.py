@@ -98,3 +98,37 @@ def test_latest_before_materialized_equals_lazy(spark):
     a = latest_before(left, right, **kw)
     b = latest_before(left, right, materialize=True, **kw)
     assert rows(a, "n", "x") == rows(b, "n", "x")
+
+
+def test_latest_before_with_nulls_and_disagreeing_ids(spark):
+    from stepwise.operators.joins import latest_before
+
+    rnd = __import__("random").Random(3)
+    cfg = [(k, c, i, 10_000 - i + rnd.randint(-40, 40)) for i in range(400) for k, c in [(rnd.choice([1, None]), rnd.choice(["a", None]))]]
+    left = [(k, i, rnd.randint(9_500, 10_100)) for i in range(5, 420, 7) for k in (1, None)]
+    r = spark.createDataFrame(cfg, "k int, c string, rid long, rt long")
+    l = spark.createDataFrame(left, "k int, lid long, lt long")
+    got = latest_before(l, r, by=["k"], combos=["c"], left_id="lid", right_id="rid", left_time="lt", right_time="rt", width=20, name="best")
+    have = {(x.k, x.lid, x.lt, x.c): x.best for x in got.collect()}
+    want = {}
+    for k, lid, lt in left:
+        for c in {c for kk, c, *_ in cfg if kk == k}:
+            want[k, lid, lt, c] = max((rid for kk, cc, rid, rt in cfg if kk == k and cc == c and rid < lid and rt < lt), default=None)
+    assert have == want
+
+
+def test_interval_join_refuses_modes_that_keep_intervals(spark):
+    import pytest
+
+    from stepwise.operators.joins import interval_join
+    df = spark.range(1).selectExpr("id k", "id t", "id s", "id e")
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            interval_join(df.select("k", "t"), df.select("k", "s", "e"), [("k", "k")], "t", "s", "e", width=1, how=how)
+
+
+def test_text_ids(spark):
+    from stepwise.operators.joins import in_ids
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    assert [r.k for r in in_ids(df, "k", ["a", "x"]).collect()] == ["a"]
+    assert [r.k for r in in_ids(df, "k", ["a"], negate=True).collect()] == ["b"]

@@ -77,31 +77,33 @@ def test_no_unpartitioned_window_over_rows(spark, skewed):
     assert "SinglePartition" not in plan
 
 
-def test_one_task_path_matches_two_level_path(spark, skewed, tmp_path):
-    from stepwise.operators import ordered
-
-    # sizes come from file statistics (an in-memory DataFrame has no estimate and always splits)
-    skewed.write.parquet(str(tmp_path / "skewed"))
-    skewed = spark.read.parquet(str(tmp_path / "skewed"))
-
-    def run_all():
-        lead = shift_within(skewed, ["k"], ["t"], ["i"], offset=1, width=86400)
-        rank = ordered_rank(skewed, ["k"], ["t", "i"], width=86400, name="rn", count_name="n")
-        med = median_over(skewed, ["k"], "v", width=25, name="med")
-        dr = global_dense_rank(skewed, ["k", "i"], width=100, name="r", bucket_col="i")
-        types = [d.dtypes for d in (lead, rank, med, dr)]
-        return (types, rows(lead, "i", "next_i"), rows(rank, "i", "rn", "n"), rows(med, "i", "med"), rows(dr, "i", "r"))
-
-    old = ordered.ONE_TASK_BYTES
-    try:
-        ordered.ONE_TASK_BYTES = 0
-        assert not ordered.fits_one_task(skewed)
-        split = run_all()
-        ordered.ONE_TASK_BYTES = 1 << 30
-        assert ordered.fits_one_task(skewed)
-        plan = shift_within(skewed, ["k"], ["t"], ["i"], width=86400)._jdf.queryExecution().executedPlan().toString()
-        assert "_gk" not in plan  # the single-stage window was taken
-        single = run_all()
-    finally:
-        ordered.ONE_TASK_BYTES = old
-    assert split == single
+def test_nan_is_the_largest_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 30.0, nan)] + [(2, float("inf")), (2, -1.0), (2, None), (2, nan)], "k int, v double")
+    got = {(r.k, str(r.v)): r.r for r in ordered_rank(df.filter("v is not null"), ["k"], ["v"], width=10, name="r").collect()}
+    assert got == {(1, "1.0"): 1, (1, "2.0"): 2, (1, "30.0"): 3, (1, "nan"): 4, (2, "-1.0"): 1, (2, "inf"): 2, (2, "nan"): 3}
+    med = {r.k: r.m for r in median_over(df, ["k"], "v", width=10, name="m").collect()}
+    assert med == {1: 16.0, 2: float("inf")}
+
+
+def test_median_looks_at_the_middle_bucket_only(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in [0] * 500 + list(range(1000))], "k int, v double")
+    assert median_over(df, ["k"], "v", width=10, name="m").first()["m"] == 249.5
+    empty = spark.createDataFrame([(1, None)], "k int, v double")
+    assert median_over(empty, ["k"], "v", width=10, name="m").first()["m"] is None
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "boolean", "decimal(10,2)", "date"])
+def test_every_orderable_type_takes_the_one_path(spark, kind):
+    raw = [("2024-01-0%d" % (i % 7 + 1) if kind == "date" else "true" if i % 2 else "false") if kind in ("date", "boolean") else str(i * 37 % 11)
+           for i in range(40)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, t string").select("i", F.col("t").cast(kind).alias("o"), F.lit(1).alias("k"))
+    got = shift_within(df, ["k"], ["o"], ["i"], offset=1, width=2)
+    exp = df.withColumn("next_i", F.lead("i").over(Window.partitionBy("k").orderBy(F.col("o").asc_nulls_first(), "i")))
+    assert rows(got, "i", "next_i") == rows(exp, "i", "next_i")
+
+
+def test_types_without_an_order_bucket_are_refused(spark):
+    df = spark.createDataFrame([(1, [1])], "k int, o array<int>")
+    with pytest.raises(TypeError):
+        shift_within(df, ["k"], ["o"], ["k"])

@@ -53,3 +53,15 @@ def test_top_row_per_key_desc_with_tiebreak(spark):
                                (2, None, "1")], "id int, ts string, target string")
     got = top_row_per_key(r, ["id"], ["ts"], ["target"])
     assert rows(got, "id", "target") == [(1, "095"), (2, "1")]
+
+
+def test_merge_stops_on_two_source_rows_of_one_key(spark):
+    import pytest
+
+    from stepwise.sources.sinks import merge_update
+    t = spark.createDataFrame([(1, None), (2, 5.0), (None, 7.0)], "k int, v double")
+    one = spark.createDataFrame([(1, 3), (9, 4), (None, 8)], "k int, w int")
+    got = merge_update(t, one, ["k"], {"v": F.col("s.w")}, F.col("t.v").isNull())
+    assert got.dtypes == t.dtypes and sorted((r.k or 0, r.v) for r in got.collect()) == [(0, 7.0), (1, 3.0), (2, 5.0)]
+    with pytest.raises(Exception, match="several source rows"):
+        merge_update(t, one.union(one), ["k"], {"v": F.col("s.w")}).collect()

@@ -8,7 +8,7 @@ from stepwise.streaming.incremental import run_end_time_check
 
 
 def test_incremental_load_is_exactly_once(spark):
-    root = f"{checkpoint_dir(spark, allow_local_default=True).rstrip('/')}/test_stream/{uuid.uuid4().hex}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/test_stream/{uuid.uuid4().hex}"
     t = datetime(2025, 1, 10)
     runs = spark.createDataFrame([(1, 11, 5, t - timedelta(hours=700), t, 10.0), (2, 12, 5, t - timedelta(hours=5), t, 0.0),
                                   (3, 13, 5, t - timedelta(hours=5), t, 3.0)],
@@ -32,6 +32,46 @@ def test_incremental_load_is_exactly_once(spark):
     assert again.count() == 1
 
 
+RUN_KIND = ("id_run_growth long, id_growing_run long, id_station long, start_time timestamp_ntz, "
+            "end_time timestamp_ntz, run_duration double")
+SENSOR_KIND = "data_table string, timestamp timestamp_ntz, id_run long, pyrometer struct<id_value:string,id_run_growth:string>"
+
+
+def test_a_replayed_batch_keeps_its_rows(spark):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/test_replay/{uuid.uuid4().hex}"
+    t = datetime(2025, 1, 10)
+    runs = spark.createDataFrame([(i, 10 + i, 5, t - timedelta(hours=7), t, 3.0) for i in range(3)], RUN_KIND)
+    stations = spark.createDataFrame([(5, "s")], "id_station long, data_table string")
+    sensor = spark.createDataFrame([("s", t, 10 + i, ("p", str(i))) for i in range(3)], SENSOR_KIND)
+    runs.write.parquet(f"{root}/runs/b1")
+    kw = dict(spark=spark, runs_path=f"{root}/runs", runs_schema=runs.schema, stations=stations, sensor=sensor,
+              target_path=f"{root}/target", checkpoint_path=f"{root}/ckpt", as_of=t + timedelta(hours=1))
+    assert run_end_time_check(**kw).count() == 3
+    # the batch wrote its folder but its commit is lost: the restarted query runs it again
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    commits = f"{root.removeprefix('file:')}/ckpt/commits"
+    assert fs.delete(path(f"{commits}/0"), False)
+    fs.delete(path(f"{commits}/.0.crc"), False)
+    assert sorted(r.id_run_growth for r in run_end_time_check(**kw).collect()) == [0, 1, 2]
+
+
+def test_readings_that_come_later_are_loaded(spark):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/test_late/{uuid.uuid4().hex}"
+    t = datetime(2025, 1, 10)
+    runs = spark.createDataFrame([(i, 10 + i, 5, t - timedelta(hours=7), t, 3.0) for i in range(3)], RUN_KIND)
+    stations = spark.createDataFrame([(5, "s")], "id_station long, data_table string")
+    readings = [("s", t, 10 + i, ("p", str(i))) for i in range(3)]
+    runs.write.parquet(f"{root}/runs/b1")
+    kw = dict(spark=spark, runs_path=f"{root}/runs", runs_schema=runs.schema, stations=stations, target_path=f"{root}/target",
+              checkpoint_path=f"{root}/ckpt")
+    first = run_end_time_check(sensor=spark.createDataFrame(readings[:1], SENSOR_KIND), as_of=t + timedelta(hours=1), **kw)
+    assert [r.id_run_growth for r in first.collect()] == [0]
+    for _ in range(2):  # a second call changes nothing
+        later = run_end_time_check(sensor=spark.createDataFrame(readings, SENSOR_KIND), as_of=t + timedelta(hours=2), **kw)
+        assert sorted(r.id_run_growth for r in later.collect()) == [0, 1, 2]
+
+
 def test_sharded_sensor_is_pruned_by_the_run_join(spark, tmp_path):
     from stepwise.plans.runs import last_reading_per_run
     from stepwise.sources.tables import read_shards, write_shards
