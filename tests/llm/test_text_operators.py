@@ -59,10 +59,16 @@ def check_repeats(docs):
         assert [(s.start, s.end) for s in r.spans] == spans
 
 
-def test_repeats_match_brute_force(spark, odd_docs):
+@pytest.mark.parametrize("large", [20_000, 3])
+def test_repeats_match_brute_force(spark, odd_docs, monkeypatch, large):
+    monkeypatch.setattr(repeats, "LARGE", large)  # with 3, common grams take the way for large groups
     check_repeats(odd_docs)
 
 
+def test_no_texts_have_no_repeats(spark, no_docs):
+    assert repeats.without_repeats(no_docs, ["doc_id"]).count() == 0
+
+
 def test_repeats_on_the_small_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_repeats(docs_of(docs))
