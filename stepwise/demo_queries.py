@@ -760,13 +760,13 @@ def thickness_inputs(spark, sf_dir):
     return meas, blocks, layers, recipes, hist, dims
 
 
-def thickness_demo(spark, sf_dir):
+def thickness_demo(spark, sf_dir, **kw):
     from datetime import timedelta
 
     from stepwise.plans.thickness import thickness_report
     return thickness_report(*thickness_inputs(spark, sf_dir), EVENTS_AS_OF, collection="purchase",
                             exclude_flow="excluded", min_param="min_t", max_param="max_t", cohort_days=90,
-                            recent_days=30, offset=timedelta(days=2), step_prefixes=("err", "cli"), rank_width=10)
+                            recent_days=30, offset=timedelta(days=2), step_prefixes=("err", "cl"), rank_width=10, **kw)
 
 
 def q_thickness_report(spark, sf_dir):
@@ -789,7 +789,14 @@ def q_outlier_classes(spark, sf_dir):
 def q_chart_marks(spark, sf_dir):
     from stepwise.plans.thickness import chart_marks
     configure(spark)
-    return chart_marks(thickness_demo(spark, sf_dir))
+    scratch_folder(spark)
+    return chart_marks(thickness_demo(spark, sf_dir, ordered=False))
+
+
+def q_thickness_older(spark, sf_dir):
+    """J28, older variant: three outlier classes and one more text reading per unit."""
+    configure(spark)
+    return thickness_demo(spark, sf_dir, ways=3, text_params={"other_text": "other"})
 
 
 REGISTRY.update({
@@ -1001,3 +1008,73 @@ def q_backfill_latest_plain(spark, sf_dir):
 
 
 REGISTRY["backfill_latest_plain"] = q_backfill_latest_plain
+
+
+# ----------------------------------------------------------------------------- sources and sinks by themselves
+
+def q_inline_offsets(spark, sf_dir):
+    """An inline array with offsets, joined to the events of each type."""
+    from stepwise.operators.grids import inline_values
+    configure(spark)
+    kinds = inline_values(spark, ["view", "click", "signup"], "event_type", offset_name="pos")
+    e = table(spark, sf_dir, "events")
+    return e.join(kinds, "event_type").groupBy("event_type", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_sheet_read(spark, sf_dir):
+    """Customers written as an untyped sheet with repeated header rows, read back without them."""
+    from stepwise.sources.tables import read_sheet
+    configure(spark)
+    path = own_folder(spark, "stepwise_sheet")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("a"), F.col("c_name").alias("b"))
+    head = c.limit(1).select(F.lit("Item").alias("a"), F.lit("Name").alias("b"))
+    head.union(c).write.csv(path)
+    return read_sheet(spark, path, 2)
+
+
+def q_append_rows(spark, sf_dir):
+    """Nations appended to a table of regions by column position."""
+    from stepwise.sources.sinks import append_rows
+    from stepwise.sources.tables import read_table
+    configure(spark)
+    path = own_folder(spark, "stepwise_append")
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    append_rows(r.select(F.col("r_regionkey").cast("long"), "r_name"), path, ["id", "name"])
+    append_rows(n.select((F.col("n_nationkey") + 100).cast("long"), "n_name"), path, ["id", "name"])
+    return read_table(spark, path)
+
+
+def q_replace_table(spark, sf_dir):
+    """A table replaced by a rewrite of itself."""
+    from stepwise.sources.sinks import write_replace
+    from stepwise.sources.tables import read_table
+    configure(spark)
+    path = own_folder(spark, "stepwise_replace")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").write.parquet(path)
+    write_replace(read_table(spark, path).withColumn("s_acctbal", F.col("s_acctbal") * 2), path)
+    return read_table(spark, path)
+
+
+EXPLICIT_DIMENSION_ROWS = [("s7", "low", "Prep", 41, "Block", "1x1"), ("s8", "high", "Finish", 42, "Plate", "2x2")]
+
+
+def q_append_transitions(spark, sf_dir):
+    """J27, first form: literal transition rows with their own step order and product."""
+    from stepwise.plans.audits import append_dimension
+    configure(spark)
+    e = table(spark, sf_dir, "events")
+    target = e.select(F.col("event_type").alias("step_name"), F.when(F.col("value") > 100, "high").otherwise("low").alias("step_name_next"),
+                      F.lit("seg").alias("segment_name"), F.lit(1).alias("step_order"), F.lit("Block").alias("unit"),
+                      F.lit("1x1").alias("master_product")).distinct()
+    return append_dimension(spark, target, EXPLICIT_DIMENSION_ROWS, "step_name string, step_name_next string, segment_name string, "
+                            "step_order int, unit string, master_product string")
+
+
+REGISTRY.update({
+    "inline_offsets": q_inline_offsets,
+    "sheet_read": q_sheet_read,
+    "append_rows": q_append_rows,
+    "replace_table": q_replace_table,
+    "append_transitions": q_append_transitions,
+    "thickness_older": q_thickness_older,
+})

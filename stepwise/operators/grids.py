@@ -1,7 +1,7 @@
 """Report dimensions: inline rows, ordered lists, period tables and full report grids.
 
-Inline dimensions come from Python literals, so their size is fixed by the caller (a proven bound)
-and they are broadcast. Grids are built by exploding literal arrays onto a dimension — a generate,
+Inline dimensions come from Python literals; the planner knows their size and broadcasts them when they
+are small, so no hint is given that would outlive later joins. Grids are built by exploding literal arrays onto a dimension — a generate,
 not a join — and period roll-ups scan the facts once (U02) instead of once per look-back.
 """
 
@@ -14,18 +14,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# literal tables and the dimensions numbered below are lists that a person writes
+LARGEST_DIMENSION = 100_000
+
+
 def inline_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
-    """``UNNEST([STRUCT(…), …])``: a small literal table (explicitly broadcastable)."""
-    return F.broadcast(spark.createDataFrame([tuple(r) for r in rows], schema))
+    """``UNNEST([STRUCT(…), …])``: a literal table of at most ``LARGEST_DIMENSION`` rows."""
+    rows = [tuple(r) for r in rows]
+    if len(rows) > LARGEST_DIMENSION:
+        raise ValueError(f"{len(rows)} literal rows: read a table of that size instead")
+    return spark.createDataFrame(rows, schema)
 
 
 def inline_values(spark: SparkSession, values: Sequence, name: str, dtype: str = "string",
                   offset_name: str | None = None, start: int = 0) -> DataFrame:
     """``UNNEST([v, …]) AS name [WITH OFFSET AS pos]``; offsets are 0-based like OFFSET."""
     if offset_name:
-        rows = [(v, i + start) for i, v in enumerate(values)]
-        return F.broadcast(spark.createDataFrame(rows, f"{name} {dtype}, {offset_name} int"))
-    return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{name} {dtype}"))
+        return inline_rows(spark, [(v, i + start) for i, v in enumerate(values)], f"{name} {dtype}, {offset_name} int")
+    return inline_rows(spark, [(v,) for v in values], f"{name} {dtype}")
 
 
 def numbered(df: DataFrame, start: int, name: str = "pos", order: Sequence[str] | None = None) -> DataFrame:

@@ -15,17 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grouped_values(df: DataFrame, keys: Sequence[str], value: Column | str, *, sums: dict[str, Column | str] | None = None) -> DataFrame:
+def grouped_values(df: DataFrame, keys: Sequence[str], value: Column | str, *, sums: dict[str, Column | str] | None = None,
+                   weight: str | None = None) -> DataFrame:
     """The list of ``grouped_sorted_list`` as rows ``(keys, _v, _n, sums)``: one per distinct value with its
-    count. Nothing is gathered per key, so a key may have any number of values."""
+    count (``weight`` names a column of counts when a row stands for several). Nothing is gathered per
+    key, so a key may have any number of values."""
     v = (F.col(value) if isinstance(value, str) else value).cast("string")
     sums = sums or {}
-    base = df.select(*keys, v.alias("_v"), *[(F.col(c) if isinstance(c, str) else c).alias(f"_s_{n}") for n, c in sums.items()])
-    return base.groupBy(*keys, "_v").agg(F.count("_v").alias("_n"), *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums])
+    n = F.col(weight) if weight else F.lit(1)
+    base = df.select(*keys, v.alias("_v"), F.when(v.isNotNull(), n).otherwise(0).cast("bigint").alias("_w"), *[(F.col(c) if isinstance(c, str) else c).alias(f"_s_{n}") for n, c in sums.items()])
+    return base.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"), *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums])
 
 
 def grouped_sorted_list(df: DataFrame, keys: Sequence[str], value: Column | str, name: str, *, sep: str = ",",
-                        count_name: str | None = None, sums: dict[str, Column | str] | None = None) -> DataFrame:
+                        count_name: str | None = None, sums: dict[str, Column | str] | None = None,
+                        weight: str | None = None) -> DataFrame:
     """``SELECT keys, STRING_AGG(value ORDER BY value) AS name [, COUNT(value)] [, SUM(x)…] GROUP BY keys``.
 
     ``value`` is compared as text (cast to string). The list is null when the group has no non-null
@@ -35,7 +39,7 @@ def grouped_sorted_list(df: DataFrame, keys: Sequence[str], value: Column | str,
     """
     keys = list(keys)
     sums = sums or {}
-    lvl1 = grouped_values(df, keys, value, sums=sums)
+    lvl1 = grouped_values(df, keys, value, sums=sums, weight=weight)
     pairs = F.filter(F.array_sort(F.collect_list(F.struct(F.col("_v"), F.col("_n")))), lambda p: p["_v"].isNotNull())
     expanded = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["_v"], p["_n"].cast("int"))))
     total = F.sum("_n")

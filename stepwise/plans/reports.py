@@ -146,7 +146,7 @@ def cycle_time_report(log: DataFrame, transitions: DataFrame, segment_steps: Dat
                       flow: str | None = None, flow_col: str = "flow_name_in", exclude_ids=None,
                       exclude_material: str | None = "Software Test", parent_segment: str = "Singulation|parent",
                       periods: Sequence[tuple[str, int]] = CYCLE_PERIODS, cohort_days: int = 90, log_days: int = 365,
-                      default: float = 0.01, tz: str = DEFAULT_TZ, materialize: bool = False) -> DataFrame:
+                      default: float = 0.01, tz: str = DEFAULT_TZ) -> DataFrame:
     """Average / max / count of cycle hours per segment for several cohort look-backs.
 
     Cohort: newest finish per unit × segment over matching transitions (90 local days, exclusive
@@ -172,14 +172,15 @@ def cycle_time_report(log: DataFrame, transitions: DataFrame, segment_steps: Dat
     rr = mh.join(bts, "id_block").join(segment_steps.select("step_name", "segment_name"),
                                        ["step_name", "segment_name"])
     ctpb = rr.groupBy("id_block", "segment_name", "segment_finish_time").agg(F.sum("cycle_hour").alias("cycle_hour"))
-    if materialize:  # read twice below (own rows and inherited rows): write once instead of computing twice
-        from stepwise.operators.tree import materialize as _materialize
-        ctpb = _materialize(ctpb)
-    kids = blocks.select(F.col("id_block").alias("_child"), F.col("parent_id_block").alias("_parent"))
-    inherited = ctpb.join(kids, ctpb["id_block"] == kids["_parent"]).select(
-        F.col("_child").alias("id_block"), "segment_name", "segment_finish_time", "cycle_hour")
-    own = ctpb.filter(F.col("segment_name") != F.lit(parent_segment))
-    conv = inherited.unionByName(own).groupBy("id_block", split_first("segment_name", "|").alias("segment_name")).agg(
+    # one pass over the hours: a parent meets its children and itself, a unit without children nobody
+    edges = blocks.select(F.col("id_block").alias("_child"), F.col("parent_id_block").alias("_parent"), F.lit(False).alias("_own"))
+    parents = blocks.select("parent_id_block").filter(F.col("parent_id_block").isNotNull()).distinct()
+    edges = edges.unionByName(parents.select(F.col("parent_id_block").alias("_child"), F.col("parent_id_block").alias("_parent"),
+                                             F.lit(True).alias("_own")))
+    met = ctpb.join(edges, ctpb["id_block"] == edges["_parent"], "left").filter(
+        ~F.coalesce("_own", F.lit(True)) | (F.col("segment_name") != F.lit(parent_segment)))
+    unit = F.when(F.col("_own").isNull(), F.col("id_block")).otherwise(F.col("_child"))
+    conv = met.groupBy(unit.alias("id_block"), split_first("segment_name", "|").alias("segment_name")).agg(
         F.max("segment_finish_time").alias("segment_finish_time"), F.sum("cycle_hour").alias("cycle_hour"))
     membership = [(Period(label, i, 1), between_instants(conv, "segment_finish_time", local_midnight_of(as_of, tz, d), None, False))
                   for i, (label, d) in enumerate(periods)]

@@ -15,9 +15,9 @@ from stepwise.functions.rules import Alias, canonicalise, classify
 from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, hours_between, in_local_dates, local_date, shift, sunday_week,
 )
-from stepwise.operators.joins import anti_null_aware, in_ids, interval_join, latest_before
+from stepwise.operators.joins import anti_null_aware, in_ids, latest_before
 from stepwise.operators.lists import grouped_sorted_list
-from stepwise.operators.ordered import shift_within
+from stepwise.operators.ordered import order_bucket, shift_within
 from stepwise.operators.pivot import pivot_params
 
 
@@ -181,7 +181,7 @@ def label_audit(units: DataFrame, dims: DataFrame, growth_blocks: DataFrame, run
     j = j.join(gwt, j["latest_id_run_growth"] == gwt["id_run_growth"], "left")
     lab = F.when(F.col("hour_til_end").isNotNull(), F.lit(labels[0])).otherwise(F.lit(labels[1]))
     out = j.select(lab.alias("theoretical_label"), classify(reasons).alias("mistake"))
-    return out.groupBy("theoretical_label", "mistake").agg(F.count(F.lit(1)).alias("count"))
+    return out.groupBy("theoretical_label", "mistake").agg(F.count(F.lit(1)).alias("count")).orderBy("theoretical_label", "mistake")
 
 
 # ----------------------------------------------------------------------------- J19
@@ -193,8 +193,8 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
 
     Previous value per station × parameter by run id (skew-safe ``LAG``) is computed over the whole
     process history *before* any station/date filter (the filter stays above the window). Changes
-    follow distinct station edges to target stations and meet runs active at the change time
-    (bucketed interval join). Per run: total change, sorted list and count of changed parameters.
+    follow distinct station edges to target stations and meet runs active at the change time, by day
+    totals where a day lies wholly in a run. Per run: total change, sorted list and count of changed parameters.
     """
     gc = changes if process is None else changes.filter(F.col("id_process") == F.lit(process))
     gc = gc.select("id_run", "station_name", "start_time", "id_station", "step_parameter",
@@ -215,7 +215,18 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
                  "target_id_station")
     rr = runs.select("id_run_growth", "mean_growth_rate", F.col("id_station").alias("_rst"),
                      F.col("start_time").alias("_rs"), F.col("end_time").alias("_re"))
-    hit = interval_join(j, rr, [("target_id_station", "_rst")], "start_time", "_rs", "_re", width=time_width)
-    out = grouped_sorted_list(hit, ["id_run_growth", "mean_growth_rate"], "step_parameter", "changed_parameters",
-                              count_name="changed_parameter_count", sums={"change_of_n2": "change_of_value"})
+    # days wholly inside a run add their totals per parameter; only its first and last day are paired
+    j = j.withColumn("_b", order_bucket(j, "start_time", time_width))
+    rr = rr.filter(F.col("_rs") <= F.col("_re"))
+    rr = rr.withColumn("_b0", order_bucket(rr, "_rs", time_width)).withColumn("_b1", order_bucket(rr, "_re", time_width))
+    ends = rr.withColumn("_rb", F.explode(F.array_distinct(F.array("_b0", "_b1"))))
+    paired = j.join(ends, (j["target_id_station"] == ends["_rst"]) & (j["_b"] == ends["_rb"]) & (j["start_time"] >= ends["_rs"])
+                    & (j["start_time"] <= ends["_re"])).select(
+        "id_run_growth", "mean_growth_rate", "step_parameter", F.lit(1).cast("bigint").alias("_n"), "change_of_value")
+    days = j.groupBy("target_id_station", "_b", "step_parameter").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("change_of_value").alias("change_of_value"))
+    inner = rr.filter(F.col("_b1") - F.col("_b0") > 1).withColumn("_rb", F.explode(F.sequence(F.col("_b0") + 1, F.col("_b1") - 1)))
+    whole = days.join(inner, (days["target_id_station"] == inner["_rst"]) & (days["_b"] == inner["_rb"])).select(*paired.columns)
+    out = grouped_sorted_list(paired.unionByName(whole), ["id_run_growth", "mean_growth_rate"], "step_parameter", "changed_parameters",
+                              count_name="changed_parameter_count", sums={"change_of_n2": "change_of_value"}, weight="_n")
     return out.select("id_run_growth", "mean_growth_rate", "change_of_n2", "changed_parameters", "changed_parameter_count")

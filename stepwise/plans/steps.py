@@ -68,11 +68,7 @@ def sequence_gaps(log: DataFrame, *, key: str = "id_block", start: str = "start_
     """
     rows = log.filter(F.col(end) != F.col(start)).select(key, F.col(end).alias("this_end"), F.col(start).alias("_start"))
     nxt = shift_within(rows, [key], ["this_end"], ["_start"], offset=1, width=width, prefix="next")
-    nxt = nxt.withColumnRenamed("next_start", "next_start").drop("_start")
+    nxt = nxt.drop("_start")
     out = nxt.filter(distinct_from("next_start", "this_end") & F.col("this_end").isNotNull()
                      & F.col("next_start").isNotNull())
-    return out.withColumn("time_diff", whole_units("next_start", "this_end", unit))
-
-
-def step_in(col: str, steps: Sequence[str]):
-    return F.col(col).isin(list(steps))
+    return out.withColumn("time_diff", whole_units("next_start", "this_end", unit)).orderBy(key, "this_end")

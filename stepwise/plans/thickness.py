@@ -39,7 +39,8 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
                      min_param: str, max_param: str, cohort_days: float = 90, recent_days: float = 7,
                      offset: timedelta = timedelta(minutes=10), terminate_op: str = "Terminate",
                      step_prefixes: Sequence[str] = ("304", "344", "704"), large_over: float = 25,
-                     limit: float = LIMIT, rank_width: float = 100000) -> DataFrame:
+                     limit: float = LIMIT, rank_width: float = 100000, ways: int = 5,
+                     text_params: dict[str, str] | None = None, ordered: bool = True) -> DataFrame:
     """Per measured or scrapped unit — parent, layer, first characterisation, min/max thickness
     against the parent's newest recipe target, size group, parent rank, scrap flag and outlier class.
 
@@ -48,7 +49,12 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
     ``max(struct)``, no window), min/max pivoted → scrapped units of those parents (first terminate
     time) → full outer join on (parent, unit) with coalesced layer → parent size with a null-strict
     ``LEAST`` → ``DENSE_RANK`` over (size group, parent) without a single-partition window.
+
+    ``ways=3`` gives the older variant's outlier classes, ``text_params`` adds one text column per
+    (name, parameter), such as the older variant's spread and range readings. Rows come in the order
+    parent, layer, first characterisation unless ``ordered`` is off.
     """
+    text_params = text_params or {}
     as_of = as_utc(as_of)
     first = measurements.filter((F.col("data_collection_name") == F.lit(collection))
                                 & between_instants(measurements, "data_collection_complete_date", as_of - timedelta(days=cohort_days), None, False))
@@ -71,7 +77,8 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
                     safe_number(tgt).alias("target_thick")).agg(
         F.max(tgt).alias("recipe_target"), F.max("flow_name").alias("flow"),
         F.max(F.when(F.col("parameter_name") == F.lit(min_param), safe_number("collected_value"))).alias("minThick_raw"),
-        F.max(F.when(F.col("parameter_name") == F.lit(max_param), safe_number("collected_value"))).alias("maxThick_raw"))
+        F.max(F.when(F.col("parameter_name") == F.lit(max_param), safe_number("collected_value"))).alias("maxThick_raw"),
+        *[F.max(F.when(F.col("parameter_name") == F.lit(p), F.col("collected_value"))).alias(n) for n, p in text_params.items()])
 
     in_steps = F.lit(False)
     for prefix in step_prefixes:  # prefixes may differ in length
@@ -87,14 +94,15 @@ def thickness_report(measurements: DataFrame, blocks: DataFrame, layers: DataFra
     both = both.select("parent_id_block", "id_block", "layer", "data_collection_complete_date", "time_terminated",
                        "batch", "product_name", "minThick_raw", "maxThick_raw", "target_thick", "recipe_target",
                        (F.col("minThick_raw") - F.col("target_thick")).alias("minThick"),
-                       (F.col("maxThick_raw") - F.col("target_thick")).alias("maxThick"))
+                       (F.col("maxThick_raw") - F.col("target_thick")).alias("maxThick"), *text_params)
     pbd = dims.select(F.col("id_block").alias("_pid"), strict_least("width", "length").alias("parent_size"))
     binned = both.join(pbd, both["parent_id_block"] == pbd["_pid"]).drop("_pid")
     binned = binned.withColumn("size_group", F.when(F.col("parent_size") > large_over, "large").otherwise("small"))
     ranked = global_dense_rank(binned, ["size_group", "parent_id_block"], width=rank_width, name="parent_rank",
                                bucket_col="parent_id_block")
-    return ranked.withColumn("Terminated", F.when(F.col("time_terminated").isNotNull(), 1).otherwise(0)) \
-        .withColumn("outlier_type", outlier_class("minThick", "maxThick", limit, 5))
+    out = ranked.withColumn("Terminated", F.when(F.col("time_terminated").isNotNull(), 1).otherwise(0)) \
+        .withColumn("outlier_type", outlier_class("minThick", "maxThick", limit, ways))
+    return out.orderBy("parent_id_block", "layer", "data_collection_complete_date") if ordered else out
 
 
 def facet_order(df: DataFrame, col: str = "layer", name: str = "facet") -> DataFrame:

@@ -15,15 +15,17 @@ def read_table(spark: SparkSession, path_or_name: str, fmt: str = "parquet") ->
     return spark.table(path_or_name)
 
 
-def write_shards(df: DataFrame, path: str, shard_col: str, mode: str = "overwrite", files_per_shard: int = 8) -> None:
+def write_shards(df: DataFrame, path: str, shard_col: str, mode: str = "overwrite", rows_per_file: int = 4_000_000) -> None:
     """Lay a dataset out as ``path/<shard_col>=<value>/`` so a shard filter prunes directories.
 
-    Rows are spread over ``files_per_shard`` tasks per shard by a hash of their content (a
-    deterministic salt, so a retried task writes the same rows): a shard holding a third of the data
-    is written by several tasks, not one.
+    The shards are counted first, and each is spread over as many tasks as its rows ask for by a hash
+    of their content (a deterministic salt, so a retried task writes the same rows): a shard holding a
+    third of the data is written by many tasks, whatever the data's size.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_shard))
-    df.repartition(F.col(shard_col), salt).write.mode(mode).partitionBy(shard_col).parquet(path)
+    counts = df.groupBy(F.col(shard_col).alias("_shard")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_file), F.lit(1)).alias("_files"))
+    sized = df.join(counts, df[shard_col].eqNullSafe(counts["_shard"])).withColumn(
+        "_salt", F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_files")))
+    sized.repartition(F.col(shard_col), F.col("_salt")).select(*[df[c] for c in df.columns]).write.mode(mode).partitionBy(shard_col).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, shard_col: str, shards: Sequence[str] | DataFrame | None = None) -> DataFrame:
@@ -47,7 +49,8 @@ def read_jdbc(spark: SparkSession, url: str, query: str, *, properties: dict | N
     """``EXTERNAL_QUERY(conn, sql)``: a pushed-down query on an operational database.
 
     With ``partition_column`` and bounds the read is split into ``num_partitions`` parallel range
-    queries (the query is wrapped as a subquery). ``reader`` lets tests inject any DataFrame
+    queries (the query is wrapped as a subquery); without it one task reads the whole result, which is
+    meant for dimension tables only. ``reader`` lets tests inject any DataFrame
     factory instead of a live connection.
     """
     if reader is not None:
