@@ -15,10 +15,11 @@ from stepwise.functions.rules import Alias, canonicalise, classify
 from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, hours_between, in_local_dates, local_date, shift, sunday_week,
 )
-from stepwise.operators.joins import anti_null_aware, in_ids, latest_before
+from stepwise.operators.joins import hop, in_ids, latest_before
 from stepwise.operators.lists import grouped_sorted_list
-from stepwise.operators.ordered import order_bucket, shift_within
+from stepwise.operators.ordered import delta_from_prev, order_bucket
 from stepwise.operators.pivot import pivot_params
+from stepwise.sources.sinks import only_new
 
 
 # ----------------------------------------------------------------------------- J06
@@ -37,7 +38,7 @@ def last_reading_per_run(runs: DataFrame, stations: DataFrame, sensor: DataFrame
     as_of = as_utc(as_of)
     lo, hi = as_of - window, as_of
     r = runs.filter(between_instants(runs, "end_time", lo, hi) & (F.col("run_duration") > 0))
-    r = anti_null_aware(r, done, "id_run_growth")
+    r = only_new(r, done, "id_run_growth")
     r = r.join(stations.select("id_station", shard_col), "id_station")
     r = r.select("id_run_growth", "id_growing_run", "end_time", F.col(shard_col).alias("_shard"))
     s = sensor.filter(between_instants(sensor, "timestamp", lo - before, hi + after, True, False))
@@ -199,20 +200,16 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
     gc = changes if process is None else changes.filter(F.col("id_process") == F.lit(process))
     gc = gc.select("id_run", "station_name", "start_time", "id_station", "step_parameter",
                    safe_number("step_data").alias("step_data"))
-    gc = shift_within(gc, ["id_station", "step_parameter"], ["id_run"], ["step_data"], offset=-1,
-                      width=id_width, prefix="last_")
+    gc = delta_from_prev(gc, "step_data", ["id_station", "step_parameter"], ["id_run"], width=id_width, name="change_of_value")
     if station_name is not None:
         gc = gc.filter(F.col("station_name") == F.lit(station_name))
     if since is not None:
         gc = gc.filter(between_instants(gc, "start_time", as_utc(since), None, False))
     if run_ids is not None:
         gc = in_ids(gc, "id_run", run_ids)
-    sr = edges.select("source_id_station", "target_id_station").distinct()
-    j = gc.join(sr, gc["id_station"] == sr["source_id_station"], "inner")
-    st = stations.select(F.col("id_station").alias("_tid"), F.col("station_name").alias("target_station_name"))
-    j = j.join(st, j["target_id_station"] == st["_tid"], "inner")
-    j = j.select("step_parameter", "start_time", (F.col("step_data") - F.col("last_step_data")).alias("change_of_value"),
-                 "target_id_station")
+    st = stations.select(F.col("id_station").alias("_tid"))
+    j = hop(gc, edges, st, "id_station", "source_id_station", "target_id_station", "_tid").select(
+        "step_parameter", "start_time", "change_of_value", "target_id_station")
     rr = runs.select("id_run_growth", "mean_growth_rate", F.col("id_station").alias("_rst"),
                      F.col("start_time").alias("_rs"), F.col("end_time").alias("_re"))
     # days wholly inside a run add their totals per parameter; only its first and last day are paired
