@@ -16,8 +16,10 @@ similarity is at least 0.75. Documents with one and the same set are one class f
 Lists of up to ``SHORT`` classes give their pairs. Longer lists are matched in blocks inside a task on
 bit sketches whose distance never exceeds the symmetric difference (an exact bound): first every set
 gets one neighbour (a star cover, not all pairs), links are verified on whole texts and merged into
-components; then all pairs still apart that the bound allows are verified too. So no link between
-different components is missed and a cluster of thousands of near copies costs a few links each.
+components; then, round by round, sets outside the largest component meet more and more of their
+nearest sets of other components, until no pair that the bound allows is both apart and untested. So
+no link between different components is missed and a cluster of thousands of near copies costs a few
+links each.
 
 Texts without words (or null) have the empty set and are linked with nothing. Repeated rows with words
 are one class. A null doc_id takes part; the component's id is its smallest non-null doc_id.
@@ -46,7 +48,11 @@ ENTRY_COST = 9.0
 LARGEST_SMALL = 12
 SHORT = 32
 BLOCK = 8_192
+#: neighbours of each set that the first round after the star cover verifies
+FIRST_NEAREST = 8
 SAMPLE_DOCS = 4_000
+#: classes a task remembers in order to give out their keys once
+REMEMBERED = 200_000
 FREQUENT, FREQUENT_AT = 50_000, 4
 #: residues that the texts' reader is told of; a longer list of wanted texts only filters less
 RESIDUES = 1 << 18
@@ -97,18 +103,19 @@ class Neighbours:
             words = np.frombuffer(b"".join(sketches[i] for i in index), np.uint64).reshape(len(index), k)
             self.by_length[int(k)] = (index, words, halved(words) if k > 1 else words)
 
-    def of(self, n: int, own: bytes) -> np.ndarray:
-        """Indices of the sets that may link with a set of ``n`` elements."""
+    def of(self, n: int, own: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the sets that may link with a set of ``n`` elements, and how far their sketches are."""
         row = np.frombuffer(own, np.uint64)
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for k in (len(row) // 2, len(row), len(row) * 2):
             if k in self.by_length:
                 index, words, half = self.by_length[k]
-                apart = words ^ row if k == len(row) else words ^ halved(row) if k < len(row) else half ^ row
+                differ = words ^ row if k == len(row) else words ^ halved(row) if k < len(row) else half ^ row
+                apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
                 m = self.sizes[index]
-                near = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (7 * np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= m + n)
-                found.append(index[near])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+                near = (4 * np.minimum(m, n) >= 3 * np.maximum(m, n)) & (7 * apart <= m + n)
+                found.append((index[near], apart[near]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -180,7 +187,8 @@ def keys_of(docs: DataFrame, limit: int, frequent: dict[int, int]) -> DataFrame:
         return signed[np.argsort(rank, kind="stable")[: prefix_length(len(s))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        given: set[int] = set()  # classes this task has given out: copies of a document add nothing
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             kinds, keys, classes, sizes = [], [], [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, WIDTH)
@@ -194,6 +202,10 @@ def keys_of(docs: DataFrame, limit: int, frequent: dict[int, int]) -> DataFrame:
                         subsets = np.array(list(combinations(range(n), k)))
                         got.append((k, mix(np.bitwise_xor.reduce(x[subsets], axis=1)).view(np.int64)))
                 name = class_key(s) if got else 0
+                if name in given:
+                    continue
+                if len(given) < REMEMBERED:
+                    given.add(name)
                 for k, key in got:
                     kinds.append(np.full(len(key), k, np.int32))
                     keys.append(key)
@@ -240,7 +252,9 @@ def short_list_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def long_list_blocks(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of long lists with their sketches, dealt into pairs of blocks (one pair up to ``BLOCK``)."""
-    rows = shared.where(f"kind = 0 and members > {SHORT}").select("key", "c", "members").join(classes.select("c", "n", "sketch"), "c")
+    rows = shared.where(f"kind = 0 and members > {SHORT}").select("key", "c", "members")
+    keys = rows.groupBy("c").agg(F.collect_list("key").alias("keys"))  # no more than the set's prefix
+    rows = rows.join(classes.select("c", "n", "sketch").join(keys, "c"), "c")
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -260,7 +274,7 @@ def star_cover(blocks: DataFrame) -> DataFrame:
         for i in range(len(names)):
             if across and own[i] != group["lo"][0] or not across and not free[i]:
                 continue
-            found = near.of(int(sizes[i]), sketches[i])
+            found, _ = near.of(int(sizes[i]), sketches[i])
             found = found[free[found] & (found != i) & (~np.bool_(across) | (own[found] != own[i]))]
             free[found] = False
             out += [(names[i], names[j]) for j in found]
@@ -270,22 +284,30 @@ def star_cover(blocks: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def pairs_apart(blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of a block pair that may link and lie in different components."""
+def pairs_apart(blocks: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Pairs of a block pair that may link and lie in different components: for each set outside the
+    block's largest component its ``most`` nearest ones. A set that has more gives the row (c, c). Sets
+    that share several long lists meet in the list with the smallest key only."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("c").reset_index(drop=True)
-        names, own, root = group["c"].to_numpy(), group["own"].to_numpy(), group["root"].to_numpy()
+        names, own = group["c"].to_numpy(), group["own"].to_numpy()
+        _, root, members = np.unique(group["root"].to_numpy(), return_inverse=True, return_counts=True)
         sizes, sketches = group["n"].to_numpy(), group["sketch"].tolist()
         across = group["lo"][0] != group["hi"][0]
         out = []
-        if len(np.unique(root)) > 1:
-            near = Neighbours(sizes, sketches)
-            for i in range(len(names)):
-                if across and own[i] != group["lo"][0]:
-                    continue
-                found = near.of(int(sizes[i]), sketches[i])
-                found = found[(root[found] != root[i]) & ((own[found] != own[i]) if across else (found > i))]
-                out += [(names[i], names[j]) for j in found]
+        near = Neighbours(sizes, sketches) if len(members) > 1 else None
+        before = [frozenset(k[k < group["key"][0]].tolist()) for k in group["keys"]] if near else []
+        for i in np.flatnonzero(root != members.argmax()) if near else ():
+            found, apart = near.of(int(sizes[i]), sketches[i])
+            there = root[found] != root[i]
+            if across:
+                there &= own[found] != own[i]
+            there[there] = [before[i].isdisjoint(before[j]) for j in found[there]]
+            found, apart = found[there], apart[there]
+            if len(found) > most:
+                found = found[np.lexsort((names[found], apart))[:most]]
+                out.append((names[i], names[i]))
+            out += [(names[i], names[j]) for j in found]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     rows = blocks.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -336,10 +358,18 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = stored(short_list_pairs(shared, classes).union(star_cover(blocks)).distinct(), "pairs")
     links = stored(subset_links(shared).union(verified(first, docs, classes)), "links")
     roots = stored(components(links), "roots")
-    rest = stored(pairs_apart(blocks, roots).join(first, ["a", "b"], "left_anti"), "pairs-apart")
-    if rest.limit(1).count():
-        links = links.union(verified(rest, docs, classes))
-        roots = stored(components(links), "roots")
+    # what is still apart: nearest first, more of them each time, until every allowed pair is tested
+    tested, most = first, FIRST_NEAREST
+    while True:
+        found = stored(pairs_apart(blocks, roots, most), "pairs-apart")
+        rest = stored(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "pairs-untested")
+        if rest.limit(1).count():
+            links = stored(links.union(verified(rest, docs, classes)), "links")
+            roots = stored(components(links), "roots")
+            tested = tested.union(rest)
+        if not found.where("a = b").limit(1).count():
+            break  # every allowed pair was there; merging components only takes pairs away
+        most *= 128
     return sets, roots
 
 
