@@ -32,7 +32,7 @@ ROOM = 2048
 END_ID = 1
 SALTS = 16
 #: words and parts of words whose ids a task remembers
-WORDS, PARTS = 400_000, 600_000
+WORDS, PARTS = 200_000, 300_000
 #: words of these characters alone fall into letters, single digits and runs of other signs
 PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ɏ]+")
 PART = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")
@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int
                     for column, value in zip(rows, (doc_id, at // 4, len(part) // 4, n, part), strict=True):
                         column.append(value)
                 size += len(ids)
-                if size > 1 << 24:  # bounded batches, however long the texts
+                if size > 1 << 22:  # bounded batches, however long the texts
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
                     rows, size = [[], [], [], [], []], 0
             if rows[0]:
