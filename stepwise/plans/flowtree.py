@@ -13,14 +13,23 @@ OUTPUT_COLUMNS = ["RootFlowId", "RootFlowName", "FlowId", "FlowName", "IsAlterna
                   "TreePosition", "LogicalName", "DisplayOrder"]
 
 
-def _pretty_name(f: str) -> F.Column:
-    return tsql_concat(F.col(f"{f}.Name"), F.lit(" ["), F.col(f"{f}.Revision"), F.lit("."), F.col(f"{f}.Version"),
-                       F.lit("] ("), F.col(f"{f}.Description"), F.lit(")"))
+def _definitions(flows: DataFrame, width: int | None) -> DataFrame:
+    """What a definition is called in the tree: one row per flow id that others name as definition."""
+    named = tsql_concat(F.col("Name"), F.lit(" ("), F.col("Description"), F.lit(")"))
+    title = tsql_concat(F.col("Name"), F.lit(" ["), F.col("Revision"), F.lit("."), F.col("Version"), F.lit("] ("), F.col("Description"), F.lit(")"))
+    return flows.select(F.col("FlowId").alias("_def"), F.col("Name").alias("_name"), F.col("Revision").alias("_revision"),
+                        F.col("IsAlternate").alias("_alternate"), _cut(title, width).alias("PrettyFlowName"),
+                        _cut(F.col("Description"), width).alias("_chain"), _cut(named, width).alias("_label"), F.col("Description").alias("_about"))
+
+
+def _cut(text: F.Column, width: int | None) -> F.Column:
+    """``CAST(… AS NVARCHAR(width))``: longer texts are cut."""
+    return F.substring(text, 1, width) if width else text
 
 
 def flow_tree(flows: DataFrame, subflows: DataFrame, flow_steps: DataFrame, steps: DataFrame, states: DataFrame,
               roots, *, active: str = "Active", width: int = 3, max_depth: int = 100,
-              tsql_width: int | None = 30) -> DataFrame:
+              tsql_width: int | None = 30, chain_width: int | None = 1000) -> DataFrame:
     """The flow tree below each root flow id, one row per flow node and per attached step.
 
     * sub-flow edges are active edges from a source definition to the target flow's definition;
@@ -29,61 +38,47 @@ def flow_tree(flows: DataFrame, subflows: DataFrame, flow_steps: DataFrame, step
       position appended (T-SQL ``CONCAT``: nulls read as ''), level + 1;
     * active steps of each node hang one level below it; flow nodes appear with null step columns;
     * ``TreePosition`` pads the position with ``000`` per missing level up to the deepest level
-      + 1 and is cut to 30 characters like an unsized ``NVARCHAR`` cast.
+      + 1 and is cut to 30 characters like an unsized ``NVARCHAR`` cast;
+    * names, chains and paths are cut to ``chain_width`` characters at every level, their declared width.
 
     The recursion runs level by level (``walk_levels``: checkpointed frontier, depth guard), so
     the deepest level is known without a global window.
     """
     act = states.filter(F.col("Name") == F.lit(active)).select(F.col("UniversalStateId").alias("_state"))
-    sff = flows.alias("sff")
-    cv = flows.alias("sffcv")
-    sf = subflows.alias("sf").join(act, F.col("sf.UniversalState") == F.col("_state"))
-    subs = sf.join(sff, F.col("sf.TargetEntityId") == F.col("sff.FlowId")) \
-        .join(cv, F.col("sffcv.FlowId") == F.col("sff.DefinitionId"))
-    pos = pad_position(F.col("sf.Position"), width, "plus")
-    if tsql_width:
-        pos = tsql_default_width(pos, tsql_width)
-    subs = subs.select(
-        F.col("sf.SourceEntityId").alias("SourceId"), F.col("sff.DefinitionId").alias("TargetId"), pos.alias("Position"),
-        F.col("sff.Name").alias("FlowName"), _pretty_name("sffcv").alias("PrettyFlowName"),
-        F.col("sffcv.Description").alias("PrettyFlowChain"),
-        tsql_concat(F.col("sffcv.Name"), F.lit(" ("), F.col("sffcv.Description"), F.lit(")")).alias("PrettyPath"),
-        F.col("sffcv.IsAlternate").alias("IsAlternate"),
-        tsql_concat(F.lit("/"), F.col("sffcv.Name"), F.lit(":"), tsql_plus(F.col("sffcv.Revision"), F.lit(":")),
-                    F.col("sf.CorrelationID")).alias("FlowPath"),
-        F.col("sf.CorrelationID").cast("bigint").alias("CorrelationID"), F.col("sf.LogicalName").alias("LogicalName"),
-        F.lit(0).alias("DisplayOrder"))
+    definitions = _definitions(flows, chain_width)
+    place = pad_position(F.col("Position"), width, "plus")
+    target = flows.select(F.col("FlowId").alias("_to"), F.col("DefinitionId").alias("_def"), F.col("Name").alias("FlowName"))
+    subs = subflows.join(act, F.col("UniversalState") == F.col("_state")).join(target, F.col("TargetEntityId") == F.col("_to")).join(
+        definitions, "_def").select(
+        F.col("SourceEntityId").alias("SourceId"), F.col("_def").alias("TargetId"), "FlowName", "PrettyFlowName",
+        (tsql_default_width(place, tsql_width) if tsql_width else place).alias("_place"), "_chain", "_label",
+        F.col("_alternate").alias("IsAlternate"),
+        tsql_concat(F.lit("/"), F.col("_name"), F.lit(":"), tsql_plus(F.col("_revision"), F.lit(":")), F.col("CorrelationID")).alias("_ids"),
+        F.col("CorrelationID").cast("bigint").alias("CorrelationID"), "LogicalName")
     # the active edge table is joined once per level: resolve it once (flow graphs are small)
     subs = materialize(subs)
 
-    f = flows.alias("f")
-    fcv = flows.alias("fcv")
     root_ids = roots if isinstance(roots, DataFrame) else flows.sparkSession.createDataFrame([(r,) for r in roots], "FlowId bigint")
-    root_ids = root_ids.select(F.col(root_ids.columns[0]).alias("_root"))
-    anchor = f.join(root_ids, F.col("f.FlowId") == F.col("_root")).join(fcv, F.col("fcv.FlowId") == F.col("f.DefinitionId"))
-    anchor = anchor.select(
-        F.col("f.FlowId").alias("RootFlowId"), F.col("f.Name").alias("RootFlowName"),
-        F.col("f.DefinitionId").alias("SourceId"), F.col("f.DefinitionId").alias("TargetId"),
-        F.col("f.Name").alias("FlowName"), _pretty_name("fcv").alias("PrettyFlowName"),
-        F.col("fcv.Description").alias("PrettyFlowChain"),
-        tsql_concat(F.col("f.Name"), F.lit(" ("), F.col("fcv.Description"), F.lit(")")).alias("PrettyPath"),
-        tsql_concat(F.col("f.Name"), F.lit(":"), F.col("fcv.Revision"), F.lit(":"), F.lit("1")).alias("FlowPath"),
-        F.lit("001").alias("Position"), F.col("f.IsAlternate").alias("IsAlternate"), F.lit(1).alias("Level"),
-        F.lit(1).cast("bigint").alias("CorrelationID"), F.lit("").alias("LogicalName"), F.lit(0).alias("DisplayOrder"))
-
-    def step(ft: DataFrame) -> DataFrame:
-        t = ft.alias("ft")
-        s2 = subs.alias("s2")
-        j = s2.join(t, F.col("s2.SourceId") == F.col("ft.TargetId"))
-        return j.select(
-            F.col("ft.RootFlowId"), F.col("ft.RootFlowName"), F.col("s2.SourceId"), F.col("s2.TargetId"),
-            F.col("s2.FlowName"), F.col("s2.PrettyFlowName"),
-            tsql_concat(F.col("ft.PrettyFlowChain"), F.lit("-->"), F.col("s2.PrettyFlowChain")).alias("PrettyFlowChain"),
-            tsql_concat(F.col("ft.PrettyPath"), F.lit(CARRIAGE_RETURN), F.col("s2.PrettyPath")).alias("PrettyPath"),
-            tsql_concat(F.col("ft.FlowPath"), F.col("s2.FlowPath")).alias("FlowPath"),
-            tsql_concat(F.col("ft.Position"), F.col("s2.Position")).alias("Position"),
-            F.col("s2.IsAlternate"), (F.col("ft.Level") + 1).alias("Level"), F.col("s2.CorrelationID"),
-            F.col("s2.LogicalName"), F.col("s2.DisplayOrder"))
+    top_flows = flows.join(root_ids.select(F.col(root_ids.columns[0]).alias("_root")), F.col("FlowId") == F.col("_root")).select(
+        F.col("FlowId").alias("RootFlowId"), F.col("Name").alias("RootFlowName"), F.col("DefinitionId").alias("_def"), "IsAlternate")
+    anchor = top_flows.join(definitions, "_def").select(
+        "RootFlowId", "RootFlowName", F.col("_def").alias("SourceId"), F.col("_def").alias("TargetId"), F.col("RootFlowName").alias("FlowName"),
+        "PrettyFlowName", F.col("_chain").alias("PrettyFlowChain"),
+        _cut(tsql_concat(F.col("RootFlowName"), F.lit(" ("), F.col("_about"), F.lit(")")), chain_width).alias("PrettyPath"),
+        _cut(tsql_concat(F.col("RootFlowName"), F.lit(":"), F.col("_revision"), F.lit(":"), F.lit("1")), chain_width).alias("FlowPath"),
+        F.lit("001").alias("Position"), "IsAlternate", F.lit(1).alias("Level"), F.lit(1).cast("bigint").alias("CorrelationID"),
+        F.lit("").alias("LogicalName"), F.lit(0).alias("DisplayOrder"))
+
+    def step(level: DataFrame) -> DataFrame:
+        above = level.select("RootFlowId", "RootFlowName", F.col("TargetId").alias("_from"), F.col("PrettyFlowChain").alias("_chains"),
+                             F.col("PrettyPath").alias("_path"), F.col("FlowPath").alias("_flow"), F.col("Position").alias("_pos"), "Level")
+        grown = lambda *parts: _cut(tsql_concat(*parts), chain_width)
+        return above.join(subs, F.col("_from") == F.col("SourceId")).select(
+            "RootFlowId", "RootFlowName", "SourceId", "TargetId", "FlowName", "PrettyFlowName",
+            grown(F.col("_chains"), F.lit("-->"), F.col("_chain")).alias("PrettyFlowChain"),
+            grown(F.col("_path"), F.lit(CARRIAGE_RETURN), F.col("_label")).alias("PrettyPath"),
+            grown(F.col("_flow"), F.col("_ids")).alias("FlowPath"), grown(F.col("_pos"), F.col("_place")).alias("Position"),
+            "IsAlternate", (F.col("Level") + 1).alias("Level"), "CorrelationID", "LogicalName", F.lit(0).alias("DisplayOrder"))
 
     tree, max_level = walk_levels(anchor, step, level_col="Level", max_depth=max_depth, base_level=1)
     top = (max_level or 0) + 1  # deepest node level + 1 (the flow-node branch's MAX(Level + 1))

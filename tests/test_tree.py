@@ -70,3 +70,19 @@ def test_walk_levels_returns_max_level(spark):
     anchor = spark.createDataFrame([(1, 1)], "node long, Level int")
     out, top = walk_levels(anchor, lambda fr: fr.join(edges, fr.node == edges.src).select(F.col("dst").alias("node"), (F.col("Level") + 1).alias("Level")))
     assert top == 4 and out.count() == 4
+
+
+def test_chains_are_cut_to_their_declared_width(spark):
+    from stepwise.plans.flowtree import flow_tree
+
+    flows = spark.createDataFrame([(i, i, "n" * 100 + str(i), "A", "1", "d" * 120, False) for i in range(1, 13)],
+                                  "FlowId long, DefinitionId long, Name string, Revision string, Version string, Description string, IsAlternate boolean")
+    subs = spark.createDataFrame([(i, i + 1, "1", i, None, 1) for i in range(1, 12)],
+                                 "SourceEntityId long, TargetEntityId long, Position string, CorrelationID long, LogicalName string, UniversalState long")
+    none = spark.createDataFrame([], subs.schema)
+    steps = spark.createDataFrame([], "StepId long, Name string, Description string, DisplayOrder long")
+    states = spark.createDataFrame([(1, "Active")], "UniversalStateId long, Name string")
+    rows = flow_tree(flows, subs, none, steps, states, [1]).collect()
+    assert len(rows) == 12 and max(len(r.PrettyPath) for r in rows) == max(len(r.PrettyFlowChain) for r in rows) == 1000
+    longer = flow_tree(flows, subs, none, steps, states, [1], chain_width=None).collect()
+    assert max(len(r.PrettyPath) for r in longer) > 2000
