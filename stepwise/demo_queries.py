@@ -484,11 +484,8 @@ def q_audit_absent(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- J23 J27
 
-WORK_ORDER_CONSTANTS = {"maintenance_type": 11, "priority": 22, "requested_by": 33, "status": 44}
-
-
 def q_work_order_requests(spark, sf_dir):
-    from stepwise.plans.audits import work_order_requests
+    from stepwise.plans.audits import DESCRIPTION, work_order_requests
     configure(spark)
     o = table(spark, sf_dir, "orders")
     runs = o.select(
@@ -496,7 +493,8 @@ def q_work_order_requests(spark, sf_dir):
         F.col("o_custkey").alias("RD"), (F.col("o_totalprice") / 7.0).alias("Max_Q_diff"),
         (F.col("o_totalprice") / 13.0).alias("prev_Max_Q_diff"), F.col("o_custkey").alias("intSiteID"),
         (F.col("o_orderkey") + 1000).alias("asset_id"))
-    return work_order_requests(runs, WORK_ORDER_CONSTANTS)
+    return work_order_requests(runs, {"kind": "WorkOrder", "type_id": 11, "priority_id": 22, "requested_by": 33, "site_id": F.col("intSiteID"),
+                                      "status_id": 44, "text": DESCRIPTION})
 
 
 NEW_DIMENSION_ROWS = [("s1", "Prep", "Block"), ("s2", "Prep", "Block"), ("s3", "Cut|parent", "Block"),

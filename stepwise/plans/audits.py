@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import number_text
@@ -27,7 +27,7 @@ def tray_shipments(trays: DataFrame, station_types: Sequence[str], as_of, *, day
 
 
 def audit_absent(children: DataFrame, dims: DataFrame, trays: DataFrame, log: DataFrame, step: str, as_of, *,
-                 origin_like: str = "%SMD%", days: float = 90) -> DataFrame:
+                 origin_like: str, days: float = 90) -> DataFrame:
     """Parents with recent children of a given origin, at their current tray position, that never
     passed ``step`` — with SQL ``NOT IN`` semantics (a null in the passed list empties the result)."""
     since = as_utc(as_of) - timedelta(days=days)
@@ -44,24 +44,24 @@ def audit_absent(children: DataFrame, dims: DataFrame, trays: DataFrame, log: Da
     return j.select("parent_id_block", "batch_origin", "job_number", "station_name", "location_name", "timestamp")
 
 
-def work_order_requests(df: DataFrame, constants: dict[str, int], *, site_col: str = "intSiteID") -> DataFrame:
+#: stands for the description in a request's fields
+DESCRIPTION = object()
+
+
+def work_order_requests(df: DataFrame, request: dict) -> DataFrame:
     """Per anomalous run, the multi-line description and the request object as JSON text.
 
-    Posting the request is outside the library (an outward side effect); the DataFrame is the
-    hand-off. Numbers are rounded half-up to 2 places before formatting.
+    ``request`` names the object's fields in order; a value is a constant, a column, or ``DESCRIPTION``
+    for the text, so the receiving system's names and ids stay with the caller. Posting the request is
+    outside the library (an outward side effect); the DataFrame is the hand-off. Numbers are rounded
+    half-up to 2 places before formatting.
     """
     desc = F.concat(F.col("station_name"), F.lit(" During Growth "), F.col("id_run_growth").cast("string"),
                     F.lit(" around the "), F.col("RD").cast("string"), F.lit(" Hour Detected Max Q Diff "),
                     number_text("Max_Q_diff"), F.lit("\n"),
                     F.lit("The previous Growth's Max Q Diff was "), number_text("prev_Max_Q_diff"), F.lit("\n"),
                     F.lit("Therefore Requesting a TNU Check"))
-    obj = F.struct(F.lit("WorkOrder").alias("className"),
-                   F.lit(constants["maintenance_type"]).alias("intMaintenanceTypeID"),
-                   F.lit(constants["priority"]).alias("intPriorityID"),
-                   F.lit(constants["requested_by"]).alias("intRequestedByUserID"),
-                   F.col(site_col).alias("intSiteID"),
-                   F.lit(constants["status"]).alias("intWorkOrderStatusID"),
-                   F.col("_desc").alias("strDescription"))
+    obj = F.struct(*[(F.col("_desc") if v is DESCRIPTION else v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in request.items()])
     out = df.withColumn("_desc", desc)
     return out.select("id_run_growth", "asset_id", F.col("_desc").alias("description"),
                       F.to_json(obj).alias("request_json"))
