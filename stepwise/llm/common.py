@@ -43,8 +43,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: rows in a batch between Spark and Python, where the session leaves Spark's own default: whole texts are
+#: long, and ten thousand of them fill a worker's memory
+BATCH_ROWS = 1_000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, where their Python can't import it."""
+    """Send this package to the executors, once a session, where their Python can't import it, and keep
+    batches of whole texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_llm_package_sent", False):
         return

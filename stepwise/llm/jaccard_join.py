@@ -123,21 +123,23 @@ def as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, c, sketch): hash of the text, size, class and sketch of the set."""
+def document_sets(docs: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, h, n, c, sketch, shingles): hash of the text, size, class and sketch of the set, and for
+    about ``SAMPLE_DOCS`` rows the set itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(2).to_pylist():
+            for text, sampled in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s = shingles(text, WIDTH)
-                rows.append((len(s), class_key(s), sketch(s) if len(s) else b""))
-            own = as_batch(rows, ["n", "c", "sketch"], [pa.int64(), pa.int64(), pa.binary()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own.columns], names=["doc_id", "h", "n", "c", "sketch"])
+                rows.append((len(s), class_key(s), sketch(s) if len(s) else b"", s.view(np.int64) if sampled else None))
+            own = as_batch(rows, ["n", "c", "sketch", "shingles"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own.columns], names=["doc_id", "h", "n", "c", "sketch", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, h long, n long, c long, sketch binary")
+    sampled = F.pmod(F.xxhash64(text), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), sampled.alias("sampled")).mapInArrow(
+        run, f"doc_id {kind}, h long, n long, c long, sketch binary, shingles array<long>")
 
 
 def prefix_length(n: int) -> int:
@@ -158,16 +160,10 @@ def boundary(sizes: dict[int, int]) -> int:
     return min(range(LARGEST_SMALL + 1), key=cost)
 
 
-def frequent_shingles(docs: DataFrame, n_docs: int) -> dict[int, int]:
-    """Shingle hash -> rank (rarest first) of those met often in a sample of about ``SAMPLE_DOCS`` rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, WIDTH).view(np.int64))], names=["token"])
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0)
-    rows = part.select(text_or_empty().cast("binary").alias("text")).mapInArrow(run, "token long").groupBy("token").count().where(
-        F.col("count") >= FREQUENT_AT).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+def frequent_shingles(sets: DataFrame) -> dict[int, int]:
+    """Shingle hash -> rank (rarest first) of those that several sampled classes hold."""
+    rows = (sets.where("shingles is not null").dropDuplicates(["c"]).select(F.explode("shingles").alias("token")).groupBy("token").count()
+            .where(F.col("count") >= FREQUENT_AT).orderBy(F.desc("count"), "token").limit(FREQUENT).collect())
     return {r["token"]: len(rows) - k for k, r in enumerate(rows)}
 
 
@@ -348,11 +344,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every document's set, and (node, root) of every class that has a link."""
-    sets = stored(document_sets(docs), "sets")
+    sets = stored(document_sets(docs, docs.count()), "sets")
     some = sets.where("n > 0")
     classes = stored(some.groupBy("c").agg(F.first("n").alias("n"), F.min("h").alias("h"), F.any_value("sketch").alias("sketch")), "classes")
     sizes = {r["n"]: r["count"] for r in classes.where(f"n <= {LARGEST_SMALL}").groupBy("n").count().collect()}
-    frequent = frequent_shingles(docs, sets.count())
+    frequent = frequent_shingles(sets)
     shared = stored(shared_keys(keys_of(docs, boundary(sizes), frequent)), "shared-keys")
     blocks = stored(long_list_blocks(shared, classes), "blocks")
     first = stored(short_list_pairs(shared, classes).union(star_cover(blocks)).distinct(), "pairs")
@@ -376,7 +372,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_roots(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n, c, root): the documents' sets (``h``: xxhash64 of the text) with their component."""
     sets, roots = linked(docs)
-    return stored(sets.drop("sketch").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
+    return stored(sets.drop("sketch", "shingles").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ ROOM = 2048
 END_ID = 1
 SALTS = 16
 #: words and parts of words whose ids a task remembers
-WORDS, PARTS = 200_000, 300_000
+WORDS, PARTS = 100_000, 250_000
 #: words of these characters alone fall into letters, single digits and runs of other signs
 PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ɏ]+")
 PART = re.compile("[a-zß-öø-ɏ]+|[0-9]|[^a-zß-öø-ɏ0-9]+")

@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 TRAIN_ROWS = 20_000
+#: words whose class a task remembers
+REMEMBERED = 150_000
 LEXICON = 5_000
 #: log likelihood ratio a learned form needs: with a million forms, less than one in a hundred by chance
 MIN_EVIDENCE = 18.0
@@ -79,7 +81,7 @@ class Grammar:
             weight = max([self.whole.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n)])
             kinds = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTERS, REPORTER))
             got = (INSULT, weight) if weight else next(((k, FIXED_WEIGHT) for ws, k in kinds if word in ws), (0, 0.0))
-            if len(self.known) < 400_000:
+            if len(self.known) < REMEMBERED:
                 self.known[word] = got
         return got
 
@@ -198,7 +200,7 @@ def feature_rows(texts: DataFrame, grammar: Grammar, extra: str) -> DataFrame:
 
 
 def train_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
-    train = training_rows(docs, labels)
+    train = stored(training_rows(docs, labels), "toxicity-train")  # the corpus is read once for them
     counts = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     grammar = Grammar({w: FIXED_WEIGHT for w in INSULTS}, {})
     if not (counts.get(0) and counts.get(1)):
