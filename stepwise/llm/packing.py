@@ -70,8 +70,9 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            out = b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
+        low = text.lower()  # of some capitals it lies outside the plain range
+        if PLAIN.fullmatch(text) and (text.isascii() or PLAIN.fullmatch(low)) and "<|" not in text:
+            out = b"".join(map(self.parts.__getitem__, PART.findall(low)))
         else:
             out = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) < WORDS:

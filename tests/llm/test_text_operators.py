@@ -273,6 +273,17 @@ def test_word_ids_equal_the_tokenizer():
         assert b"".join(own[w] for w in text.encode().split()) == b"".join(i.to_bytes(4, "little") for i in ids[:-1]), text
 
 
+def test_every_character_near_the_plain_range_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.WordIds(path)
+    for c in (chr(i) for i in range(0x21, 0x260) if not chr(i).isspace()):
+        for w in (c, c + "liyev", f"a{c}b", "kw" + c, f"x1{c}Y-{c}", c + c):
+            want = whole.encode(w, add_special_tokens=False).ids
+            assert own[w.encode()] == b"".join(i.to_bytes(4, "little") for i in want), (hex(ord(c)), w)
+
+
 # --- 10: Jaccard join ---------------------------------------------------------------------------
 
 def brute_components(rows):
