@@ -46,8 +46,10 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|overlay|sidebar|"
                    r"side|menu\w*|nav\w*|breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|"
                    r"recommend\w*|newsletter|subscribe|widget|complementary|contentinfo|search|hidden|pagination|pager)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: attributes run to the first ">" outside quoted values; a quote that is never closed is a character like others
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+LABELS = frozenset(("class", "id", "role"))
 
 
 @dataclass
@@ -85,17 +87,12 @@ def parse(html: str) -> tuple[list[Block], list[str], bool]:
         if name is None:
             continue
         name = name.lower()
-        while attributes.count('"') % 2 and at < end:  # a ">" inside a quoted value
-            close = html.find('"', at)
-            close = html.find(">", close) if close >= 0 else -1
-            if close < 0:
-                break
-            attributes, at = attributes + html[at - 1 : close], close + 1
         if name in VOID:
             if name not in INLINE:
                 flush()
             continue
-        words = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes and not closing else ""
+        words = " ".join(x or y or z for key, x, y, z in ATTRIBUTE.findall(attributes)
+                         if key.lower() in LABELS) if "=" in attributes and not closing else ""
         noise = bool(words and NOISE.search(words))
         if name in INLINE and not noise and not (closing and any(n == name for n, _, _ in stack)):
             continue

@@ -43,6 +43,20 @@ def test_parts_that_are_no_article_go(body, want):
     assert html_text.article_text(PAGE % body, frozenset()) == want or "title='x>y'" in body
 
 
+@pytest.mark.parametrize("tag", [
+    "<p title='x>y' class=\"a\">", "<p data-x='{\"a\":\"<b>\"}'>", "<p title='5\" disk'>", '<p title="it\'s > that">', "<p title=it's>",
+    '<p title = "a>b" data-n=1>', '<p title="a>b" alt=\'c"d>e\'>', "<p data-class='ad' title='class=\"ad\"'>", '<p title="">', "<p don't>", "<p a=>",
+])
+def test_quoted_attributes_end_where_they_end(tag):
+    page = f"<html><body><main>{tag}text</p><p>it's \"more\"</p></main><p class=\"x\">outside</p></body></html>"
+    assert html_text.article_text(page, frozenset()) == "text it's \"more\""
+
+
+def test_a_quote_never_closed_loses_no_text():
+    assert html_text.article_text("<main><p title=\"x>text</p><p>more</p></main>", frozenset()) == "text more"
+    assert html_text.article_text(PAGE % "<main><p title='x>y' class=\"a\">text</p><div class='share'>no</div></main><p>outside</p>", frozenset()) == "text"
+
+
 def test_constant_texts_of_a_host_go(spark):
     rows = [(i, f"https://h.example/{i}", f"<body><div><p>Read more here</p><p>own text {i} {'abc ' * (i + 3)}</p></div></body>") for i in range(10)]
     rows += [(20 + i, "https://copies.example/a", "<body><p>all the same</p></body>") for i in range(12)]
