@@ -10,7 +10,10 @@ and an inner use of a tag. Template texts are constant; what is left between tem
 slots, and the article's slots give the text.
 
 Slots under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments
-(by element or by class, id and role words) are left out. With an ``article`` or ``main`` element on
+(by element or by names in class, id and role) are left out. A name with a negation or a state in it
+("no-sidebar", "comments-open") doesn't count, and no name takes out html, body, main or article or an
+element around a main or article; only an article that is itself named a comment, advert or the like
+stays out with the element around it, if the page has another main or article. With an ``article`` or ``main`` element on
 the page only slots inside it count. Constant texts need a host with ``MIN_PAGES`` different pages and
 are never more than half of a page's text: a host whose pages are all near copies has no template text.
 
@@ -42,16 +45,45 @@ MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
-#: words of class, id and role that mark a part as no article text
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|overlay|sidebar|"
-                   r"side|menu\w*|nav\w*|breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|"
-                   r"recommend\w*|newsletter|subscribe|widget|complementary|contentinfo|search|hidden|pagination|pager)(?:$|[\s_-])", re.I)
+#: parts of names in class, id and role that mark an element as no article text
+NOISE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|overlay|sidebar|side|menu\w*|nav\w*|"
+                   r"breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|"
+                   r"subscribe|widget|complementary|contentinfo|search|pagination|pager", re.I)
+#: parts that make a name say something about a page or a state, not what the element is
+STATES = frozenset("no not non has with without is by js open opened closed close enabled disabled allowed off hidden visible active "
+                   "results result layout".split())
+PARTS = re.compile(r"[-_]+")
+#: elements that a name never takes out, nor the elements around an article or main
+KEPT = frozenset(("html", "body", "main", "article"))
 #: attributes run to the first ">" outside quoted values; a quote that is never closed is a character like others
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 LABELS = frozenset(("class", "id", "role"))
 
 
+class Element:
+    """An open element: left out by its kind (``own``) or its names (``named``), or inside such a one."""
+
+    __slots__ = ("name", "parent", "own", "named", "main", "path")
+
+    def __init__(self, name: str, parent: Element | None, own: bool, named: bool, main: bool) -> None:
+        self.name, self.parent, self.own, self.named, self.main = name, parent, own, named, main
+        self.path = f"{parent.path}/{name}" if parent else name
+
+    def dropped(self) -> bool:
+        at: Element | None = self
+        while at:
+            if at.own or at.named:
+                return True
+            at = at.parent
+        return False
+
+    def keep_around(self) -> None:
+        at = self.parent
+        while at:
+            at.named, at = False, at.parent
+
+
 @dataclass
 class Block:
     text: str
@@ -60,19 +92,30 @@ class Block:
     path: str
 
 
+def is_noise(words: str) -> bool:
+    """Whether a name in class, id and role values says that the element holds no article text."""
+    for name in words.lower().split():
+        if name == "hidden":
+            return True
+        parts = PARTS.split(name)
+        if any(map(NOISE.fullmatch, parts)) and STATES.isdisjoint(parts):
+            return True
+    return False
+
+
 def parse(html: str) -> tuple[list[Block], list[str], bool]:
     """Text blocks in page order, tag tokens (with their container paths), and whether a main part exists."""
-    blocks: list[Block] = []
+    found: list[tuple[str, Element | None]] = []
+    mains: list[tuple[Element, bool]] = []
     tags: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
+    here: Element | None = None
     text: list[str] = []
-    dropped = main = has_main = False
 
     def flush() -> None:
         joined = " ".join(entities.unescape("".join(text)).split()) if text else ""
         text.clear()
         if joined:
-            blocks.append(Block(joined, main, dropped, "/".join(n for n, _, _ in stack)))
+            found.append((joined, here))
 
     at, end = 0, len(html)
     while at < end:
@@ -93,33 +136,38 @@ def parse(html: str) -> tuple[list[Block], list[str], bool]:
             continue
         words = " ".join(x or y or z for key, x, y, z in ATTRIBUTE.findall(attributes)
                          if key.lower() in LABELS) if "=" in attributes and not closing else ""
-        noise = bool(words and NOISE.search(words))
-        if name in INLINE and not noise and not (closing and any(n == name for n, _, _ in stack)):
+        noise = bool(words and is_noise(words))
+        to = here
+        while closing and to and to.name != name:
+            to = to.parent
+        if name in INLINE and not noise and not (closing and to):
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if to:
+                here = to.parent
         else:
-            if name in ("p", "li", "td", "tr", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()  # closed by the next of its kind
+            if name in ("p", "li", "td", "tr", "th", "dt", "dd", "option") and here and here.name == name:
+                here = here.parent  # closed by the next of its kind
             if name == "p" or name.startswith("h") and name[1:].isdigit():
-                while stack and stack[-1][0] == "p":
-                    stack.pop()
-            tags.append("/".join(n for n, _, _ in stack) + "<" + name + ("." + words if words else ""))
-            inside = bool(stack and stack[-1][2])
-            drop = name in DROPPED or noise or name == "header" and not inside
-            if name in MAIN and not (stack and stack[-1][1]):
-                has_main = True
-            stack.append((name, drop or bool(stack and stack[-1][1]), name in MAIN or inside))
+                while here and here.name == "p":
+                    here = here.parent
+            tags.append((here.path if here else "") + "<" + name + ("." + words if words else ""))
+            inside = bool(here and here.main)
+            here = Element(name, here, name in DROPPED or name == "header" and not inside, noise and name not in KEPT, name in MAIN or inside)
+            if name in MAIN:
+                mains.append((here, noise))
+                if not noise:
+                    here.keep_around()
             if name in RAW:
                 close = re.compile(rf"</{name}\b", re.I).search(html, at)
                 at = close.start() if close else end
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     flush()
-    return blocks, tags, has_main
+    if all(e.dropped() for e, _ in mains):
+        for e, _ in mains:
+            e.keep_around()
+    blocks = [Block(t, bool(e and e.main), bool(e and e.dropped()), e.path if e else "") for t, e in found]
+    return blocks, tags, any(not e.dropped() for e, _ in mains)
 
 
 def token_of(kind: str, value: str) -> int:

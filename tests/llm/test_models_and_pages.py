@@ -52,6 +52,29 @@ def test_quoted_attributes_end_where_they_end(tag):
     assert html_text.article_text(page, frozenset()) == "text it's \"more\""
 
 
+@pytest.mark.parametrize("names", [
+    "home single no-sidebar", "has-sidebar", "post comments-open", "content side-by-side", "overflow-hidden", "search-results", "js no-cookies", "sidebar",
+])
+def test_no_name_takes_out_an_article(names):
+    whole = "Head one two"
+    for page in (f'<html class="{names}"><body><article><h1>Head</h1><p>one</p><p>two</article></body></html>',
+                 f'<html><body class="{names}"><div><h1>Head</h1><p>one</p><p>two</div></body></html>',
+                 f'<body><article class="{names}"><h1>Head</h1><p>one</p><p>two</article><p>outside</p></body>',
+                 f'<body><div class="{names}"><div><main id="{names}"><h1>Head</h1><p>one</p><p>two</main></div></div><p>outside</p></body>',
+                 f'<body><div class="{names}"><article class="{names}"><h1>Head</h1><p>one</p><p>two</article></div><p>outside</p></body>',
+                 f'<body class="{names}"><main><h1>Head</h1><p>one</p><p>two</p><div class="ad">Buy</div></main></body>'):
+        assert html_text.article_text(page, frozenset()) == whole, page
+
+
+def test_names_still_take_out_what_they_name():
+    page = '<article><p>one</p></article><section id="comments"><article class="comment-body">A reader</article></section>'
+    assert html_text.article_text(page, frozenset()) == "one"
+    for names in ("sidebar", "cookie-notice", "site_footer", "hidden", "main-nav wide", "ad", "post comments"):
+        assert html_text.article_text(f'<div><p>one</p><div class="{names}">no</div></div>', frozenset()) == "one"
+    for names in ("no-sidebar", "overflow-hidden", "content side-by-side", "search-results", "post comments-open"):
+        assert html_text.article_text(f'<div class="{names}"><p>one</p></div>', frozenset()) == "one"
+
+
 def test_a_quote_never_closed_loses_no_text():
     assert html_text.article_text("<main><p title=\"x>text</p><p>more</p></main>", frozenset()) == "text more"
     assert html_text.article_text(PAGE % "<main><p title='x>y' class=\"a\">text</p><div class='share'>no</div></main><p>outside</p>", frozenset()) == "text"
