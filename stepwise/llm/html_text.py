@@ -1,21 +1,25 @@
 """Operator 3, main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags, each with the path of containers around it, and its text blocks. Over
-the different pages of a host, tokens with one and the same occurrence vector (how often they occur
-on each page) form an equivalence class; the vector is kept as a sum of hashes of (page, count), so it
-is counted without listing pages. A class is frequent when its tokens occur on every page of the host and large when it has at least
-``MIN_CLASS`` tokens; the host's template is the nest of such classes, the outermost being the tokens
-found once on every page. Container paths are part of the tokens, so a class never mixes an outer
-and an inner use of a tag. Template texts are constant; what is left between template tokens are the
-slots, and the article's slots give the text.
+Tokens of a page are its tags, opening and closing, each with the path of containers around it (once
+plain and once with its class, id and role names), and its text blocks. Over the different pages of a
+host, tokens with one and the same occurrence vector (how often they occur on each page) form an
+equivalence class; the vector is kept as a sum of hashes of (page, count), so it is counted without
+listing pages. A class is frequent when it occurs on ``SUPPORT`` of the host's pages (and on
+``LEAST_PAGES``), so an error page or a second layout takes nothing from the others, and large when it
+has at least ``MIN_CLASS`` tokens, two of them tags (a text that some articles share has no tags of its
+own and stays). A class is valid when on every
+page its tokens repeat in one order, don't cross a class that weighs more and lie in one place of the class
+around them. The valid classes, nested, are the host's template. Their texts are constant and go; what
+lies between two neighbouring tokens of a class is a slot, and the article's slots give the text. The
+elements and names around a slot are its labels: they say which slots are the article's.
 
 Slots under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments
 (by element or by names in class, id and role) are left out. A name with a negation or a state in it
 ("no-sidebar", "comments-open") doesn't count, and no name takes out html, body, main or article or an
 element around a main or article; only an article that is itself named a comment, advert or the like
-stays out with the element around it, if the page has another main or article. With an ``article`` or ``main`` element on
-the page only slots inside it count. Constant texts need a host with ``MIN_PAGES`` different pages and
-are never more than half of a page's text: a host whose pages are all near copies has no template text.
+stays out with the element around it, if the page has another main or article. With slots inside an ``article`` or ``main`` of
+the template only those count, else those inside such an element of the page, if it has one. A template
+needs a host with ``MIN_PAGES`` different pages; on smaller hosts the labels alone decide.
 
 Null or empty html has the empty text. Pages equal to each other count once for the template. Pages
 without a host share the empty host. The whole html is read and nothing is cut.
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -38,6 +42,12 @@ from .url_filter import with_parts
 
 MIN_PAGES = 8
 MIN_CLASS = 3
+#: a class is frequent on this share of a host's different pages, and on this many of them at least
+SUPPORT, LEAST_PAGES = 0.25, 5
+#: numbers before the tokens of a class where templates are kept as lists
+HEAD = 4
+#: hosts whose templates a task keeps at hand
+REMEMBERED = 1_000
 #: elements whose content is never text of the article
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg button select textarea head title dialog".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -64,12 +74,16 @@ LABELS = frozenset(("class", "id", "role"))
 class Element:
     """An open element: left out by its kind (``own``) or its names (``named``), or inside such a one."""
 
-    __slots__ = ("name", "parent", "own", "named", "main", "path")
+    __slots__ = ("name", "parent", "own", "named", "main", "path", "words")
 
-    def __init__(self, name: str, parent: Element | None, own: bool, named: bool, main: bool) -> None:
-        self.name, self.parent, self.own, self.named, self.main = name, parent, own, named, main
+    def __init__(self, name: str, parent: Element | None, own: bool, named: bool, main: bool, words: str) -> None:
+        self.name, self.parent, self.own, self.named, self.main, self.words = name, parent, own, named, main, words
         self.path = f"{parent.path}/{name}" if parent else name
 
+    def tokens(self, mark: str) -> list[str]:
+        """Its tag as a token, and as another with its names."""
+        return [mark + self.path, f"{mark}{self.path}.{self.words}"] if self.words else [mark + self.path]
+
     def dropped(self) -> bool:
         at: Element | None = self
         while at:
@@ -92,6 +106,16 @@ class Block:
     path: str
 
 
+@dataclass
+class Page:
+    """Text blocks in page order; the stream of tokens (token, element open after it, block or -1), every
+    element closed; and whether a main part exists."""
+
+    blocks: list[Block]
+    stream: list[tuple[str, Element | None, int]]
+    has_main: bool
+
+
 def is_noise(words: str) -> bool:
     """Whether a name in class, id and role values says that the element holds no article text."""
     for name in words.lower().split():
@@ -103,11 +127,10 @@ def is_noise(words: str) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[Block], list[str], bool]:
-    """Text blocks in page order, tag tokens (with their container paths), and whether a main part exists."""
+def parse(html: str) -> Page:
     found: list[tuple[str, Element | None]] = []
     mains: list[tuple[Element, bool]] = []
-    tags: list[str] = []
+    stream: list[tuple[str, Element | None, int]] = []
     here: Element | None = None
     text: list[str] = []
 
@@ -115,8 +138,17 @@ def parse(html: str) -> tuple[list[Block], list[str], bool]:
         joined = " ".join(entities.unescape("".join(text)).split()) if text else ""
         text.clear()
         if joined:
+            stream.append(("t" + (here.path if here else "") + ">" + joined, here, len(found)))
             found.append((joined, here))
 
+    def close(to: Element | None) -> Element | None:
+        """Closes the open elements inside ``to``."""
+        at = here
+        while at is not to:
+            stream.extend((t, at.parent, -1) for t in at.tokens("/"))
+            at = at.parent
+        return to
+
     at, end = 0, len(html)
     while at < end:
         m = TAG.search(html, at)
@@ -145,92 +177,228 @@ def parse(html: str) -> tuple[list[Block], list[str], bool]:
         flush()
         if closing:
             if to:
-                here = to.parent
+                here = close(to.parent)
         else:
             if name in ("p", "li", "td", "tr", "th", "dt", "dd", "option") and here and here.name == name:
-                here = here.parent  # closed by the next of its kind
+                here = close(here.parent)  # closed by the next of its kind
             if name == "p" or name.startswith("h") and name[1:].isdigit():
                 while here and here.name == "p":
-                    here = here.parent
-            tags.append((here.path if here else "") + "<" + name + ("." + words if words else ""))
+                    here = close(here.parent)
             inside = bool(here and here.main)
-            here = Element(name, here, name in DROPPED or name == "header" and not inside, noise and name not in KEPT, name in MAIN or inside)
+            here = Element(name, here, name in DROPPED or name == "header" and not inside, noise and name not in KEPT, name in MAIN or inside, words)
+            stream.extend((t, here, -1) for t in here.tokens("<"))
             if name in MAIN:
                 mains.append((here, noise))
                 if not noise:
                     here.keep_around()
             if name in RAW:
-                close = re.compile(rf"</{name}\b", re.I).search(html, at)
-                at = close.start() if close else end
+                ends = re.compile(rf"</{name}\b", re.I).search(html, at)
+                at = ends.start() if ends else end
     flush()
+    close(None)
     if all(e.dropped() for e, _ in mains):
         for e, _ in mains:
             e.keep_around()
     blocks = [Block(t, bool(e and e.main), bool(e and e.dropped()), e.path if e else "") for t, e in found]
-    return blocks, tags, any(not e.dropped() for e, _ in mains)
-
-
-def token_of(kind: str, value: str) -> int:
-    return xxhash.xxh64_intdigest((kind + value).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def page_tokens(html: str) -> dict[int, tuple[int, int, bool]]:
-    """Token -> (count, rank of its first place, is it text) of a page."""
-    blocks, tags, _ = parse(html)
-    out: dict[int, tuple[int, int, bool]] = {}
-    stream = [(token_of("<", t), False) for t in tags] + [(token_of("t", b.path + ">" + b.text), True) for b in blocks if not b.dropped]
-    for place, (token, is_text) in enumerate(stream):
-        n, first, kind = out.get(token, (0, place, is_text))
-        out[token] = (n + 1, first, kind)
-    return out
-
+    return Page(blocks, stream, any(not e.dropped() for e, _ in mains))
+
+
+def token_of(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def page_tokens(html: str) -> list[tuple[int, int]]:
+    """The page's tokens in order with their weights: a text's words, 0 of a tag."""
+    page = parse(html)
+    return [(token_of(t), len(page.blocks[i].text.split()) if i >= 0 else 0) for t, _, i in page.stream if i < 0 or not page.blocks[i].dropped]
+
+
+class Template:
+    """A host's classes: token -> (class, rank in its order); class -> (last rank, pages that hold it)."""
+
+    def __init__(self, flat: list[int] | frozenset = ()) -> None:
+        self.rank: dict[int, tuple[int, int]] = {}
+        self.last: dict[int, int] = {}
+        self.weight: dict[int, tuple[int, int, int]] = {}
+        numbers = list(flat)
+        at = 0
+        while at < len(numbers):  # class, pages, occurrences of a token, number of tokens, tokens
+            name, pages, all_n, n = numbers[at : at + HEAD]
+            self.rank |= {t: (name, i) for i, t in enumerate(numbers[at + HEAD : at + HEAD + n])}
+            self.last[name], self.weight[name] = n - 1, (pages, -all_n, name)
+            at += HEAD + n
+
+
+def check_order(tokens: list[int], template: Template) -> list[tuple[int, int, bool]]:
+    """(class, 0, whether its tokens repeat in its order) of the classes on a page."""
+    now: dict[int, int] = {}
+    wrong: set[int] = set()
+    for name, rank in (template.rank[t] for t in tokens if t in template.rank):
+        if rank != (now.get(name, template.last[name]) + 1) % (template.last[name] + 1):
+            wrong.add(name)
+        now[name] = rank
+    return [(name, 0, name not in wrong and rank == template.last[name]) for name, rank in now.items()]
+
+
+def check_nesting(tokens: list[int], template: Template) -> list[tuple[int, int, bool]]:
+    """(class, its place in the class around it, whether nesting holds) of the ordered classes on a page. Of
+    two classes that cross, the one of fewer pages, or else of more occurrences, is at fault; a class is
+    placed among those that weigh more."""
+    place: dict[int, int] = {}
+    wrong: set[int] = set()
+    stack: list[list[int]] = []  # class, rank
+    for name, rank in (template.rank[t] for t in tokens if t in template.rank):
+        if rank == 0:
+            own = template.weight[name]
+            around = next(((c, r) for c, r in reversed(stack) if template.weight[c] > own), (0, 0))
+            where = xxhash.xxh64_intdigest(repr(around).encode()) - (1 << 63)
+            if place.setdefault(name, where) != where:
+                wrong.add(name)
+            stack.append([name, 0])
+        else:
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), 0)
+            wrong |= {min(c, name, key=template.weight.__getitem__) for c, _ in stack[at + 1 :]}
+            stack[at][1] = rank
+        if rank == template.last[name]:
+            stack = [x for x in stack if x[0] != name]
+    return [(name, where, name not in wrong) for name, where in place.items()]
+
+
+def article_text(html: str, template: Template | frozenset) -> str:
+    """The text of a page's article slots, without the host's constant texts."""
+    page = parse(html)
+    rank = template.rank if isinstance(template, Template) else {}
+    slots: list[tuple[Block, bool]] = []  # blocks, and whether their slot lies in a main part
+    open_slots: list[list] = []  # class, whether its present slot lies in a main part
+    for token, element, i in page.stream if rank else ():
+        if i >= 0 and page.blocks[i].dropped:
+            continue
+        known = rank.get(token_of(token))
+        if known:
+            name, at = known
+            while at and open_slots and open_slots[-1][0] != name:
+                open_slots.pop()
+            if at == 0:
+                open_slots.append([name, False])
+            if open_slots:
+                open_slots[-1][1] = bool(element and element.main and not element.dropped())
+                if at == template.last[name]:
+                    open_slots.pop()
+        elif i >= 0:
+            slots.append((page.blocks[i], bool(open_slots and open_slots[-1][1])))
+    if not rank:
+        slots = [(b, False) for b in page.blocks if not b.dropped]
+    if any(main for _, main in slots):
+        return " ".join(b.text for b, main in slots if main)
+    return " ".join(b.text for b, _ in slots if b.main or not page.has_main)
+
+
+def page_streams(pages: DataFrame) -> DataFrame:
+    """(host, page, tokens, weights) of the different pages of each host that have any token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            streams = [page_tokens(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), batch.column("page"), pa.array([[t for t, _ in x] for x in streams], pa.list_(pa.int64())),
+                 pa.array([[w for _, w in x] for x in streams], pa.list_(pa.int32()))], names=["host", "page", "tokens", "weights"])
 
-def article_text(html: str, template: frozenset[int]) -> str:
-    """The article's slots of a page, with the host's constant texts left out."""
-    blocks, _, has_main = parse(html)
-    own = [b for b in blocks if not b.dropped and (b.main or not has_main)]
-    free = [b for b in own if token_of("t", b.path + ">" + b.text) not in template] if template else own
-    if 2 * sum(len(b.text) for b in free) < sum(len(b.text) for b in own):
-        free = own
-    return " ".join(b.text for b in free)
+    rows = pages.select("host", F.xxhash64("html").alias("page"), "html").where("trim(html) != ''")
+    streams = rows.mapInArrow(run, "host string, page long, tokens array<long>, weights array<int>").where(F.size("tokens") > 0)
+    return streams.dropDuplicates(["host", "page"])
 
 
-def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, template): the text tokens of each host's valid frequent classes."""
+def classes(streams: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, template): the frequent large classes of each host, order and nesting not yet checked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(host, page, t, n, first, kind) for t, (n, first, kind) in page_tokens(html).items()]
+            for host, page, tokens, weights in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                own: dict[int, list[int]] = {}
+                for place, (token, weight) in enumerate(zip(tokens, weights, strict=True)):
+                    own.setdefault(token, [0, place, weight])[0] += 1
+                rows += [(host, page, t, *v) for t, v in own.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                             names=["host", "page", "token", "n", "place", "is_text"])
-
-    rows = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    sizes = rows.where("trim(html) != ''").groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
-    tokens = rows.mapInArrow(run, "host string, page long, token long, n long, place long, is_text boolean")
-    # copies of a page count once: first over (host, page, token), then the vector over pages
-    vectors = (tokens.groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("is_text").alias("is_text"))
-               .groupBy("host", "token").agg(
-                   F.count("*").alias("df"), F.sum(F.shiftright(F.xxhash64("page", "n"), 20)).alias("vector"),
-                   F.avg("place").alias("place"), F.max("is_text").alias("is_text")))
-    frequent = vectors.join(sizes, "host").where(F.col("df") == F.col("pages"))
-    classes = frequent.groupBy("host", "vector").agg(
-        F.count("*").alias("size"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts")).where(F.col("size") >= MIN_CLASS)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template")).where(F.size("template") > 0)
+                                             names=["host", "page", "token", "n", "place", "weight"])
+
+    sizes = streams.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    tokens = streams.select("host", "page", "tokens", "weights").mapInArrow(
+        run, "host string, page long, token long, n long, place long, weight long")
+    vectors = tokens.groupBy("host", "token").agg(
+        F.count("*").alias("df"), F.sum(F.shiftright(F.xxhash64("page", "n"), 20)).alias("vector"), F.avg("place").alias("place"),
+        F.max("weight").alias("weight"), F.sum("n").alias("all_n"))
+    frequent = vectors.where(F.col("df") >= LEAST_PAGES).join(sizes, "host").where(F.col("df") >= F.col("pages") * SUPPORT)
+    own = frequent.groupBy("host", "vector").agg(
+        F.max("df").alias("df"), F.max("all_n").alias("all_n"), F.sum(F.when(F.col("weight") == 0, 1).otherwise(0)).alias("tags"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens")).where(
+        (F.col("tags") > 1) & (F.size("tokens") >= MIN_CLASS))
+    flat = F.concat(F.array("vector", "df", "all_n", F.size("tokens").cast("long")), "tokens")
+    return own.groupBy("host").agg(F.flatten(F.collect_list(flat)).alias("template"))
+
+
+def that_hold(streams: DataFrame, found: DataFrame, check: Callable) -> DataFrame:
+    """``found`` with the classes that pass a check, in one and the same place, on all pages of their host."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Templates()
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, (host, tokens) in enumerate(zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+                rows += [(host, *x) for x in check(tokens, known.of(host, batch.column("template"), i))]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)],
+                                             names=["host", "class", "place", "holds"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for flat, valid in zip(batch.column("template").to_pylist(), batch.column("valid").to_pylist(), strict=True):
+                names, out, at = set(valid), [], 0
+                while at < len(flat):
+                    end = at + HEAD + flat[at + HEAD - 1]
+                    out += flat[at:end] if flat[at] in names else []
+                    at = end
+                kept.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(kept, pa.list_(pa.int64()))], names=["host", "template"])
+
+    checked = streams.select("host", "tokens").join(found, "host").mapInArrow(run, "host string, class long, place long, holds boolean")
+    valid = checked.groupBy("host", "class").agg(
+        F.min("holds").alias("holds"), F.min("place").alias("lo"), F.max("place").alias("hi")).where(
+        F.col("holds") & (F.col("lo") == F.col("hi"))).groupBy("host").agg(F.collect_set("class").alias("valid"))
+    return found.join(valid, "host").mapInArrow(keep, "host string, template array<long>").where(F.size("template") > 0)
+
+
+def host_templates(streams: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, template): the classes of each host whose order and nesting hold on all its pages."""
+    found = stored(classes(streams, min_pages), "classes")
+    ordered = stored(that_hold(streams, found, check_order), "ordered-classes")
+    return that_hold(streams, ordered, check_nesting)
+
+
+class Templates(dict):
+    """The templates a task has read, by host."""
+
+    def of(self, host: str | None, column: pa.Array, i: int) -> Template:
+        if host not in self:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[host] = Template(column[i].as_py() or ())
+        return self[host]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = with_parts(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))).drop("path")
     # written first: the planner then knows its size, and the pages move only if it is too large to send
-    templates = stored(host_templates(rows), "templates")
-    both = rows.join(templates, "host", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    templates = stored(host_templates(stored(page_streams(rows), "streams")), "templates")
+    both = rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Templates()
         for batch in batches:
-            texts = [article_text(h, frozenset(t)) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            column = batch.column("template")
+            texts = [article_text(h, known.of(host, column, i)) for i, (h, host) in
+                     enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 

@@ -89,6 +89,43 @@ def test_constant_texts_of_a_host_go(spark):
     assert got[40] == got[41] == got[42] == ""
 
 
+def words_of(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_one_error_page_and_a_second_layout_empty_no_template(spark):
+    notice = "This site is made by a small team and kept by its readers"
+    first = "<html><body><div><p>{n}</p></div><div><h1>{h}</h1><p>{t}</p></div><div><p>All rights held since long ago</p></div></body></html>"
+    second = "<html><body><section><h2>{h}</h2><p>{t}</p><p>Call us by day or night</p></section></body></html>"
+    rows, want = [], {}
+    for i in range(30):
+        rows.append((i, f"https://two.example/{i}", (first if i < 18 else second).format(n=notice, h=f"Head {i}", t=words_of(i, 30))))
+        want[i] = f"Head {i} {words_of(i, 30)}"
+    rows.append((30, "https://two.example/e", "<h1>Error 500</h1>"))
+    want[30] = "Error 500"
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
+def test_classes_out_of_order_are_no_template():
+    template = html_text.Template([7, 9, 9, 3, 1, 2, 3, 8, 5, 5, 2, 10, 11])  # class, pages, occurrences, number of tokens, tokens
+    order = lambda tokens: {c: ok for c, _, ok in html_text.check_order(tokens, template)}
+    nesting = lambda tokens: {c: ok for c, _, ok in html_text.check_nesting(tokens, template)}
+    assert order([1, 2, 10, 99, 11, 3]) == {7: True, 8: True} and order([1, 2, 3, 1, 2, 3]) == {7: True}
+    assert not order([1, 3, 2])[7] and not order([1, 1, 2, 2, 3, 3])[7] and not order([1, 2])[7] and not order([2, 3, 1])[7]
+    assert nesting([1, 2, 10, 11, 3]) == {7: True, 8: True} and nesting([1, 10, 2, 11, 3]) == {7: True, 8: False}
+    assert nesting([1, 10, 11, 2, 10, 11, 3]) == {7: True, 8: False}
+    places = [{c: p for c, p, _ in html_text.check_nesting(t, template)}[8] for t in ([1, 10, 11, 2, 3], [1, 2, 10, 11, 3], [5, 1, 2, 10, 11, 3])]
+    assert places[0] != places[1] == places[2]
+
+
+def test_slots_of_the_template_decide_over_a_chance_element(spark):
+    rows = [(i, f"https://slot.example/{i}", f"<html><body><main><h1>Head {i}</h1><p>{words_of(i, 9)}</p></main>{'<div><article>card</article></div>' if i == 3 else ''}"
+             "</body></html>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"Head {i} {words_of(i, 9)}" for i in range(12)}
+
+
 # --- 4: urls ------------------------------------------------------------------------------------
 
 def brute_rule(url):
