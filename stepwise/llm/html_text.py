@@ -19,7 +19,9 @@ Slots under menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 element around a main or article; only an article that is itself named a comment, advert or the like
 stays out with the element around it, if the page has another main or article. With slots inside an ``article`` or ``main`` of
 the template only those count, else those inside such an element of the page, if it has one. A template
-needs a host with ``MIN_PAGES`` different pages; on smaller hosts the labels alone decide.
+needs a host with ``MIN_PAGES`` different pages; on smaller hosts the labels alone decide. Pages with less
+than ``OWN`` of their words in texts of their own are near copies and don't count, so a host of near copies
+has no template and keeps its texts; on a host with one the constant texts go from every page, short or long.
 
 Null or empty html has the empty text. Pages equal to each other count once for the template. Pages
 without a host share the empty host. The whole html is read and nothing is cut.
@@ -44,6 +46,8 @@ MIN_PAGES = 8
 MIN_CLASS = 3
 #: a class is frequent on this share of a host's different pages, and on this many of them at least
 SUPPORT, LEAST_PAGES = 0.25, 5
+#: share of its words that a page has to itself, or else it is a near copy of others
+OWN = 0.2
 #: numbers before the tokens of a class where templates are kept as lists
 HEAD = 4
 #: hosts whose templates a task keeps at hand
@@ -307,6 +311,20 @@ def page_streams(pages: DataFrame) -> DataFrame:
     return streams.dropDuplicates(["host", "page"])
 
 
+def without_near_copies(streams: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The pages that count for a template: at least ``OWN`` of a page's words stand in texts that few pages
+    of its host hold. Hosts with fewer than ``min_pages`` pages are left out."""
+    sizes = streams.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    texts = F.filter(F.arrays_zip("tokens", "weights"), lambda x: x["weights"] > 0)
+    held = streams.select("host", F.explode(F.array_distinct(texts)).alias("x")).groupBy("host", F.col("x.tokens").alias("token")).agg(
+        F.count("*").alias("df")).where(F.col("df") >= LEAST_PAGES)
+    common = held.join(sizes, "host").where(F.col("df") >= F.col("pages") * SUPPORT).groupBy("host").agg(F.collect_set("token").alias("common"))
+    hosts = stored(sizes.join(common, "host", "left").select("host", F.coalesce("common", F.array().cast("array<bigint>")).alias("common")), "common")
+    words = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["weights"])
+    own = F.filter(texts, lambda x: ~F.array_contains("common", x["tokens"]))
+    return streams.join(hosts, "host").where(words(own) >= OWN * words(texts)).select(*streams.columns)
+
+
 def classes(streams: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template): the frequent large classes of each host, order and nesting not yet checked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,6 +388,7 @@ def that_hold(streams: DataFrame, found: DataFrame, check: Callable) -> DataFram
 
 def host_templates(streams: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, template): the classes of each host whose order and nesting hold on all its pages."""
+    streams = stored(without_near_copies(streams, min_pages), "counted-streams")
     found = stored(classes(streams, min_pages), "classes")
     ordered = stored(that_hold(streams, found, check_order), "ordered-classes")
     return that_hold(streams, ordered, check_nesting)

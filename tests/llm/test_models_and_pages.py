@@ -119,6 +119,24 @@ def test_classes_out_of_order_are_no_template():
     assert places[0] != places[1] == places[2]
 
 
+def test_constant_texts_go_by_host_not_by_length(spark):
+    notice, shared = words_of("n", 60), words_of("c", 100)
+    page = "<html><body><div><p>{n}</p></div><section><h1>{h}</h1><p>{t}</p>{q}</section></body></html>"
+    rows, want = [], {}
+    for i in range(30):  # long and short articles under one notice, and near copies of one article in tags of their own
+        if i < 20:
+            text, q = words_of(i, 100 if i < 10 else 5), ""
+        else:
+            text, q = f"edition {i}", f"<blockquote><q><p>{shared}</p></q></blockquote>"
+        rows.append((i, f"https://mixed.example/{i}", page.format(n=notice, h=f"Head {i}", t=text, q=q)))
+        want[i] = f"Head {i} {text}" + (f" {shared}" if q else "")
+    for i in range(40, 60):  # a host of near copies keeps its texts
+        rows.append((i, f"https://copies.example/{i}", page.format(n=notice, h="Head", t=f"edition {i}", q=f"<p>{shared}</p>")))
+        want[i] = f"{notice} Head edition {i} {shared}"
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
 def test_slots_of_the_template_decide_over_a_chance_element(spark):
     rows = [(i, f"https://slot.example/{i}", f"<html><body><main><h1>Head {i}</h1><p>{words_of(i, 9)}</p></main>{'<div><article>card</article></div>' if i == 3 else ''}"
              "</body></html>") for i in range(12)]
