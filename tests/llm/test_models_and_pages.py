@@ -229,6 +229,19 @@ def test_shards_obey_the_row_law(spark, odd_docs, no_docs):
     assert hilbert_shards.shard(no_docs).count() == 0
 
 
+def test_written_shards_hold_every_row_where_shard_put_it(spark, odd_docs, tmp_path):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    hilbert_shards.write_shards(odd_docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    assert Counter(map(tuple, back.select(*odd_docs.columns).collect())) == Counter(map(tuple, odd_docs.collect()))
+    own = lambda df, c: Counter(map(tuple, df.select("doc_id", c, "shard", "place").collect()))
+    assert own(back, crc) == own(hilbert_shards.shard(odd_docs, 4), F.col("text_crc32"))
+
+
 # --- all together -------------------------------------------------------------------------------
 
 def test_clashing_names(spark, clashing, no_labels):
