@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hilbert_shards, html_text, jaccard_join, packing, pieces, quality_rules, repeats, toxicity, url_filter
+from . import (conversations, fingerprints, hilbert_shards, html_text, jaccard_join, packing, pieces, quality_rules, repeats, spelling,
+               token_counts, toxicity, url_filter)
 from .common import ship_package, stored, table
 
 
@@ -77,8 +78,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return conversations.repair_report(conversations.damage(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    budget = 512
+    counted = token_counts.totals(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), budget)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), "n_chars", "fit_chars")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_document_fingerprints, op3_html_extraction, op4_url_filter, op5_quality_rules, op6_sentencepiece, op7_toxicity,
-                              op8_sharding, op9_packing, op10_ngram_jaccard_join)
+                              op8_sharding, op9_packing, op10_ngram_jaccard_join, op11_conversation_repair, op12_spelling_variants, op13_token_counts)
 }
 ORACLES: dict[str, str] = {}
