@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from stepwise.operators.ordered import order_bucket, running_max_before
+from stepwise.operators.dyadic import FARTHEST, LastSmaller, bounded, exact_code, levels_of, pieces, with_ancestors
+from stepwise.operators.ordered import global_dense_rank, order_bucket, running_max_before
 
 
 def _names(cols) -> list[str]:
@@ -27,13 +28,16 @@ def _names(cols) -> list[str]:
 
 # ----------------------------------------------------------------------------- keys and lists
 
-def key_frame(spark, ids, name: str = "id") -> DataFrame:
-    """An id list as a one-column DataFrame (a Python list, or a DataFrame column)."""
+def key_frame(spark, ids, name: str = "id", kind: DataType | None = None) -> DataFrame:
+    """An id list as a one-column DataFrame (a Python list, or a DataFrame column). ``kind`` is the type of the column the
+    ids are compared with; a list is given that type, so an empty one has it too."""
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).alias(name)) if name not in ids.columns else ids.select(name)
     ids = list(ids)
-    kind = "string" if any(isinstance(i, str) for i in ids) else "bigint"
-    return spark.createDataFrame([(i,) for i in ids], f"{name} {kind}")
+    own = "string" if any(isinstance(i, str) for i in ids) or isinstance(kind, StringType) else "bigint"
+    if not ids and kind is not None:
+        return spark.createDataFrame([], StructType([StructField(name, kind)]))
+    return spark.createDataFrame([(str(i) if own == "string" and i is not None else i,) for i in ids], f"{name} {own}")
 
 
 def in_ids(df: DataFrame, key: str, ids, negate: bool = False) -> DataFrame:
@@ -42,7 +46,7 @@ def in_ids(df: DataFrame, key: str, ids, negate: bool = False) -> DataFrame:
     Long literal lists are turned into a DataFrame so the planner picks a broadcast semi join for a
     small list and a shuffled one for a large list, instead of an ``InSet`` per row.
     """
-    keys = key_frame(df.sparkSession, ids, "_k")
+    keys = key_frame(df.sparkSession, ids, "_k", df.schema[key].dataType)
     if negate:
         return anti_null_aware(df, keys, key, "_k")
     return df.join(keys.distinct(), df[key] == keys["_k"], "left_semi")
@@ -99,25 +103,37 @@ def any_key_join(small: DataFrame, big: DataFrame, small_keys: Sequence[str], bi
 # ----------------------------------------------------------------------------- range joins
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: Sequence[tuple[str, str]], t: str,
-                  start: str, end: str, *, width, how: str = "inner") -> DataFrame:
-    """``points JOIN intervals ON p.k = i.k AND p.t BETWEEN i.start AND i.end``.
-
-    Intervals are exploded into the time buckets they overlap and points carry their own bucket, so
-    the equi key is ``(k, bucket)``: a station holding a third of all rows is spread over its buckets
-    and every pair is produced exactly once (a point has one bucket). ``width`` is the bucket size
-    in seconds; pick it near the typical interval length. ``how`` is ``inner`` or ``left`` (points
-    without an interval stay): an interval lies in several buckets, so outer joins that keep
-    intervals have no meaning here.
+                  start: str, end: str, *, width=1, how: str = "inner") -> DataFrame:
+    """``points JOIN intervals ON p.k = i.k AND p.t BETWEEN i.start AND i.end``, for intervals of any length.
+
+    An interval becomes at most 17 nodes of one size, chosen by its own length from the doubling sizes of
+    ``operators.dyadic``; a point becomes one node per size that some interval uses. The equi key is
+    ``(k, size, node)``: a station holding a third of all rows is spread over the nodes of its intervals, and every pair is
+    made exactly once. Intervals are first cut to the points' own range, so one that is open to the year 9999 has nodes as
+    small as one that ends with the data. ``width`` is the smallest node (seconds for timestamps, days for dates, units
+    for numbers). ``how`` is ``inner`` or ``left`` (points without an interval stay): an interval lies in several nodes,
+    so outer joins that keep intervals have no meaning here. A null time or end matches nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("interval_join keeps points only: how must be 'inner' or 'left'")
-    pb = points.withColumn("_pb", order_bucket(points, t, width))
+    pb = points.withColumn("_pos", bounded(order_bucket(points, t, width)))
+    span = pb.select(F.struct(F.min("_pos").alias("lo"), F.max("_pos").alias("hi"))).scalar()
     iv = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    iv = iv.withColumn("_pb", F.explode(F.sequence(order_bucket(iv, start, width), order_bucket(iv, end, width))))
-    cond = [pb[a] == iv[b] for a, b in on] + [pb["_pb"] == iv["_pb"],
-                                              pb[t] >= iv[start], pb[t] <= iv[end]]
-    joined = pb.join(iv, cond, how)
-    return joined.drop(pb["_pb"]).drop(iv["_pb"])
+    iv = iv.withColumn("_lo", F.greatest(bounded(order_bucket(iv, start, width)), span.getField("lo"))) \
+        .withColumn("_hi", F.least(bounded(order_bucket(iv, end, width)), span.getField("hi"))).filter("_lo <= _hi")
+    iv = iv.withColumn("_iv_node", F.explode(pieces(F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
+    pn = with_ancestors(pb, "_pos", levels_of(iv, "_iv_node.level"), "_pt_node").drop("_pos")
+    cond = [pn[a] == iv[b] for a, b in on] + [pn["_pt_node"] == iv["_iv_node"], pn[t] >= iv[start], pn[t] <= iv[end]]
+    met = pn.join(iv, cond, "inner")
+    joined = met.drop("_pt_node", "_iv_node")
+    if how == "inner":
+        return joined
+    # whether a point has an interval depends on its key and time only
+    same = list(dict.fromkeys([a for a, _ in on] + [t]))
+    known = met.select(*[pn[c].alias(f"_m{i}") for i, c in enumerate(same)]).distinct()
+    alone = points.join(known, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(same)], "left_anti")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in intervals.schema]
+    return joined.union(alone.select(*[points[c] for c in points.columns], *nulls))
 
 
 def offset_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], condition: Column,
@@ -145,9 +161,12 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     1. Fast path: a skew-safe running maximum of ``right_id`` over the union of both sides ordered by
        id (``running_max_before``) gives ``c1 = max{r.id < l.id}``. When ``c1``'s time is also
        earlier than ``left_time`` it is the answer.
-    2. Exceptions (``c1`` exists but is not earlier in time) are resolved by id bucket, not by key: the
-       left row's own bucket is searched, then the last earlier bucket whose smallest time is earlier,
-       found in the one-row-per-bucket summary. A row meets at most two buckets of candidates.
+    2. Exceptions (``c1`` exists but is not earlier in time) walk a tree over the key's ids whose nodes hold
+       their least times (``dyadic.LastSmaller``): one row per level up and one down, at most 22 in all,
+       whether their key has ten ids or ten billion. No row meets the candidates of a bucket.
+
+    Ids without an exact integer code (texts, fractions) or of more than 61 bits' range take their dense rank
+    as code. ``width`` buckets ids for the running maximum only.
 
     Returns ``left`` columns + ``combos`` + ``name`` for every (left row, combo) with a match.
     The candidate rows feed both the fast path and the fallback; ``materialize=True`` writes them
@@ -177,25 +196,43 @@ def latest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], combo
     if materialize:
         from stepwise.operators.tree import materialize as _materialize
         checked = _materialize(checked)
+    ok = F.coalesce(F.col("_ok"), F.lit(False))
+    probes, found = _exceptions(checked.filter(~ok), right, keys, left_id, right_id, left_time, right_time, width)
+    on = ["_key", "_id", "_lt"]
+    late = probes.join(found, on, "left").select(*keys, "_row", F.col("_best").alias("_answer"))
+    res = checked.filter(ok).select(*keys, "_row", F.col("_c1").alias("_answer")).unionByName(late)
+    return res.select(*[F.col(f"_row.{c}").alias(c) for c in l_cols], *[F.col(k) for k in combos], F.col("_answer").alias(name))
+
+
+def _exceptions(bad: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, left_time: str,
+                right_time: str, width) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``bad`` with ``_key``, ``_id``, ``_lt``; the answers (_key, _id, _lt, _best) of those that have one)."""
     key = F.struct(*[F.col(c) for c in keys])
-    probe = F.struct(F.col(f"_row.{left_id}").alias("i"))
-    checked = checked.withColumn("_id", probe["i"]).withColumn("_lt", lt).withColumn("_key", key)
-    checked = checked.withColumn("_lb", order_bucket(checked, "_id", width))
-    bad = checked.filter(~F.col("_ok")).select("_key", "_row", "_id", "_lt", "_lb").distinct()
-    r2 = right.select(key.alias("_key"), F.col(right_id).cast(left.schema[left_id].dataType).alias("_rid2"), F.col(right_time).alias("_rt2"))
-    r2 = r2.withColumn("_rb", order_bucket(r2, "_rid2", width)).filter(F.col("_rt2").isNotNull())
-    bucket = lambda k, b: F.struct(F.col(k).alias("k"), F.col(b).alias("b")).alias("_kb")
-    inside = r2.select(bucket("_key", "_rb"), "_rid2", "_rt2")
-    starts = r2.groupBy("_key", "_rb").agg(F.min("_rt2").alias("_t0"))
-    own = bad.select(bucket("_key", "_lb"), "_key", "_row", "_id", "_lt").join(inside, "_kb").filter(
-        (F.col("_rid2") < F.col("_id")) & (F.col("_rt2") < F.col("_lt"))).groupBy("_key", "_row").agg(F.max("_rid2").alias("_own"))
-    back = bad.join(starts, "_key").filter((F.col("_rb") < F.col("_lb")) & (F.col("_t0") < F.col("_lt"))).groupBy(
-        "_key", "_row", "_lt").agg(F.max("_rb").alias("_pb"))
-    back = back.select(bucket("_key", "_pb"), "_key", "_row", "_lt").join(inside, "_kb").filter(
-        F.col("_rt2") < F.col("_lt")).groupBy("_key", "_row").agg(F.max("_rid2").alias("_back"))
-    res = checked.join(own, ["_key", "_row"], "left").join(back, ["_key", "_row"], "left").withColumn("_fb", F.coalesce("_own", "_back"))
-    answer = F.when(F.col("_ok"), F.col("_c1")).otherwise(F.col("_fb"))
-    return res.select(*[F.col(f"_row.{c}").alias(c) for c in l_cols], *[F.col(k) for k in combos], answer.alias(name))
+    kind = bad.schema["_row"].dataType[left_id].dataType
+    bad = bad.withColumn("_key", key).withColumn("_id", F.col(f"_row.{left_id}")).withColumn("_lt", F.col(f"_row.{left_time}"))
+    wanted = bad.select("_key", "_id", "_lt").where("_id is not null and _lt is not null").distinct()
+    cand = right.select(key.alias("_key"), F.col(right_id).cast(kind).alias("_id"), F.col(right_id).alias("_best"),
+                        F.col(right_time).alias("_t")).where("_id is not null and _t is not null")
+    code, ends = exact_code(cand, "_id"), None
+    if code is not None:
+        ends = cand.agg(F.min(code), F.max(code)).first()
+        if ends[0] is not None and ends[1] - ends[0] >= FARTHEST:
+            code = None
+    if code is None:
+        ids = global_dense_rank(cand.select("_id").union(wanted.select("_id")).distinct(), ["_id"], width=width, name="_code")
+        cand, wanted = cand.join(ids, "_id"), wanted.join(ids, "_id")
+        first, last = 0, ids.agg(F.max("_code")).first()[0] or 0
+    else:
+        first, last = ends[0] or 0, ends[1] or 0
+        # a probe beyond all candidates sees them all, one before them none
+        cand = cand.withColumn("_code", code - F.lit(first))
+        wanted = wanted.withColumn("_code", F.least(F.greatest(exact_code(wanted, "_id"), F.lit(first)), F.lit(last + 1)) - F.lit(first))
+        last = last + 1 - first
+    leaves = cand.select(F.col("_key").alias("key"), F.col("_code").alias("code"), F.col("_t").alias("value"), F.col("_best").alias("item"))
+    tree = LastSmaller(leaves, last)
+    found = tree.find(wanted.select(F.col("_key").alias("key"), F.col("_code").alias("code"), F.col("_lt").alias("bound")).distinct())
+    answers = wanted.join(found, (F.col("_key") == F.col("key")) & (F.col("_code") == F.col("code")) & (F.col("_lt") == F.col("bound")))
+    return bad, answers.select("_key", "_id", "_lt", F.col("item").alias("_best"))
 
 
 # ----------------------------------------------------------------------------- misc shapes
