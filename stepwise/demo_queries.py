@@ -911,11 +911,10 @@ def q_dense_rank_global(spark, sf_dir):
 
 def q_lead_lag(spark, sf_dir):
     """Next and previous event value per user in time order."""
-    from stepwise.operators.ordered import shift_within
+    from stepwise.operators.ordered import neighbours
     configure(spark)
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    nxt = shift_within(e, ["user_id"], ["ts"], ["value"], offset=1, width=86400, prefix="next_")
-    return shift_within(nxt, ["user_id"], ["ts"], ["value"], offset=-1, width=86400, prefix="prev_")
+    return neighbours(e, ["user_id"], ["ts"], ["value"], width=86400, next_prefix="next_", prev_prefix="prev_")
 
 
 def q_latest_per_key(spark, sf_dir):

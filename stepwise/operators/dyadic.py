@@ -29,8 +29,8 @@ def bounded(code: Column) -> Column:
 # ----------------------------------------------------------------------------- covers
 
 def cover(lo: Column, hi: Column) -> Column:
-    """The shortest array of nodes ``struct<level, node>`` that make up the codes ``lo..hi`` (both included, both at
-    least 0): at most two per level, empty if ``lo > hi``."""
+    """The shortest array of nodes ``struct<level, node>`` that make up the codes ``lo..hi`` (both included): at most two
+    per level, empty if ``lo > hi``."""
     kind = "struct<lo: bigint, hi: bigint, nodes: array<struct<level: int, node: bigint>>>"
     start = F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), F.array().alias("nodes")).cast(kind)
 
@@ -38,8 +38,8 @@ def cover(lo: Column, hi: Column) -> Column:
         lo, hi = state["lo"], state["hi"]
         node = lambda n: F.array(F.struct(level.cast("int").alias("level"), n.alias("node")))
         none = F.array().cast("array<struct<level: int, node: bigint>>")
-        first = F.when((lo <= hi) & (lo % 2 == 1), node(lo)).otherwise(none)
-        last = F.when((lo <= hi) & (hi % 2 == 0), node(hi)).otherwise(none)
+        first = F.when((lo <= hi) & (lo.bitwiseAND(F.lit(1)) == 1), node(lo)).otherwise(none)
+        last = F.when((lo <= hi) & (hi.bitwiseAND(F.lit(1)) == 0), node(hi)).otherwise(none)
         return F.when(lo > hi, state).otherwise(F.struct(shift(lo + 1, 1).alias("lo"), (shift(hi + 1, 1) - 1).alias("hi"),
                                                          F.concat(state["nodes"], first, last).alias("nodes")).cast(kind))
 

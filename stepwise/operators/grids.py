@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepwise.operators.ordered import global_dense_rank, positions
 
-# literal tables and the dimensions numbered below are lists that a person writes
+# literal tables are lists that a person writes
 LARGEST_DIMENSION = 100_000
 
 
@@ -35,28 +36,27 @@ def inline_values(spark: SparkSession, values: Sequence, name: str, dtype: str =
 
 
 def numbered(df: DataFrame, start: int, name: str = "pos", order: Sequence[str] | None = None) -> DataFrame:
-    """``ROW_NUMBER() OVER () + start - 1`` for a *small literal* table.
+    """``ROW_NUMBER() OVER ([ORDER BY order]) + start - 1`` on a table of any size.
 
     Without ``order`` the numbering follows the table's own row order, which for inline rows is
     the literal order (the only order an unordered ``ROW_NUMBER() OVER ()`` can mean).
     """
     if order:
-        w = Window.orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w) + F.lit(start - 1))
-    return df.withColumn("_mid", F.monotonically_increasing_id()).withColumn(
-        name, F.row_number().over(Window.orderBy("_mid")) + F.lit(start - 1)).drop("_mid")
+        return positions(df, order, name).withColumn(name, F.col(name).cast("int") + F.lit(start - 1))
+    placed = df.withColumn("_mid", F.monotonically_increasing_id())
+    return positions(placed, ["_mid"], name).withColumn(name, F.col(name).cast("int") + F.lit(start - 1)).drop("_mid")
 
 
 def ordered_dim(df: DataFrame, key: str, start: int = 1, name: str = "step_order") -> DataFrame:
-    """``DENSE_RANK() OVER (ORDER BY key) + start - 1`` on a small dimension."""
-    return df.withColumn(name, F.dense_rank().over(Window.orderBy(F.col(key).asc_nulls_first())) + F.lit(start - 1))
+    """``DENSE_RANK() OVER (ORDER BY key) + start - 1`` on a table of any size."""
+    return global_dense_rank(df, [key], name=name).withColumn(name, F.col(name).cast("int") + F.lit(start - 1))
 
 
 def rank_by_first(df: DataFrame, key: Column | str, pos: str, name: str = "rank") -> DataFrame:
-    """``SELECT key, DENSE_RANK() OVER (ORDER BY MIN(pos)) GROUP BY key`` on a small dimension."""
+    """``SELECT key, DENSE_RANK() OVER (ORDER BY MIN(pos)) GROUP BY key`` for any number of keys."""
     k = F.col(key) if isinstance(key, str) else key
     g = df.groupBy(k.alias("_key")).agg(F.min(pos).alias("_first"))
-    return g.select(F.col("_key"), F.dense_rank().over(Window.orderBy("_first")).alias(name))
+    return global_dense_rank(g, ["_first"], name=name).select("_key", F.col(name).cast("int").alias(name))
 
 
 def report_grid(dim: DataFrame, **axes: Sequence) -> DataFrame:

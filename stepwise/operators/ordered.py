@@ -10,8 +10,10 @@ order column (``floor(unix_seconds(t) / width)`` or ``floor(id / width)``) — a
    holds at most ``span / width`` rows, joined back on ``(key, bucket)``.
 
 Bucket ids are pure functions of row values, so recomputation after an executor loss yields the
-same assignment (no dependence on partition ids or sampling). Joins back on ``(key, bucket)`` reuse
-the window's hash partitioning of the large side, so only the summary is shuffled again.
+same assignment. Texts have no width: their buckets lie between **splitters**, values taken from a
+bounded sample of the column's own rows before the plan is built and written into it as literals
+(``splitters``). Joins back on ``(key, bucket)`` reuse the window's hash partitioning of the large side,
+so only the summary is shuffled again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from pyspark.sql.types import (BinaryType, BooleanType, DateType, DoubleType, Fl
                                TimestampNTZType, TimestampType)
 
 _B = "_ob"  # bucket column
-TEXT_PREFIX = 3  # leading characters that bucket a text order column
+#: rows sampled for splitters, buckets made from a full sample, sampled rows per bucket of a smaller one, and the
+#: characters kept of a text splitter behind the prefix that all values share
+SAMPLE, BUCKETS, SAMPLED_PER_BUCKET, SPLITTER_LENGTH = 65_536, 4_096, 64, 200
+
 
 def _names(cols) -> list[str]:
     if cols is None:
@@ -34,14 +39,70 @@ def _names(cols) -> list[str]:
     return list(cols)
 
 
+def splitters(df: DataFrame, cols: Sequence[str], distinct: bool = False) -> list[Column]:
+    """Rising literals that cut the values of ``cols`` (texts, numbers, dates, …; several columns: structs) into parts
+    of about as many rows, or of distinct values. They only balance the parts: any literals give right results.
+
+    The rows of the smallest hashes are the sample, so a frequent range has many splitters and the same rows give the same
+    ones. It is bounded by ``SAMPLE`` rows of ``cols``, texts cut to ``SPLITTER_LENGTH`` characters behind the prefix that
+    all values share.
+    """
+    rows = df.select(*cols).distinct() if distinct else df
+    texts = [c for c in cols if isinstance(df.schema[c].dataType, (StringType, BinaryType))]
+    shared = {}
+    if texts:
+        ends = df.agg(*[f(F.col(c)).alias(f"{f.__name__}_{i}") for i, c in enumerate(texts) for f in (F.min, F.max)]).first()
+        for i, c in enumerate(texts):
+            lo, hi = ends[f"min_{i}"], ends[f"max_{i}"]
+            shared[c] = lo[: next((k for k, (a, b) in enumerate(zip(lo, hi)) if a != b), min(len(lo), len(hi)))] if lo else lo
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    taken = [F.substring(c, len(shared[c] or "") + 1, SPLITTER_LENGTH).alias(c) if c in shared else F.col(c) for c in cols]
+    sample = rows.select(*taken, F.xxhash64(*hashed).alias("_h")).orderBy("_h").limit(SAMPLE).drop("_h").collect()
+    n = BUCKETS if len(sample) == SAMPLE else len(sample) // SAMPLED_PER_BUCKET
+    if n < 2:
+        return []
+    values = [tuple((shared[c] or type(v)()) + v if c in shared and v is not None else v for c, v in zip(cols, r)) for r in sample]
+    values = sorted(set(values), key=lambda v: tuple((x is not None, x != x, 0 if x is None or x != x else x) for x in v))
+    literal = lambda c, v: F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(df.schema[c].dataType)
+    picked = [values[k * len(values) // n] for k in range(1, min(n, len(values)))]
+    picked = [v for v, w in zip(picked, [None, *picked]) if v != w and (len(cols) > 1 or v[0] is not None)]
+    return [F.struct(*[literal(c, x).alias(c) for c, x in zip(cols, v)]) if len(cols) > 1 else literal(cols[0], v[0]) for v in picked]
+
+
+def between_splitters(value: Column, cuts: Sequence[Column]) -> Column:
+    """How many of the rising ``cuts`` are at most ``value``, by halving (nulls: 0)."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    table = F.array(*cuts)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str, distinct: bool = False) -> DataFrame:
+    """Exact 1-based ``ROW_NUMBER() OVER (ORDER BY order)`` over all rows without a window over all rows: row numbers
+    between splitters plus the counts of the parts before. ``distinct``: of the distinct ``order`` tuples, alone."""
+    order = _names(order)
+    cuts = splitters(df, order, distinct)
+    rows = df.select(*order).distinct() if distinct else df
+    value = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
+    parts = rows.withColumn("_part", between_splitters(value, cuts))
+    own = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_part").alias("_cp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = parts.withColumn("_own", F.row_number().over(own))
+    return numbered.join(counts, F.col("_part") == F.col("_cp")).select(
+        *[F.col(f"`{c}`") for c in rows.columns], (F.col("_own") + F.col("_before")).alias(name))
+
+
 # bucket of NaN: after every number, as Spark orders it
 _NAN_BUCKET = (1 << 63) - 1
 
 
 def order_bucket(df: DataFrame, col: str, width) -> Column:
     """Monotone bucket id of ``col``: timestamps by seconds, dates by days, numbers by value (NaN last),
-    texts and binaries by their first ``TEXT_PREFIX`` characters or bytes. Nulls have a null bucket.
-    Other types have no bucket and are refused."""
+    texts and binaries by splitters of their own (``width`` doesn't matter; a sample is read at once). Nulls
+    have a null bucket, or the first one. Other types have no bucket and are refused."""
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (TimestampType, TimestampNTZType)):
@@ -55,7 +116,7 @@ def order_bucket(df: DataFrame, col: str, width) -> Column:
     if isinstance(dt, BooleanType):
         return c.cast("bigint")
     if isinstance(dt, (StringType, BinaryType)):
-        return F.substring(c, 1, TEXT_PREFIX)
+        return between_splitters(c, splitters(df, [col]))
     raise TypeError(f"no order bucket for {dt.simpleString()} column {col}")
 
 
@@ -90,31 +151,35 @@ def shift_within(df: DataFrame, keys, order: Sequence[str], values: Sequence[str
     """
     if offset not in (1, -1):
         raise ValueError("offset must be 1 (lead) or -1 (lag)")
-    keys = _names(keys)
-    order = _names(order)
-    values = _names(values)
-    tie = [c for c in values if c not in order]
-    sort_cols = order + tie
-    fn = F.lead if offset == 1 else F.lag
-    b = _keyed(df, keys, order[0], width)
+    return neighbours(df, keys, order, values, width=width, **{"next_prefix" if offset == 1 else "prev_prefix": prefix})
+
+
+def neighbours(df: DataFrame, keys, order: Sequence[str], values: Sequence[str], *, width=86400,
+               next_prefix: str | None = None, prev_prefix: str | None = None) -> DataFrame:
+    """``LEAD`` (``next_prefix + v``) and ``LAG`` (``prev_prefix + v``) of ``values``, either or both, as in
+    ``shift_within``. The input is read and shuffled once: the rows at the ends of the buckets come from the same
+    exchange as the windows (both need the same columns, so Spark reuses it)."""
+    keys, order, values = _names(keys), _names(order), _names(values)
+    sort_cols = order + [c for c in values if c not in order]
+    b = _keyed(df, keys, order[0], width).drop(_K, _B)
     w = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in sort_cols])
-    local = b
-    for v in values:
-        local = local.withColumn(prefix + v, fn(F.col(v), 1).over(w))
-    local = local.withColumn("_edge", fn(F.lit(1), 1).over(w).isNull())
-
-    # Boundary rows: the first (for LEAD) / last (for LAG) row of the neighbouring non-empty bucket,
-    # from a one-row-per-bucket summary (partially aggregated before its shuffle).
-    packed = F.struct(*[F.col(c) for c in sort_cols + [v for v in values if v not in sort_cols]])
-    ends = b.groupBy(_K, _B).agg((F.min(packed) if offset == 1 else F.max(packed)).alias("_end"))
-    wn = Window.partitionBy(_K).orderBy(F.col(_B).asc())
-    ends = ends.withColumn("_nb", (F.lead if offset == 1 else F.lag)("_end", 1).over(wn))
-    ends = ends.select(_group_key(_K, _B).alias(_G), "_nb")
-    joined = local.join(ends, _G, "left")
-    out_cols = [F.col(c) for c in df.columns]
-    for v in values:
-        out_cols.append(F.when(F.col("_edge"), F.col(f"_nb.{v}")).otherwise(F.col(prefix + v)).alias(prefix + v))
-    return joined.select(*out_cols)
+    sides = [(p, f, e) for p, f, e in ((next_prefix, F.lead, "_last"), (prev_prefix, F.lag, "_first")) if p is not None]
+    shifted = [f(F.col(v), 1).over(w).alias(p + v) for p, f, _ in sides for v in values]
+    local = b.select("*", *shifted, F.lag(F.lit(1), 1).over(w).isNull().alias("_first"), F.lead(F.lit(1), 1).over(w).isNull().alias("_last"))
+
+    # first and last row of every bucket; the neighbouring bucket's end is the neighbour of a bucket's end
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    edges = b.select("*", F.lag(F.lit(1), 1).over(w).isNull().alias("_first"), F.lead(F.lit(1), 1).over(w).isNull().alias("_last"))
+    ends = edges.filter("_first or _last").groupBy(_G).agg(F.first(F.when(F.col("_first"), row), True).alias("_head"),
+                                                           F.first(F.when(F.col("_last"), row), True).alias("_tail"))
+    wn = Window.partitionBy(f"{_G}.k").orderBy(F.col(f"{_G}.b").asc_nulls_first())
+    near = [F.lead("_head", 1).over(wn).alias("_after")] * (next_prefix is not None) + [F.lag("_tail", 1).over(wn).alias("_before")] * (prev_prefix is not None)
+    joined = local.join(ends.select(_G, *near), _G, "left")
+    out = [F.col(f"`{c}`") for c in df.columns]
+    for p, f, edge in sides:
+        other = "_after" if f is F.lead else "_before"
+        out += [F.when(F.col(edge), F.col(f"{other}.`{v}`")).otherwise(F.col(f"`{p + v}`")).alias(p + v) for v in values]
+    return joined.select(*out)
 
 
 def ordered_rank(df: DataFrame, keys, order: Sequence[str], *, width, name: str = "_rank",
@@ -175,29 +240,17 @@ def median_over(df: DataFrame, keys, value: str, *, width, name: str = "median")
     return d.join(med, _K, "left").select(*[F.col(c) for c in df.columns], F.col(name))
 
 
-def global_dense_rank(df: DataFrame, order: Sequence[str], *, width, name: str = "dense_rank",
+def global_dense_rank(df: DataFrame, order: Sequence[str], *, width=None, name: str = "dense_rank",
                       bucket_col: str | None = None) -> DataFrame:
     """``DENSE_RANK() OVER (ORDER BY order…)`` without a window over all rows.
 
-    The distinct order tuples are grouped into composite buckets (leading columns + bucket of
-    ``bucket_col``, default the last order column, numeric or temporal): row numbers inside each
-    bucket plus the number of tuples in earlier buckets. Only the bucket summary (one row per
-    bucket, size ≈ distinct / width) is ordered as a whole; the result is joined back to every row.
+    The distinct order tuples are numbered between splitters of their own (``positions``) and joined back to every
+    row. No task orders more than the tuples of one part or the ``BUCKETS`` part counts. ``width`` and ``bucket_col`` are
+    taken for older callers and no longer matter.
     """
     order = _names(order)
-    bc = bucket_col or order[-1]
-    lead_cols = order[: order.index(bc)] if bc in order else []
-    distinct = df.select(*order).distinct()
-    b = distinct.withColumn("_ob0", order_bucket(distinct, bc, width))
-    b = b.withColumn(_G, F.struct(*[F.col(c) for c in lead_cols + ["_ob0"]]))
-    buckets = b.groupBy(_G).agg(F.count(F.lit(1)).alias("_n"))
-    # struct ordering is field by field with nulls first, the same as ORDER BY lead…, bucket
-    wb = Window.orderBy(F.col(_G).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    wl = Window.partitionBy(_G).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    local = b.withColumn("_lrn", F.row_number().over(wl))
-    ranked = local.join(buckets, _G, "left").select(F.struct(*[F.col(c) for c in order]).alias("_ot"),
-                                                    (F.col("_lrn") + F.col("_before")).alias(name))
+    ranked = positions(df, order, name, distinct=True)
+    ranked = ranked.select(F.struct(*[F.col(c) for c in order]).alias("_ot"), name)
     d = df.withColumn("_ot", F.struct(*[F.col(c) for c in order]))
     return d.join(ranked, "_ot", "left").select(*[F.col(c) for c in df.columns], F.col(name))
 

@@ -15,6 +15,7 @@ from stepwise.functions.rules import Alias, canonicalise, classify
 from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, hours_between, in_local_dates, local_date, shift, sunday_week,
 )
+from stepwise.operators.dyadic import cover, levels_of, with_ancestors
 from stepwise.operators.joins import hop, in_ids, latest_before
 from stepwise.operators.lists import grouped_sorted_list
 from stepwise.operators.ordered import delta_from_prev, order_bucket
@@ -194,8 +195,9 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
 
     Previous value per station × parameter by run id (skew-safe ``LAG``) is computed over the whole
     process history *before* any station/date filter (the filter stays above the window). Changes
-    follow distinct station edges to target stations and meet runs active at the change time, by day
-    totals where a day lies wholly in a run. Per run: total change, sorted list and count of changed parameters.
+    follow distinct station edges to target stations and meet runs active at the change time, by dyadic
+    totals of days where days lie wholly in a run: a run of any length meets at most two nodes per doubling of its
+    days. Per run: total change, sorted list and count of changed parameters.
     """
     gc = changes if process is None else changes.filter(F.col("id_process") == F.lit(process))
     gc = gc.select("id_run", "station_name", "start_time", "id_station", "step_parameter",
@@ -212,7 +214,8 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
         "step_parameter", "start_time", "change_of_value", "target_id_station")
     rr = runs.select("id_run_growth", "mean_growth_rate", F.col("id_station").alias("_rst"),
                      F.col("start_time").alias("_rs"), F.col("end_time").alias("_re"))
-    # days wholly inside a run add their totals per parameter; only its first and last day are paired
+    # the days wholly inside a run are a few dyadic nodes of days, which add their totals per parameter; only the run's
+    # first and last day are paired row by row. Totals are added, never differenced, so nothing cancels.
     j = j.withColumn("_b", order_bucket(j, "start_time", time_width))
     rr = rr.filter(F.col("_rs") <= F.col("_re"))
     rr = rr.withColumn("_b0", order_bucket(rr, "_rs", time_width)).withColumn("_b1", order_bucket(rr, "_re", time_width))
@@ -220,10 +223,12 @@ def change_impact(changes: DataFrame, edges: DataFrame, stations: DataFrame, run
     paired = j.join(ends, (j["target_id_station"] == ends["_rst"]) & (j["_b"] == ends["_rb"]) & (j["start_time"] >= ends["_rs"])
                     & (j["start_time"] <= ends["_re"])).select(
         "id_run_growth", "mean_growth_rate", "step_parameter", F.lit(1).cast("bigint").alias("_n"), "change_of_value")
+    inner = rr.withColumn("_node", F.explode(cover(F.col("_b0") + 1, F.col("_b1") - 1)))
     days = j.groupBy("target_id_station", "_b", "step_parameter").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("change_of_value").alias("change_of_value"))
-    inner = rr.filter(F.col("_b1") - F.col("_b0") > 1).withColumn("_rb", F.explode(F.sequence(F.col("_b0") + 1, F.col("_b1") - 1)))
-    whole = days.join(inner, (days["target_id_station"] == inner["_rst"]) & (days["_b"] == inner["_rb"])).select(*paired.columns)
+    totals = with_ancestors(days, "_b", levels_of(inner, "_node.level"), "_day_node").groupBy(
+        "target_id_station", "_day_node", "step_parameter").agg(F.sum("_n").alias("_n"), F.sum("change_of_value").alias("change_of_value"))
+    whole = totals.join(inner, (totals["target_id_station"] == inner["_rst"]) & (totals["_day_node"] == inner["_node"])).select(*paired.columns)
     out = grouped_sorted_list(paired.unionByName(whole), ["id_run_growth", "mean_growth_rate"], "step_parameter", "changed_parameters",
                               count_name="changed_parameter_count", sums={"change_of_n2": "change_of_value"}, weight="_n")
     return out.select("id_run_growth", "mean_growth_rate", "change_of_n2", "changed_parameters", "changed_parameter_count")

@@ -15,7 +15,7 @@ BASE = datetime(2024, 1, 1)
 
 def test_covers_are_exact_and_short(spark):
     rng = random.Random(1)
-    pairs = [(a, b) for a in range(20) for b in range(24)]
+    pairs = [(a, b) for a in range(-9, 20) for b in range(-9, 24)]
     pairs += [(a, a + rng.randrange(10 ** rng.randrange(1, 8))) for a in (rng.randrange(10**6) for _ in range(300))]
     df = spark.createDataFrame(pairs, "lo long, hi long")
     df = df.select("lo", "hi", cover(F.col("lo"), F.col("hi")).alias("c"), F.when(F.expr("lo <= hi"), pieces(F.col("lo"), F.col("hi"))).alias("p"))
