@@ -1075,3 +1075,55 @@ REGISTRY.update({
     "append_transitions": q_append_transitions,
     "thickness_older": q_thickness_older,
 })
+
+
+# ----------------------------------------------------------------------------- versioned tables
+
+def q_backfill_versions(spark, sf_dir):
+    """J20 on a stored table: the same content as ``backfill_latest``, with only the touched files rewritten."""
+    from stepwise.plans.backfill import HISTORY_COLUMNS, write_backfill_latest
+    from stepwise.sources.versions import read_version
+    configure(spark)
+    path = own_folder(spark, "stepwise_backfill")
+    hist = event_history(spark, sf_dir)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    run_blocks = o.select(F.col("o_custkey").alias("id_block"), F.col("o_orderkey").alias("id_run_growth"))
+    ids = c.filter(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
+    target = hist.filter(F.col("step_parameter") == "view").select(*HISTORY_COLUMNS, F.lit(-1).cast("bigint").alias("last_growth"))
+    target.repartitionByRange("id_block").write.parquet(path)
+    write_backfill_latest(spark, path, hist, run_blocks, ids, ["ProcA"], exclude_location="WS")
+    return read_version(spark, path)
+
+
+def q_fill_null_versions(spark, sf_dir):
+    """J21 on a stored table: the same content as ``merge_fill_null``."""
+    from stepwise.plans.backfill import write_fill_null
+    from stepwise.sources.versions import read_version
+    configure(spark)
+    path = own_folder(spark, "stepwise_fill")
+    c, e = table(spark, sf_dir, "customer"), table(spark, sf_dir, "events")
+    c.select(F.col("c_custkey").alias("id_block"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("longest_dim")).repartitionByRange(
+        "id_block").write.parquet(path)
+    hist = e.select(F.col("user_id").alias("id_block"), F.col("event_id").alias("id_run"), F.col("event_type").alias("step_parameter"),
+                    F.when(F.col("value") < 5, "bad").otherwise(F.col("value").cast("string")).alias("data"))
+    write_fill_null(spark, path, hist, "purchase", "longest_dim")
+    return read_version(spark, path)
+
+
+def q_delete_versions(spark, sf_dir):
+    """S09/S07 on a stored table: orders of a few customers deleted, then the table replaced by a rewrite of itself."""
+    from stepwise.sources.versions import delete_rows, read_version, replace_table
+    configure(spark)
+    path = own_folder(spark, "stepwise_delete")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    o.select("o_orderkey", "o_custkey", "o_totalprice").repartitionByRange("o_custkey").write.parquet(path)
+    delete_rows(spark, path, c.filter(F.col("c_acctbal") < -900).select("c_custkey"), "o_custkey")
+    replace_table(read_version(spark, path).withColumn("o_totalprice", F.col("o_totalprice") * 2), path)
+    return read_version(spark, path)
+
+
+REGISTRY.update({
+    "backfill_versions": q_backfill_versions,
+    "fill_null_versions": q_fill_null_versions,
+    "delete_versions": q_delete_versions,
+})

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.nullops import safe_number
 from stepwise.operators.joins import in_ids
 from stepwise.operators.latest import latest_per_key
 from stepwise.sources.sinks import merge_update, replace_keys
+from stepwise.sources.versions import merge_rows, replace_rows
 
 HISTORY_COLUMNS = ["id_block", "id_block_run", "id_run", "timestamp", "process_name", "step_name", "step_parameter", "data"]
 
@@ -46,6 +47,20 @@ def backfill_latest(target: DataFrame, history: DataFrame, run_blocks: DataFrame
     return replace_keys(target, new_rows, "id_block", keys=ids)
 
 
+def write_backfill_latest(spark: SparkSession, target_path: str, history: DataFrame, run_blocks: DataFrame, ids, processes: Sequence[str], *,
+                          exclude_location: str | None = None, with_growth: bool = True) -> int:
+    """J20 on a stored table (``sources.versions``): only the files that hold rows of the listed units are rewritten, and
+    readers see the old content or the new. Returns the table's new version."""
+    new_rows = latest_measurements(history, run_blocks, ids, processes, exclude_location=exclude_location, with_growth=with_growth)
+    return replace_rows(spark, target_path, new_rows, "id_block", keys=ids)
+
+
+def newest_values(history: DataFrame, parameter: str, key: str) -> DataFrame:
+    """(key, data): the text value of ``parameter`` in the newest run per unit (``max(data)`` if it holds several rows)."""
+    latest = latest_per_key(history.filter(F.col("step_parameter") == F.lit(parameter)), [key], "id_run")
+    return latest.groupBy(key).agg(F.max("data").alias("data"))
+
+
 def merge_fill_null(target: DataFrame, history: DataFrame, parameter: str, column: str, *,
                     key: str = "id_block") -> DataFrame:
     """Fill ``column`` of the target from the newest run's value of ``parameter`` per unit.
@@ -53,14 +68,19 @@ def merge_fill_null(target: DataFrame, history: DataFrame, parameter: str, colum
     The newest run per unit is chosen and joined back (``max(data)`` if it holds several rows);
     only rows whose target value is null and whose source text parses as a number are updated.
     """
-    h = history.filter(F.col("step_parameter") == F.lit(parameter))
-    latest = latest_per_key(h, [key], "id_run")
-    src = latest.groupBy(key).agg(F.max("data").alias("data"))
+    src = newest_values(history, parameter, key)
     num = safe_number(F.col("s.data"))
     return merge_update(target, src, [key], {column: num},
                         when=F.col(f"t.{column}").isNull() & num.isNotNull())
 
 
+def write_fill_null(spark: SparkSession, target_path: str, history: DataFrame, parameter: str, column: str, *, key: str = "id_block") -> int:
+    """J21 on a stored table (``sources.versions``): only files with a matching row whose ``column`` is null are rewritten."""
+    num = safe_number(F.col("s.data"))
+    return merge_rows(spark, target_path, newest_values(history, parameter, key), key, {column: num},
+                      when=F.col(f"t.{column}").isNull() & num.isNotNull(), among=F.col(column).isNull())
+
+
 def yield_per_parent(blocks: DataFrame, dims: DataFrame, growth_blocks: DataFrame, growth_runs: DataFrame,
                      tray_cells: DataFrame, plates: DataFrame, shipments: DataFrame, since, *,
                      size_family: str = "1x1") -> DataFrame:

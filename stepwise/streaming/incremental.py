@@ -8,19 +8,25 @@ checkpoint folder) records which files were processed. A retried batch overwrite
 does not count that folder's rows as loaded, so a restarted or failed job resumes without duplicates
 and without losses; ``availableNow`` drains what is there and stops, which suits a scheduled job.
 
-A stream sees each run file once, but the readings of a run may arrive later. Every drain therefore
-ends with one re-check of all runs inside the window that the target still lacks, written to a folder
-of its own (``epoch=late-<as_of>``).
+A stream sees each run file once, but the readings of a run may arrive later. Each micro-batch therefore
+writes its runs without a reading, as far as they are inside the window, to a **pending** table next to
+the target (a folder per micro-batch, overwritten on a retry). Every drain ends with one re-check of the
+pending runs, written to a folder of its own (``epoch=late-<as_of>-…``); the runs that are still pending and
+still inside the window are carried into one new folder and the folders read are deleted. No run file is
+read twice, so a drain's work grows with new and pending runs, not with history. A job that stops between
+the two steps leaves runs in two pending folders, which does no harm: the re-check takes each once.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from stepwise.functions.timeops import as_utc, between_instants
 from stepwise.plans.runs import last_reading_per_run
 
 TARGET_COLUMNS = ["id_run_growth", "id_growing_run", "end_time", "id_run_end_time"]
@@ -39,6 +45,29 @@ def _target_or_empty(spark: SparkSession, target_path: str, schema: StructType,
     return spark.createDataFrame([], schema)
 
 
+def pending_folder(target_path: str) -> str:
+    """Where runs without a reading wait: next to the target, not in it."""
+    return f"{target_path.rstrip('/')}__pending"
+
+
+def _keep_pending(runs: DataFrame, loaded: DataFrame, target_path: str, part: str, as_of, window: timedelta) -> None:
+    """Write the runs that may still get a reading (in the window, not loaded) as one folder of the pending table."""
+    alive = runs.filter(between_instants(runs, "end_time", as_utc(as_of) - window, None) & (F.col("run_duration") > 0))
+    ids = loaded.select(F.col("id_run_growth").alias("_loaded")).distinct()
+    alive.join(ids, F.col("id_run_growth") == F.col("_loaded"), "left_anti").dropDuplicates(["id_run_growth"]).write.mode(
+        "overwrite").parquet(f"{pending_folder(target_path)}/part={part}")
+
+
+def pending_runs(spark: SparkSession, runs_schema: StructType, target_path: str) -> tuple[DataFrame, list[str]]:
+    """The runs that wait for a reading, and the folders that hold them."""
+    folder = pending_folder(target_path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    runs = spark.read.schema(runs_schema).parquet(*parts) if parts else spark.createDataFrame([], runs_schema)
+    return runs.dropDuplicates(["id_run_growth"]), parts
+
+
 def start_end_time_check(spark: SparkSession, runs_path: str, runs_schema: StructType, stations: DataFrame,
                          sensor: DataFrame, target_path: str, checkpoint_path: str, as_of, *,
                          window: timedelta = timedelta(hours=24 * 30), before: timedelta = timedelta(hours=2),
@@ -63,6 +92,8 @@ def start_end_time_check(spark: SparkSession, runs_path: str, runs_schema: Struc
                                    window=window, before=before, after=after)
         # one folder per micro-batch, overwritten on a retry of the same epoch: exactly-once output
         out.select(*TARGET_COLUMNS).write.mode("overwrite").parquet(f"{target_path.rstrip('/')}/epoch={epoch_id}")
+        loaded = _target_or_empty(spark, target_path, _target_schema(batch))
+        _keep_pending(batch, loaded, target_path, str(epoch_id), as_of, window)
 
     w = runs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_path)
     if available_now:
@@ -87,18 +118,23 @@ def run_end_time_check(spark: SparkSession, runs_path: str, runs_schema: StructT
                              available_now=True, **kw)
     q.awaitTermination()
     window = {k: kw[k] for k in ("window", "before", "after") if k in kw}
-    load_late_readings(spark, runs_path, runs_schema, stations, sensor, target_path, as_of, glob=kw.get("glob"),
-                       recursive=kw.get("recursive", True), **window)
+    load_late_readings(spark, runs_schema, stations, sensor, target_path, as_of, **window)
     return _target_or_empty(spark, target_path, _target_schema(spark.createDataFrame([], runs_schema)))
 
 
-def load_late_readings(spark: SparkSession, runs_path: str, runs_schema: StructType, stations: DataFrame, sensor: DataFrame,
-                       target_path: str, as_of, *, glob: str | None = None, recursive: bool = True, **window) -> None:
-    """Load the runs inside the window that the target still lacks because their readings came after
-    them. The folder is named by ``as_of``, so a repeated call writes the same rows."""
-    name = f"late-{as_of:%Y%m%dT%H%M%S}"
-    reader = spark.read.schema(runs_schema).option("recursiveFileLookup", str(recursive).lower())
-    runs = (reader.option("pathGlobFilter", glob) if glob else reader).parquet(runs_path).dropDuplicates(["id_run_growth"])
-    done = _target_or_empty(spark, target_path, _target_schema(runs), but=name)
-    out = last_reading_per_run(runs, stations, sensor, done.select("id_run_growth"), as_of, **window)
-    out.select(*TARGET_COLUMNS).write.mode("overwrite").parquet(f"{target_path.rstrip('/')}/epoch={name}")
+def load_late_readings(spark: SparkSession, runs_schema: StructType, stations: DataFrame, sensor: DataFrame, target_path: str, as_of, *,
+                       window: timedelta = timedelta(hours=24 * 30), **around) -> None:
+    """Load the pending runs whose readings have come, and carry the others as long as they are inside the window. Loaded
+    runs are no longer pending, so a repeated call adds nothing."""
+    runs, parts = pending_runs(spark, runs_schema, target_path)
+    if not parts:
+        return
+    done = _target_or_empty(spark, target_path, _target_schema(runs))
+    out = last_reading_per_run(runs, stations, sensor, done.select("id_run_growth"), as_of, window=window, **around)
+    name = f"late-{as_of:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    out.select(*TARGET_COLUMNS).write.parquet(f"{target_path.rstrip('/')}/epoch={name}")
+    _keep_pending(runs, _target_or_empty(spark, target_path, _target_schema(runs)), target_path, f"carried-{uuid.uuid4().hex}", as_of, window)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in parts:
+        fs.delete(path(part), True)

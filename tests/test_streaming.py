@@ -92,3 +92,34 @@ def test_sharded_sensor_is_pruned_by_the_run_join(spark, tmp_path):
     assert "dynamicpruning" in plan.lower()
     # shard2 rows are i % 4 == 2 at minute i % 50; the newest (i = 98 or 198) is minute 48
     assert [(r.id_run_growth, r.id_run_end_time) for r in out.collect()] == [(1, t + timedelta(minutes=48))]
+
+
+def test_drains_dont_grow_with_history(spark):
+    """Run files are read once: later drains work without them, pending runs stay in one carried folder until their readings
+    come or the window has passed."""
+    from stepwise.streaming.incremental import pending_folder, pending_runs
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/test_pending/{uuid.uuid4().hex}"
+    t = datetime(2025, 1, 10)
+    stations = spark.createDataFrame([(5, "s")], "id_station long, data_table string")
+    reading = lambda *ids: spark.createDataFrame([("s", t, 10 + i, ("p", str(i))) for i in ids] or [], SENSOR_KIND)
+    kw = dict(spark=spark, runs_path=f"{root}/runs", stations=stations, target_path=f"{root}/target", checkpoint_path=f"{root}/ckpt")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in range(4):  # run 10 * day has its reading, 10 * day + 1 hasn't yet
+        runs = spark.createDataFrame([(10 * day + k, 10 + 10 * day + k, 5, t - timedelta(hours=7), t, 3.0) for k in (0, 1)], RUN_KIND)
+        runs.write.parquet(f"{root}/runs/b{day}")
+        got = run_end_time_check(sensor=reading(*range(0, 40, 10)), runs_schema=runs.schema, as_of=t + timedelta(hours=1 + day), **kw)
+        assert sorted(r.id_run_growth for r in got.collect()) == [10 * d for d in range(day + 1)]
+        fs.delete(path(f"{root}/runs/b{day}"), True)
+        waiting, parts = pending_runs(spark, runs.schema, f"{root}/target")
+        assert len(parts) == 1 and sorted(r.id_run_growth for r in waiting.collect()) == [10 * d + 1 for d in range(day + 1)]
+    late = dict(runs_schema=runs.schema, **kw)
+    empty = spark.createDataFrame([], RUN_KIND)
+    empty.write.mode("append").parquet(f"{root}/runs/b9")
+    got = run_end_time_check(sensor=reading(1, 11), as_of=t + timedelta(days=2), **late)
+    assert sorted(r.id_run_growth for r in got.collect()) == [0, 1, 10, 11, 20, 30]
+    got = run_end_time_check(sensor=reading(1, 11, 21, 31), as_of=t + timedelta(days=31), **late)  # past the window
+    assert sorted(r.id_run_growth for r in got.collect()) == [0, 1, 10, 11, 20, 30]
+    assert pending_runs(spark, runs.schema, f"{root}/target")[0].count() == 0
+    assert fs.exists(path(pending_folder(f"{root}/target")))
