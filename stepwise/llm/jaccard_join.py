@@ -13,13 +13,14 @@ similarity is at least 0.75. Documents with one and the same set are one class f
 * *The boundary* minimises the counted cost of both: subsets of all sets up to it against list entries
   above. Sets within 3/4 below the boundary do both, so pairs across it are found in the lists.
 
-Lists of up to ``SHORT`` classes give their pairs. Longer lists are matched in blocks inside a task on
-bit sketches whose distance never exceeds the symmetric difference (an exact bound): first every set
-gets one neighbour (a star cover, not all pairs), links are verified on whole texts and merged into
-components; then, round by round, sets outside the largest component meet more and more of their
-nearest sets of other components, until no pair that the bound allows is both apart and untested. So
-no link between different components is missed and a cluster of thousands of near copies costs a few
-links each.
+Lists with the same members are one. Lists of up to ``SHORT`` classes give their pairs. Longer lists with
+the same least member are one bundle, matched in blocks inside a task on bit sketches whose distance
+never exceeds the symmetric difference (an exact bound): first every set gets one neighbour (a star
+cover, not all pairs), links are verified on whole texts and merged into components. Then only bundles
+whose members lie in several components are read: round by round, sets outside a block's largest
+component meet more and more of their nearest sets of other components, until no pair that the bound
+allows is both apart and untested. So no link between different components is missed, and a cluster of
+thousands of near copies costs a few links and a few sketches each.
 
 Texts without words (or null) have the empty set and are linked with nothing. Repeated rows with words
 are one class. A null doc_id takes part; the component's id is its smallest non-null doc_id.
@@ -216,10 +217,15 @@ def keys_of(docs: DataFrame, limit: int, frequent: dict[int, int]) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of keys that different classes share, once per class, with ``members`` (classes per key)."""
+    """Rows of keys that different classes share, once per class, with ``members`` (classes per key) and ``lo``, the least of
+    them. Of keys with the same members (told by count, xor and sum of hashes) the smallest stands for all: near copies
+    share hundreds."""
     of_key = Window.partitionBy("kind", "key")
     rows = keys.withColumn("lo", F.min("c").over(of_key)).withColumn("hi", F.max("c").over(of_key)).where("lo != hi")
-    return rows.groupBy("kind", "key", "c").agg(F.first("n").alias("n")).withColumn("members", F.count("*").over(of_key))
+    rows = rows.groupBy("kind", "key", "lo", "c").agg(F.first("n").alias("n"))
+    rows = rows.withColumn("members", F.count("*").over(of_key)).withColumn("xor", F.bit_xor(F.xxhash64("c")).over(of_key)).withColumn(
+        "sum", F.sum(F.shiftright(F.xxhash64("c", F.lit(7)), 32)).over(of_key))
+    return rows.groupBy("kind", "members", "lo", "xor", "sum", "c").agg(F.min("key").alias("key"), F.first("n").alias("n")).drop("xor", "sum")
 
 
 def subset_links(shared: DataFrame) -> DataFrame:
@@ -246,15 +252,23 @@ def short_list_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def long_list_blocks(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of long lists with their sketches, dealt into pairs of blocks (one pair up to ``BLOCK``)."""
-    rows = shared.where(f"kind = 0 and members > {SHORT}").select("key", "c", "members")
-    keys = rows.groupBy("c").agg(F.collect_list("key").alias("keys"))  # no more than the set's prefix
-    rows = rows.join(classes.select("c", "n", "sketch").join(keys, "c"), "c")
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+def bundle_blocks(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the lists too long to give their pairs, with their sketches. Lists with the same least member are one
+    bundle, with each member once: the hundreds of lists that near copies share differ by a few members. Bundles are
+    dealt into pairs of blocks (one pair up to ``BLOCK`` members)."""
+    rows = shared.where(f"kind = 0 and members > {SHORT}").select(F.col("lo").alias("key"), "c").distinct()
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks", "members")
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    return rows.join(classes.select("c", "n", "sketch"), "c")
+
+
+def open_blocks(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """The blocks of bundles whose members lie in several components, with ``root``; the others can add nothing."""
+    rooted = blocks.select("key", "c").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
+    return blocks.join(rooted.join(mixed, "key"), ["key", "c"])
 
 
 def star_cover(blocks: DataFrame) -> DataFrame:
@@ -280,10 +294,9 @@ def star_cover(blocks: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def pairs_apart(blocks: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Pairs of a block pair that may link and lie in different components: for each set outside the
-    block's largest component its ``most`` nearest ones. A set that has more gives the row (c, c). Sets
-    that share several long lists meet in the list with the smallest key only."""
+def pairs_apart(blocks: DataFrame, most: int) -> DataFrame:
+    """Pairs of a block pair (of ``open_blocks``) that may link and lie in different components: for each set outside the
+    block's largest component its ``most`` nearest ones. A set that has more gives the row (c, c)."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("c").reset_index(drop=True)
         names, own = group["c"].to_numpy(), group["own"].to_numpy()
@@ -292,13 +305,11 @@ def pairs_apart(blocks: DataFrame, roots: DataFrame, most: int) -> DataFrame:
         across = group["lo"][0] != group["hi"][0]
         out = []
         near = Neighbours(sizes, sketches) if len(members) > 1 else None
-        before = [frozenset(k[k < group["key"][0]].tolist()) for k in group["keys"]] if near else []
         for i in np.flatnonzero(root != members.argmax()) if near else ():
             found, apart = near.of(int(sizes[i]), sketches[i])
             there = root[found] != root[i]
             if across:
                 there &= own[found] != own[i]
-            there[there] = [before[i].isdisjoint(before[j]) for j in found[there]]
             found, apart = found[there], apart[there]
             if len(found) > most:
                 found = found[np.lexsort((names[found], apart))[:most]]
@@ -306,8 +317,7 @@ def pairs_apart(blocks: DataFrame, roots: DataFrame, most: int) -> DataFrame:
             out += [(names[i], names[j]) for j in found]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = blocks.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").select(
+    return blocks.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -350,14 +360,14 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = {r["n"]: r["count"] for r in classes.where(f"n <= {LARGEST_SMALL}").groupBy("n").count().collect()}
     frequent = frequent_shingles(sets)
     shared = stored(shared_keys(keys_of(docs, boundary(sizes), frequent)), "shared-keys")
-    blocks = stored(long_list_blocks(shared, classes), "blocks")
+    blocks = stored(bundle_blocks(shared, classes), "blocks")
     first = stored(short_list_pairs(shared, classes).union(star_cover(blocks)).distinct(), "pairs")
     links = stored(subset_links(shared).union(verified(first, docs, classes)), "links")
     roots = stored(components(links), "roots")
     # what is still apart: nearest first, more of them each time, until every allowed pair is tested
     tested, most = first, FIRST_NEAREST
     while True:
-        found = stored(pairs_apart(blocks, roots, most), "pairs-apart")
+        found = stored(pairs_apart(open_blocks(blocks, roots), most), "pairs-apart")
         rest = stored(found.where("a < b").join(tested, ["a", "b"], "left_anti"), "pairs-untested")
         if rest.limit(1).count():
             links = stored(links.union(verified(rest, docs, classes)), "links")
