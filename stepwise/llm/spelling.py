@@ -202,7 +202,9 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     ahead = numbered(counts)
     back = numbered(counts.select(_reversed("word").alias("word"))).select(_reversed("word").alias("word"), F.col("nodes").alias("ends"))
     words = stored(counts.join(ahead, "word").join(back, "word"), "spelling-nodes")
-    near = neighbours(pair_rows(words))
+    # a word becomes some twenty pairs: spread the few files of the node table over all tasks first
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = neighbours(pair_rows(words.repartition(spread, "place")))
     names = words.select(F.col("place").alias("_place"), F.col("word").alias("_word"))
     known = words.select("word", "n", "place").join(near, "place", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     known = stored(known.select("word", "n", "place", "n_near", F.when(F.col("best.n") >= ratio * F.col("n"), F.struct(
