@@ -83,34 +83,41 @@ def col_literal(df: DataFrame, col: str, value: datetime) -> Column:
     return ts_literal(value, df.schema[col].dataType)
 
 
-# timestamp column -> date partition column (UTC date of the timestamp), see register_date_partition
-DATE_PARTITIONS: dict[str, str] = {}
+_RULE = "date_partition"  # key in a timestamp column's metadata
 
 
-def register_date_partition(ts_col: str, date_col: str) -> None:
-    """Declare that tables carrying ``ts_col`` are partitioned by ``date_col = to_date(ts_col)`` (UTC).
+def with_date_partition(df: DataFrame, ts_col: str, date_col: str, zone: str = "UTC") -> DataFrame:
+    """``df``, told that it is partitioned by ``date_col``, the date of the instant ``ts_col`` in ``zone``.
 
-    Every range predicate on ``ts_col`` then also bounds ``date_col`` with literal dates, so the scan
-    prunes whole partition directories, not just Parquet row groups.
+    Every range predicate on ``ts_col`` of this DataFrame (and of what is selected, filtered or joined from it while
+    both columns are there) then also bounds ``date_col`` with literal dates, so the scan prunes whole partition
+    directories, not just Parquet row groups. The rule is metadata of the column: other tables with columns of these names
+    are not touched, and each may have another zone.
     """
-    DATE_PARTITIONS[ts_col] = date_col
+    if date_col not in df.columns:
+        raise ValueError(f"no column {date_col}")
+    return df.withMetadata(ts_col, {**df.schema[ts_col].metadata, _RULE: {"column": date_col, "zone": zone}})
+
+
+def _partition_bounds(df: DataFrame, col: str, lo: datetime | None, hi: datetime | None) -> list[Column]:
+    """Bounds of the date column that ``with_date_partition`` names, if the table still has it."""
+    rule = df.schema[col].metadata.get(_RULE)
+    if not rule or rule["column"] not in df.columns:
+        return []
+    day = lambda t: F.lit(as_utc(t).replace(tzinfo=timezone.utc).astimezone(ZoneInfo(rule["zone"])).date())
+    part = F.col(rule["column"])
+    return ([part >= day(lo)] if lo is not None else []) + ([part <= day(hi)] if hi is not None else [])
 
 
 def between_instants(df: DataFrame, col: str, lo: datetime | None, hi: datetime | None,
                      lo_inclusive: bool = True, hi_inclusive: bool = True) -> Column:
     """Range predicate on a bare column with literal bounds (pushed to the scan).
 
-    When ``col`` has a registered date partition present in ``df``, the partition column is bounded
-    too (partition pruning).
+    When ``df`` carries a rule for ``col`` (``with_date_partition``), the partition column is bounded too
+    (partition pruning).
     """
     c = F.col(col)
-    conds = []
-    part = DATE_PARTITIONS.get(col)
-    if part and part in df.columns:
-        if lo is not None:
-            conds.append(F.col(part) >= F.lit(as_utc(lo).date()))
-        if hi is not None:
-            conds.append(F.col(part) <= F.lit(as_utc(hi).date()))
+    conds = _partition_bounds(df, col, lo, hi)
     if lo is not None:
         b = col_literal(df, col, lo)
         conds.append(c >= b if lo_inclusive else c > b)

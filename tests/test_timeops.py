@@ -63,12 +63,32 @@ def test_registered_date_partition_is_pruned(spark, tmp_path):
     p = str(tmp_path / "log")
     rows_ = [(datetime(2024, 1, d, 12), date(2024, 1, d)) for d in (1, 10, 20, 29)]
     spark.createDataFrame(rows_, "end_time timestamp_ntz, end_date date").write.partitionBy("end_date").parquet(p)
-    df = spark.read.parquet(p)
-    T.register_date_partition("end_time", "end_date")
-    try:
-        q = df.filter(T.in_local_days(df, "end_time", datetime(2024, 1, 31), 15))
-        plan = q._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [isnotnull(end_date" in plan and "2024-01-15" in plan
-        assert sorted(r.end_time.day for r in q.collect()) == [20, 29]
-    finally:
-        T.DATE_PARTITIONS.pop("end_time", None)
+    df = T.with_date_partition(spark.read.parquet(p), "end_time", "end_date")
+    q = df.filter(T.in_local_days(df, "end_time", datetime(2024, 1, 31), 15))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(end_date" in plan and "2024-01-15" in plan
+    assert "PushedFilters: [IsNotNull(end_time), GreaterThanOrEqual(end_time" in plan
+    assert sorted(r.end_time.day for r in q.collect()) == [20, 29]
+
+
+def test_two_tables_with_the_same_names_and_their_own_rules(spark, tmp_path):
+    """One table by UTC date, one by local date, one by something else: each predicate uses its own table's rule."""
+    instants = [datetime(2024, 1, d, h) for d in (14, 15, 16, 30) for h in (2, 12, 23)]
+    zone = "America/Los_Angeles"
+    tables = {}
+    for name, day in (("utc", lambda t: t.date()), ("local", lambda t: T.local_wall_of(t, zone).date()), ("other", lambda t: date(1999, 1, 1))):
+        path = str(tmp_path / name)
+        spark.createDataFrame([(t, day(t), i) for i, t in enumerate(instants)], "end_time timestamp_ntz, end_date date, i int").write.partitionBy(
+            "end_date").parquet(path)
+        tables[name] = spark.read.parquet(path)
+    utc = T.with_date_partition(tables["utc"], "end_time", "end_date")
+    local = T.with_date_partition(tables["local"], "end_time", "end_date", zone)
+    lo, hi = datetime(2024, 1, 15, 3), datetime(2024, 1, 16, 3)
+    want = [i for i, t in enumerate(instants) if lo <= t <= hi]
+    cases = [(utc, ">= 2024-01-15"), (local, ">= 2024-01-14"), (tables["other"], None), (utc.select("i", "end_time"), None),
+             (local.filter("i >= 0").withColumn("j", F.col("i") + 1), ">= 2024-01-14")]
+    for df, bound in cases:
+        q = df.filter(T.between_instants(df, "end_time", lo, hi))
+        assert sorted(r.i for r in q.collect()) == want
+        pruned = q._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+        assert (bound in pruned) if bound else ">=" not in pruned
