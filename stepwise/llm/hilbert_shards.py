@@ -106,17 +106,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Whole documents as one folder per shard, rows in curve order (files prune on every dimension)."""
+    """Whole documents as one folder per shard, rows in curve order (files prune on every dimension). The columns ``shard``
+    and ``place`` are added; if ``docs`` has columns of these names, they stay and the added ones get underscores in front."""
     key = ["doc_id", "size", "text_crc32", "kind"]
+    own = {}
+    for name in ("shard", "place"):
+        own[name] = name
+        while own[name].lower() in (c.lower() for c in docs.columns):
+            own[name] = "_" + own[name]
     # rows equal in all that the curve sees take the places of their kind one each
     same = Window.partitionBy(*key)
     placed = shard(docs, shards).select(*key, "shard", "place", F.row_number().over(same.orderBy("place")).alias("nth"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in ("shard", "place")]).alias("row"), "doc_id",
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id",
                        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
                        F.xxhash64("lang", "source").alias("kind"))
     rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0)))).alias("r")
     placed = placed.alias("p")
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*key, "nth"]]
-    rows.join(placed, on).select("r.row.*", "p.shard", "p.place").repartitionByRange("shard", "place").sortWithinPartitions(
-        "shard", "place").write.partitionBy("shard").parquet(path)
+    out = rows.join(placed, on).select("r.row.*", F.col("p.shard").alias(own["shard"]), F.col("p.place").alias(own["place"]))
+    out.repartitionByRange(own["shard"], own["place"]).sortWithinPartitions(own["shard"], own["place"]).write.partitionBy(own["shard"]).parquet(path)

@@ -129,14 +129,17 @@ class Grammar:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether 5 divides the CRC of the doc_id as text (null: the empty text, so held out)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled rows outside the held-out fold."""
+    """(text, toxic) of at most ``rows`` labelled rows outside the held-out fold; of the texts that share a labelled doc_id
+    the one with the smallest hash, so however many there are, no more than ``rows`` come back."""
     picked = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
               .select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:

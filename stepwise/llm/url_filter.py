@@ -11,7 +11,8 @@ terms themselves are no feature, so the model also judges hosts the list doesn't
 meets one class only yields that class.
 
 Null urls and urls without ``://`` have empty host and path and are judged like any other. Repeated
-rows are judged each.
+rows are judged each; very long urls are measured whole; empty tables give empty results. Only ``page_id`` and ``url``
+are read: further columns, whatever their names, neither disturb the model's own nor return.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -79,13 +82,13 @@ def judge(pages: DataFrame) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    train = labelled(pages).persist()
+    train = stored(labelled(pages), "url-train")
     suffix = F.element_at(F.split("host", r"\."), -1)
     rates = {r["s"]: r["rate"] for r in train.groupBy(suffix.alias("s")).agg(
         ((F.sum("label") + 1) / (F.count("*") + 2)).alias("rate"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()}
     sums = train.agg(F.sum("label").alias("spam"), F.count("*").alias("n")).first()
     rate = (sums["spam"] or 0.0) / max(1, sums["n"])
-    rows = with_parts(pages).withColumn("rule", fitting_rule(RULES, None)).withColumn("ruled", fitting_rule(RULES, 0))
+    rows = with_parts(pages.select("page_id", "url")).withColumn("rule", fitting_rule(RULES, None)).withColumn("ruled", fitting_rule(RULES, 0))
     if 0 < rate < 1:
         vector = lambda df: lexical_features(df, rates, rate).withColumn("features", array_to_vector("features"))
         model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(vector(train))
@@ -93,5 +96,4 @@ def judge(pages: DataFrame) -> DataFrame:
         own = F.when(F.col("prediction") >= 0.5, "block").otherwise("allow")
     else:
         own = F.lit("block" if rate == 1 else "allow")
-    train.unpersist()
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"))
