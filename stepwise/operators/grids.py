@@ -39,7 +39,8 @@ def numbered(df: DataFrame, start: int, name: str = "pos", order: Sequence[str]
     """``ROW_NUMBER() OVER ([ORDER BY order]) + start - 1`` on a table of any size.
 
     Without ``order`` the numbering follows the table's own row order, which for inline rows is
-    the literal order (the only order an unordered ``ROW_NUMBER() OVER ()`` can mean).
+    the literal order (the only order an unordered ``ROW_NUMBER() OVER ()`` can mean). Such a table must come in
+    the same order each time it is read (literal rows, files); order others by their columns.
     """
     if order:
         return positions(df, order, name).withColumn(name, F.col(name).cast("int") + F.lit(start - 1))

@@ -264,8 +264,7 @@ def full_join_coalesce(left: DataFrame, right: DataFrame, on: Sequence[str], coa
 def hop(df: DataFrame, edges: DataFrame, nodes: DataFrame, src_col: str, edge_src: str, edge_dst: str,
         node_key: str) -> DataFrame:
     """``df JOIN (SELECT DISTINCT src, dst FROM edges) ON src JOIN nodes ON dst`` (one graph hop)."""
-    e = edges.select(edge_src, edge_dst).distinct()
-    j = df.join(e, df[src_col] == e[edge_src], "inner")
+    j = join_distinct(df, edges, src_col, [edge_src, edge_dst], edge_src)
     return j.join(nodes, j[edge_dst] == nodes[node_key], "inner")
 
 

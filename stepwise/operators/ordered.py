@@ -61,9 +61,11 @@ def splitters(df: DataFrame, cols: Sequence[str], distinct: bool = False) -> lis
     n = BUCKETS if len(sample) == SAMPLE else len(sample) // SAMPLED_PER_BUCKET
     if n < 2:
         return []
-    values = [tuple((shared[c] or type(v)()) + v if c in shared and v is not None else v for c, v in zip(cols, r)) for r in sample]
+    plain = lambda v: bytes(v) if isinstance(v, bytearray) else v
+    whole = lambda c, v: plain(v) if c not in shared or v is None else plain(shared[c] or v[:0]) + plain(v)
+    values = [tuple(whole(c, v) for c, v in zip(cols, r)) for r in sample]
     values = sorted(set(values), key=lambda v: tuple((x is not None, x != x, 0 if x is None or x != x else x) for x in v))
-    literal = lambda c, v: F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(df.schema[c].dataType)
+    literal = lambda c, v: F.lit(v).cast(df.schema[c].dataType)
     picked = [values[k * len(values) // n] for k in range(1, min(n, len(values)))]
     picked = [v for v, w in zip(picked, [None, *picked]) if v != w and (len(cols) > 1 or v[0] is not None)]
     return [F.struct(*[literal(c, x).alias(c) for c, x in zip(cols, v)]) if len(cols) > 1 else literal(cols[0], v[0]) for v in picked]

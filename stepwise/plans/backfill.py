@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.nullops import safe_number
-from stepwise.operators.joins import in_ids
+from stepwise.operators.joins import in_ids, join_back
 from stepwise.operators.latest import latest_per_key
 from stepwise.sources.sinks import merge_update, replace_keys
 from stepwise.sources.versions import merge_rows, replace_rows
@@ -31,7 +31,7 @@ def latest_measurements(history: DataFrame, run_blocks: DataFrame, ids, processe
         chooser = chooser.filter(F.col("location_name") != F.lit(exclude_location))
     last_runs = chooser.join(btf, "id_block").groupBy("id_run_growth", "id_block", "step_parameter") \
         .agg(F.max("id_run").alias("id_run"))
-    rows = history.join(last_runs, ["id_block", "step_parameter", "id_run"], "inner")
+    rows = join_back(history, last_runs, ["id_block", "step_parameter", "id_run"])
     cols = [F.col(c) for c in HISTORY_COLUMNS]
     if with_growth:
         cols.append(F.col("id_run_growth").alias("last_growth"))

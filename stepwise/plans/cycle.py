@@ -11,7 +11,7 @@ from stepwise.functions.rules import classify
 from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, local_midnight_of, local_wall, shift, year_week_u,
 )
-from stepwise.operators.joins import any_key_join
+from stepwise.operators.joins import any_key_join, with_parent
 from stepwise.operators.ordered import median_over
 
 
@@ -21,7 +21,7 @@ def shipped_cohort(plates: DataFrame, shipments: DataFrame, blocks: DataFrame, a
     ship time, size family, ``max`` finish/category and the ``%Y-%U`` week of local time + 1 week."""
     lo, hi = local_midnight_of(as_of, tz, days), local_midnight_of(as_of, tz, 0)
     fp = plates.filter(between_instants(plates, "timestamp", lo, hi, False, False))
-    j = fp.join(shipments, "id_final_plate_shipment").join(blocks.select("id_block", "parent_id_block"), "id_block")
+    j = with_parent(fp.join(shipments, "id_final_plate_shipment"), blocks)
     g = j.groupBy("id_block", "parent_id_block", F.col("timestamp").alias("WS_ship_out_time"), "size_family").agg(
         F.max("surface_finish").alias("PIM_surface_finish"), F.max("output_category").alias("PIM_output_category"))
     week = year_week_u(shift(local_wall("WS_ship_out_time", tz), 7, "DAY"))

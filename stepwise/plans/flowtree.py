@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import CARRIAGE_RETURN, pad_position, tsql_concat, tsql_default_width, tsql_plus
+from stepwise.operators.grids import union_sources
 from stepwise.operators.tree import materialize, walk_levels
 
 OUTPUT_COLUMNS = ["RootFlowId", "RootFlowName", "FlowId", "FlowName", "IsAlternate", "PrettyFlowName",
@@ -103,7 +104,7 @@ def flow_tree(flows: DataFrame, subflows: DataFrame, flow_steps: DataFrame, step
         "PrettyPath", "FlowPath", F.lit(None).cast("bigint").alias("StepId"), F.lit(None).cast("string").alias("StepName"),
         F.lit(None).cast("string").alias("PrettyStep"), "Level", "Position", "LogicalName",
         F.lit(0).alias("DisplayOrder"))
-    b = step_rows.unionByName(node_rows)
+    b = union_sources(step_rows, node_rows)
     tree_pos = tsql_plus(F.col("Position"), F.repeat(F.lit("0"), F.lit(3) * (F.lit(top) - F.col("Level"))))
     if tsql_width:
         tree_pos = tsql_default_width(tree_pos, tsql_width)

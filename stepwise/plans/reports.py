@@ -20,7 +20,7 @@ from stepwise.functions.timeops import (
     DEFAULT_TZ, as_utc, between_instants, in_local_dates, instant_of_local_date, local_day_floor,
     local_day_start, local_midnight_of, local_today, ts_literal,
 )
-from stepwise.operators.grids import Period, explode_periods, ordered_dim, rank_by_first, report_grid
+from stepwise.operators.grids import Period, explode_periods, ordered_dim, rank_by_first, report_grid, union_sources
 from stepwise.operators.joins import anti_null_aware
 
 PRODUCT_WEIGHTS = (("1x1", 1), ("2x2", 4), ("D200", 36))
@@ -75,7 +75,7 @@ def throughput_report(log: DataFrame, transitions: DataFrame, shipments: DataFra
     ships = ships.join(dims.select("id_block", "thickness"), "id_block").select(
         F.lit("Plate").alias("unit"), F.col("timestamp").alias("end_time"), F.lit(ship_segment).alias("segment_name"),
         "thickness", "id_block")
-    raw = logged.unionByName(ships).withColumn("master_product", F.lit(products[0][0]))
+    raw = union_sources(logged, ships).withColumn("master_product", F.lit(products[0][0]))
     raw = raw.filter(between_instants(raw, "end_time", lo, as_of))
     raw = raw.withColumn("end_date_PST", local_day_start("end_time", tz))
     raw = raw.withColumn("plate_count", F.when(F.col("unit") == "Block",
@@ -103,7 +103,7 @@ def throughput_report(log: DataFrame, transitions: DataFrame, shipments: DataFra
     grown = _grown(grown_blocks, grown_runs, as_of, periods, products, tz, grown_exclude_seed, block_divisor)
     grown = grown.select(F.lit(grown_label).alias("segment_name"), F.lit(grown_order).alias("step_order"),
                          "col", "master_product", "output")
-    allrows = cells.unionByName(stock_row.select(cells.columns)).unionByName(grown.select(cells.columns))
+    allrows = union_sources(cells, stock_row.select(cells.columns), grown.select(cells.columns))
     allrows = allrows.filter(F.col("segment_name") != F.lit(parent_segment))
     if keep_period is not None:
         allrows = allrows.filter(F.col("col") == F.lit(keep_period))
