@@ -8,8 +8,8 @@ similarity is at least 0.75. Documents with one and the same set are one class f
   with a common subset of size c link when 7 * c >= 3 * (size + size); among the sets of a subset a
   link to the smallest one implies all others, so one link each is whole.
 * *Large sets* scan inverted lists of their prefixes: under one order of all shingles, linked sets
-  share one of their first size - ceil(0.75 * size) + 1. The order puts frequent shingles (found in a
-  bounded sample) last; any order is right, this one keeps lists short.
+  share one of their first size - ceil(0.75 * size) + 1. The order puts frequent shingles (counted in a
+  fixed share of the documents) last; any order is right, this one keeps lists short at every size.
 * *The boundary* minimises the counted cost of both: subsets of all sets up to it against list entries
   above. Sets within 3/4 below the boundary do both, so pairs across it are found in the lists.
 
@@ -51,7 +51,8 @@ SHORT = 32
 BLOCK = 8_192
 #: neighbours of each set that the first round after the star cover verifies
 FIRST_NEAREST = 8
-SAMPLE_DOCS = 4_000
+#: one document in ``SAMPLE_ONE_IN`` shows which shingles are frequent (of small tables ``SAMPLE_DOCS`` of them)
+SAMPLE_DOCS, SAMPLE_ONE_IN = 4_000, 16
 #: classes a task remembers in order to give out their keys once
 REMEMBERED = 200_000
 FREQUENT, FREQUENT_AT = 50_000, 4
@@ -126,7 +127,7 @@ def as_batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
 
 def document_sets(docs: DataFrame, n_docs: int) -> DataFrame:
     """(doc_id, h, n, c, sketch, shingles): hash of the text, size, class and sketch of the set, and for
-    about ``SAMPLE_DOCS`` rows the set itself."""
+    one row in ``SAMPLE_ONE_IN`` the set itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -138,7 +139,7 @@ def document_sets(docs: DataFrame, n_docs: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     text = text_or_empty()
-    sampled = F.pmod(F.xxhash64(text), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0
+    sampled = F.pmod(F.xxhash64(text), F.lit(max(1, min(SAMPLE_ONE_IN, n_docs // SAMPLE_DOCS)))) == 0
     return docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text"), sampled.alias("sampled")).mapInArrow(
         run, f"doc_id {kind}, h long, n long, c long, sketch binary, shingles array<long>")
 
