@@ -1,25 +1,25 @@
 """Operator 7, toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word and are composed into one machine, whose state is
-the product of theirs:
-
-* insult: an insult word puts out its weight;
-* threat: a threat verb puts out its weight once the clause has a target;
-* target: a person addressed or pointed at raises what the clause put out;
-* negation: a negator lowers what the next few words put out;
-* reported speech: a verb of saying lowers what follows it in the clause.
-
-A clause ends at punctuation or a line end. A text's features are sums over its matched clauses, not
-counts of isolated words; a logistic model on them gives the score.
-
-Insult words and stems are a short fixed list plus word beginnings that are learned: of the labelled
-training rows (crc32 of the doc_id as text, modulo 5, not 0; at most ``TRAIN_ROWS`` of them, picked by
-a hash) Spark counts in how many toxic and clean documents each word occurs, sums that over word
-beginnings, and keeps at most ``LEXICON`` with strong log odds. Weights and the logistic model come
-from those rows too. Labels, lang, source and doc_id are never inputs of a score.
-
-Null and empty texts have no clause and get the model's base score. Repeated rows are scored each;
-without labelled rows of both classes the fixed list and fixed coefficients are used.
+Five small transducers read a clause word by word. Each is a table (state, symbol) -> (state, mark):
+
+* insult: an insult word is marked; * threat: a threat verb is marked;
+* target: a person addressed or pointed at makes the clause aimed;
+* negation: a negator reaches the next few words; * reported speech: a verb of saying reaches the rest of the clause.
+
+``compose`` multiplies them into one machine over tuples of their states; an arc's marks are those of its parts. A
+marked word puts out its weight to the **pattern** of its arc: insult or threat, negated or not, reported or not, and
+at the clause's end aimed or not. So a text's features are weights per pattern of matched clauses, not counts of words.
+The weight of each pattern is learned from the labelled rows around a prior: threats count in aimed clauses only,
+aimed insults more than insults at nobody, negated and reported ones less.
+
+A clause ends at punctuation or a line end. Insult words and stems are a short fixed list plus word beginnings that are
+learned: of the labelled training rows (crc32 of the doc_id as text, modulo 5, not 0; at most ``TRAIN_ROWS`` of them,
+picked by a hash) Spark counts in how many toxic and clean documents each word occurs, sums that over word beginnings,
+and keeps at most ``LEXICON`` with strong log odds. Labels, lang, source and doc_id are never inputs of a score.
+
+Null and empty texts have no clause and get the model's base score. Repeated rows are scored each; very long texts
+are read once, clause by clause; empty tables give empty results; columns beyond doc_id and text, whatever their
+names, are not read. Without labelled rows of both classes the fixed list and the prior are used.
 """
 
 from __future__ import annotations
@@ -54,21 +54,90 @@ TARGETS = ("you", "your", "he", "she", "they", "them", "these", "those", "this",
 NEGATORS = ("not", "no", "never", "nobody", "isn", "aren", "don", "nicht", "kein", "keine", "nie", "ne", "pas", "jamais", "nunca")
 REPORTERS = ("said", "says", "called", "wrote", "claimed", "quoted", "sagte", "nannte", "dit", "appelé", "dijo", "llamó")
 FIXED_WEIGHT = 3.0
-#: words a negator reaches, and what negation, report and a target do to the output
-REACH, NEGATED, REPORTED, TARGETED = 3, 0.4, 0.6, 1.25
+#: words a negator reaches
+REACH = 3
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 WORD = re.compile(r"[^\W\d_]+")
-INSULT, THREAT, TARGET, NEGATOR, REPORTER = 1, 2, 3, 4, 5
+OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORTER = range(6)
+SYMBOLS = range(6)
+
+#: a transducer: (state, symbol) -> (next state, mark or None); pairs not listed keep the state and mark nothing
+Table = dict[tuple[int, int], tuple[int, str | None]]
+TRANSDUCERS: dict[str, Table] = {
+    "insult": {(0, INSULT): (0, "insult")},
+    "threat": {(0, THREAT): (0, "threat")},
+    "target": {(0, TARGET): (1, None)},
+    "negation": {**{(s, x): (max(0, s - 1), "negated" if s and x in (INSULT, THREAT) else None) for s in range(REACH + 1) for x in SYMBOLS},
+                 **{(s, NEGATOR): (REACH, None) for s in range(REACH + 1)}},
+    "reported": {(0, REPORTER): (1, None), **{(1, x): (1, "reported") for x in (INSULT, THREAT)}},
+}
+#: what a marked word is, by the marks of its arc and whether its clause is aimed
+PATTERNS = tuple((kind, negated, reported, aimed) for kind in ("insult", "threat") for negated in (False, True)
+                 for reported in (False, True) for aimed in (False, True))
+#: states of the target transducer in which a clause is aimed
+AIMED = 1
+
+
+def step(table: Table, state: int, symbol: int) -> tuple[int, str | None]:
+    return table.get((state, symbol), (state, None))
+
+
+def compose(tables: dict[str, Table]) -> list[list[tuple[int, int]]]:
+    """The product machine: per state and symbol the next state and the pattern put out (-1: none; of an aimed clause the
+    next pattern). State 0 starts a clause; odd and even states don't matter, ``aimed_states`` tells them."""
+    names = list(tables)
+    states: dict[tuple[int, ...], int] = {(0,) * len(names): 0}
+    todo, arcs = [(0,) * len(names)], []
+    for state in todo:
+        line = []
+        for symbol in SYMBOLS:
+            moves = [step(tables[n], s, symbol) for n, s in zip(names, state, strict=True)]
+            to, marks = tuple(m[0] for m in moves), {m[1] for m in moves}
+            if to not in states:
+                states[to] = len(states)
+                todo.append(to)
+            kind = next((k for k in ("insult", "threat") if k in marks), None)
+            line.append((states[to], PATTERNS.index((kind, "negated" in marks, "reported" in marks, False)) if kind else -1))
+        arcs.append(line)
+    return arcs
+
+
+def aimed_states(tables: dict[str, Table]) -> list[bool]:
+    """Which states of ``compose(tables)`` are aimed, in the same order."""
+    names = list(tables)
+    states, todo = {(0,) * len(names)}, [(0,) * len(names)]
+    for state in todo:
+        for symbol in SYMBOLS:
+            to = tuple(step(tables[n], s, symbol)[0] for n, s in zip(names, state, strict=True))
+            if to not in states:
+                states.add(to)
+                todo.append(to)
+    return [s[names.index("target")] == AIMED if "target" in names else False for s in todo]
+
+
+def prior_weights() -> tuple[float, ...]:
+    """Weight of each pattern before learning."""
+    out = []
+    for kind, negated, reported, aimed in PATTERNS:
+        weight = {("insult", True): 1.5, ("insult", False): 1.2, ("threat", True): 1.5, ("threat", False): 0.0}[kind, aimed]
+        out.append(weight * (0.2 if negated else 1.0) * (0.4 if reported else 1.0))
+    return tuple(out)
+
+
+ARCS, AIMS = compose(TRANSDUCERS), aimed_states(TRANSDUCERS)
+BASE = -3.0
 
 
 @dataclass
 class Grammar:
-    """The composed machine: word classes with weights, and the logistic model on its features."""
+    """Word classes with weights, the composed machine, and the weights of its patterns."""
 
     whole: dict[str, float]
     stems: dict[str, float]
-    model: tuple[float, ...] = (-3.0, 1.5, 1.0)
+    model: tuple[float, ...] = (BASE, *prior_weights())
+    arcs: list = field(default_factory=lambda: ARCS)
+    aims: list = field(default_factory=lambda: AIMS)
     known: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -80,52 +149,41 @@ class Grammar:
         if got is None:
             weight = max([self.whole.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in BEGINNINGS if len(word) >= n)])
             kinds = ((THREATS, THREAT), (TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTERS, REPORTER))
-            got = (INSULT, weight) if weight else next(((k, FIXED_WEIGHT) for ws, k in kinds if word in ws), (0, 0.0))
+            got = (INSULT, weight) if weight else next(((k, FIXED_WEIGHT) for ws, k in kinds if word in ws), (OTHER, 0.0))
             if len(self.known) < REMEMBERED:
                 self.known[word] = got
         return got
 
-    def clauses(self, text: str) -> list[float]:
-        """What the machine puts out for each matched clause of a text."""
-        text, symbol = text.lower(), self.symbol
+    def clauses(self, text: str) -> list[dict[int, float]]:
+        """What the machine puts out for each matched clause of a text: pattern -> weight."""
+        text, symbol, arcs, aims = text.lower(), self.symbol, self.arcs, self.aims
         if not any(symbol(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(text))):
             return []
-        out: list[float] = []
-        insult = threat = 0.0
-        target = reported = False
-        negated = 0
-
-        def close() -> None:
-            total = insult + (threat if target else 0.0)
-            if total:
-                out.append(total * (TARGETED if target and insult else 1.0))
-
-        for token in TOKEN.findall(text):
+        out: list[dict[int, float]] = []
+        state, now = 0, {}
+        for token in [*TOKEN.findall(text), "."]:
             if len(token) == 1 and not token.isalpha():
-                close()
-                insult, threat, target, reported, negated = 0.0, 0.0, False, False, 0
+                if now:
+                    out.append({k + aims[state]: w for k, w in now.items()})
+                    now = {}
+                state = 0
                 continue
             kind, weight = symbol(token)
-            if kind in (INSULT, THREAT):
-                weight *= (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-                insult, threat = (insult + weight, threat) if kind == INSULT else (insult, threat + weight)
-            elif kind == TARGET:
-                target = True
-            elif kind == REPORTER:
-                reported = True
-            negated = REACH if kind == NEGATOR else max(0, negated - 1)
-        close()
+            state, pattern = arcs[state][kind]
+            if pattern >= 0:
+                now[pattern] = now.get(pattern, 0.0) + weight
         return out
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Strongest clause, and the log of the sum over clauses."""
-        found = self.clauses(text)
-        return (max(found), float(np.log1p(sum(found)))) if found else (0.0, 0.0)
+    def features(self, text: str) -> list[float]:
+        """Per pattern the log of its weight over all clauses (0 without any)."""
+        sums = [0.0] * len(PATTERNS)
+        for clause in self.clauses(text):
+            for pattern, weight in clause.items():
+                sums[pattern] += weight
+        return [float(np.log1p(s)) if s else 0.0 for s in sums]
 
     def score(self, text: str) -> float:
-        top, total = self.features(text)
-        base, a, b = self.model
-        return float(1 / (1 + np.exp(-(base + a * top + b * total))))
+        return float(1 / (1 + np.exp(-(self.model[0] + sum(w * x for w, x in zip(self.model[1:], self.features(text), strict=True))))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -163,20 +221,23 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[st
     return whole, stems
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps with halving; coefficients of features aren't negative."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 100) -> tuple[float, ...]:
+    """Logistic regression pulled towards ``prior`` (weights of the features), by Newton steps with halving; weights aren't
+    negative, so a clause never excuses a text."""
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.array([1e-6] + [ridge] * (x.shape[1] - 1))
-    w = np.zeros(x.shape[1])
+    towards = np.concatenate([[0.0], prior])
+    w = towards.copy()
 
     def loss(v: np.ndarray) -> float:
         z = x @ v
-        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * v * v))
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * (v - towards) ** 2))
 
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty) + 1e-9 * np.eye(len(w)),
+                               x.T @ (p - y) + penalty * (w - towards))
         size = 1.0
         while size > 1e-6:
             trial = w - size * step
@@ -191,15 +252,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def feature_rows(texts: DataFrame, grammar: Grammar, extra: str) -> DataFrame:
+    """(``extra``, features array) per row of ``texts`` (text, ``extra``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [grammar.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(extra), pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())],
-                names=[extra, "top", "total"])
+            found = [grammar.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(extra), pa.array(found, pa.list_(pa.float64()))], names=[extra, "features"])
 
     kind = dict(texts.dtypes)[extra]
-    return texts.select("text", extra).mapInArrow(run, f"{extra} {kind}, top double, total double")
+    return texts.select("text", extra).mapInArrow(run, f"{extra} {kind}, features array<double>")
 
 
 def train_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
@@ -210,16 +270,17 @@ def train_grammar(docs: DataFrame, labels: DataFrame) -> Grammar:
         return grammar
     whole, stems = learn_lexicon(train, counts[1], counts[0])
     grammar = Grammar({w: max(whole.get(w, 0.0), FIXED_WEIGHT) for w in INSULTS} | whole, stems)
-    got = feature_rows(train, grammar, "toxic").toPandas()  # at most TRAIN_ROWS rows of two numbers
-    grammar.model = fit_logistic(got[["top", "total"]].to_numpy(), got["toxic"].to_numpy(float))
+    got = feature_rows(train, grammar, "toxic").toPandas()  # at most TRAIN_ROWS rows of 16 numbers
+    grammar.model = fit_logistic(np.array(got["features"].tolist()), got["toxic"].to_numpy(float), np.array(prior_weights()))
     return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """(doc_id, score): one row per document."""
-    base, a, b = grammar.model
     rows = feature_rows(docs.select("doc_id", text_or_empty().alias("text")), grammar, "doc_id")
-    return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(base) + F.lit(a) * F.col("top") + F.lit(b) * F.col("total")))))
+    base, *weights = grammar.model
+    parts = F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w)
+    return rows.select("doc_id", (1 / (1 + F.exp(-F.aggregate(parts, F.lit(base), lambda a, x: a + x)))).alias("score"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators 3, 4, 7 and 8, clashing column names, and the pipeline."""
 
 import html
+import random
 import re
 import zlib
 from collections import Counter
@@ -186,13 +187,62 @@ def test_held_out_toxicity(spark):
 
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 4.0}, {"trott": 3.0})
-    plain, negated, said = g.clauses("an idiot"), g.clauses("not an idiot"), g.clauses("he said idiot")
-    assert len(plain) == len(g.clauses("idiot. idiot")) / 2 == 1
-    assert negated[0] < plain[0] and said[0] < g.clauses("he is an idiot")[0]
-    assert g.clauses("I will kill") == [] and g.clauses("I will kill you")
+    plain, negated, said = g.score("an idiot"), g.score("not an idiot"), g.score("he said idiot")
+    assert len(g.clauses("an idiot")) == len(g.clauses("idiot. idiot")) / 2 == 1
+    assert negated < plain < g.score("he is an idiot") and said < g.score("he is an idiot")
+    assert g.score("I will kill") == g.score("") < g.score("I will kill you")
     assert g.clauses("Trottel!") and g.clauses("") == []
 
 
+def alone(text, g):
+    """The patterns of a text's clauses from five readers that run one by one, each over the whole clause."""
+    out = []
+    for clause in re.split(r"[.!?;:,\n]", text.lower()):
+        words = [g.symbol(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        found = {}
+        aimed = any(k == toxicity.TARGET for k, _ in words)
+        for i, (kind, weight) in enumerate(words):
+            if kind in (toxicity.INSULT, toxicity.THREAT):
+                negated = any(k == toxicity.NEGATOR for k, _ in words[max(0, i - toxicity.REACH) : i])
+                reported = any(k == toxicity.REPORTER for k, _ in words[:i])
+                p = ("insult" if kind == toxicity.INSULT else "threat", negated, reported, aimed)
+                found[p] = found.get(p, 0.0) + weight
+        if found:
+            out.append(found)
+    return out
+
+
+def test_composed_machine_equals_its_parts():
+    g, rng = toxicity.Grammar({"idiot": 4.0, "scum": 2.5}, {"trott": 3.0}), random.Random(4)
+    words = ["idiot", "scum", "trottel", "kill", "you", "they", "not", "never", "said", "called", "a", "the", "house", "was", "I"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", "", ".", ",", "!\n"]) for _ in range(rng.randrange(14)))
+        got = [{toxicity.PATTERNS[p]: w for p, w in c.items()} for c in g.clauses(text)]
+        assert got == alone(text, g), text
+
+
+@pytest.mark.parametrize("part", list(toxicity.TRANSDUCERS))
+def test_every_transducer_decides(spark, part):
+    """A corpus whose labels follow the grammar: without any one of the five parts held-out predictions change."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        kind = rng.choice(["idiot", "kill", ""])
+        aimed, negated, said = (rng.random() < 0.5 for _ in range(3))
+        words = [rng.choice(["the", "house", "stands", "over", "water"]) for _ in range(4)]
+        body = ("you " if aimed else "") + ("said that was " if said else "") + ("not " if negated else "") + kind if kind else "all is well"
+        rows.append((i, f"{' '.join(words)}. {body}. {' '.join(words[::-1])}"))
+        labels.append((i, 1, int(bool(kind) and aimed and not negated and not said)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = toxicity.train_grammar(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [(t, y) for (i, t), (_, _, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = [(whole.score(t) >= 0.5) == bool(y) for t, y in held]
+    tables = {n: {} if n == part else t for n, t in toxicity.TRANSDUCERS.items()}
+    without = toxicity.Grammar(whole.whole, whole.stems, whole.model, toxicity.compose(tables), toxicity.aimed_states(tables))
+    less = [(without.score(t) >= 0.5) == bool(y) for t, y in held]
+    assert np.mean(right) > 0.95 and np.mean(less) < np.mean(right) - 0.02
+
+
 def test_toxicity_without_labels(spark, odd_docs, no_docs, no_labels):
     rows = {r.doc_id: r for r in toxicity.judge(odd_docs, no_labels).collect()}
     assert rows[24].predicted == 1 and rows[3].predicted == rows[4].predicted == 0
