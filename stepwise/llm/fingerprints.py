@@ -9,7 +9,9 @@ the likeness corrects for it: (agreement - c) / (1 - c), cut to 0..1.
 
 Fewer words than a shingle: the whole sequence is one shingle. No words (null, empty or blank
 texts): the fingerprint is the empty string, like (1.0) another empty one and unlike (0.0) all
-others. Equal texts have equal fingerprints; the hash has no seed from the run.
+others. Equal texts have equal fingerprints; the hash has no seed from the run. Repeated rows are fingerprinted
+each, very long texts whole; empty tables give empty results. Only doc_id and text are read, so further columns,
+whatever their names, neither disturb nor return.
 """
 
 from __future__ import annotations

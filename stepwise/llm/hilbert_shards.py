@@ -11,7 +11,9 @@ inside the (cell, salt) group, so no window holds a hot source or a large group
 task. Only short metadata rows are shuffled; texts are read once.
 
 Nulls: a null text has size 1 (no bytes) and CRC 0, null metadata take level 0. Repeated rows are
-rows of their own: the order among rows equal in every column doesn't matter.
+rows of their own: the order among rows equal in every column doesn't matter. Of very long texts only the size and
+the CRC are taken; empty tables give empty results. ``shard`` reads doc_id, text, lang and source only; ``write_shards``
+keeps all columns, also ones named like its own.
 """
 
 from __future__ import annotations

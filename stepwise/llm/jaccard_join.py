@@ -23,7 +23,9 @@ allows is both apart and untested. So no link between different components is mi
 thousands of near copies costs a few links and a few sketches each.
 
 Texts without words (or null) have the empty set and are linked with nothing. Repeated rows with words
-are one class. A null doc_id takes part; the component's id is its smallest non-null doc_id.
+are one class. A null doc_id takes part; the component's id is its smallest non-null doc_id. Very long texts
+have long sets, verified whole; empty tables give empty results. ``near_duplicates`` reads doc_id and text only;
+``one_of_each`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ that length, which sequence and offset a piece gets. Ranks are counted on the cl
 salt), so a length that most pieces share is not one task. Token ids never leave their piece row.
 
 Nulls and empty texts have the end id only. Repeated rows are packed each. Cutting never loses an
-id: pieces of a document are consecutive.
+id: pieces of a document are consecutive. Very long texts leave a task in bounded batches; empty tables give
+empty results. Columns beyond doc_id and text, whatever their names, are not read by ``token_pieces``; ``pack`` keeps the
+columns of its pieces, whose names must not be its own (sequence_id, offset).
 """
 
 from __future__ import annotations

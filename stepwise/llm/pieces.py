@@ -11,7 +11,8 @@ text is read as a space. No piece joins a U+2581 to what stands before it and no
 feed, so the text falls into chunks whose segmentations are independent; a task remembers the chunks
 it has met, up to a fixed number.
 
-Null and empty texts have no ids. Decoding the ids gives the text back.
+Null and empty texts have no ids. Decoding the ids gives the text back. Repeated rows are encoded each; very long texts go
+chunk by chunk; empty tables give empty results. Columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ One pass over the texts leaves one short row of counts per document (written to
 references and verdicts read only those rows.
 
 Nulls and empty texts: no words, so the base rule rejects them. Repeated rows are judged each.
-Unknown or null languages are compared with every reference and keep the smallest distance.
+Unknown or null languages are compared with every reference and keep the smallest distance. Very long texts are
+counted whole; empty tables give empty results. Only doc_id, text and lang are read (``accepted`` joins its verdicts back
+by key), so further columns, whatever their names, don't clash.
 """
 
 from __future__ import annotations

@@ -23,7 +23,9 @@ a gram met more often (a passage that a third of all documents hold) goes throug
 map-side combine and a join back that adaptive execution may split.
 
 Null texts are empty, texts shorter than ``DEPTH`` stay whole. A null doc_id sorts last. Rows with the
-same doc_id and text are one document: none is earlier than the other, and both lose the same bytes.
+same doc_id and text are one document: none is earlier than the other, and both lose the same bytes. Very
+long texts are handled whole; empty tables give empty results. Further columns travel in one struct, so
+names that the operator uses itself don't clash.
 """
 
 from __future__ import annotations
