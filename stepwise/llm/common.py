@@ -31,10 +31,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: folders that ``stored`` has written in this program
+_STORED: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this program, and return how many there were. Call it once the results
+    that read them are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    n = len(_STORED)
+    while _STORED:
+        p = path(_STORED.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back: later jobs, and retries
     after a lost executor, read the files and don't repeat the work."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

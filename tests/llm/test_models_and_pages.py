@@ -371,5 +371,15 @@ def test_pipeline_packs_what_the_stages_keep(spark):
     assert len(toxic & {r.doc_id for r in rows}) <= 0.1 * len(toxic) + 1
 
 
+def test_stored_tables_are_cleared_on_request(spark, odd_docs):
+    from stepwise.llm.common import clear_stored, shared_folder
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    count = lambda: sum("to-clear" in f.getPath().getName() for f in fs.listStatus(path))
+    assert stored(odd_docs, "to-clear").count() and count() == 1
+    assert clear_stored(spark) >= 1 and count() == 0 and clear_stored(spark) == 0
+
+
 def test_every_operator_is_registered():
     assert [re.match(r"op(\d+)_", k).group(1) for k in REGISTRY] == [str(i) for i in range(1, 14)]
