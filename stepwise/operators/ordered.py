@@ -28,7 +28,7 @@ from pyspark.sql.types import (BinaryType, BooleanType, DateType, DoubleType, Fl
 _B = "_ob"  # bucket column
 #: rows sampled for splitters, buckets made from a full sample, sampled rows per bucket of a smaller one, and the
 #: characters kept of a text splitter behind the prefix that all values share
-SAMPLE, BUCKETS, SAMPLED_PER_BUCKET, SPLITTER_LENGTH = 65_536, 4_096, 64, 200
+SAMPLE, BUCKETS, SAMPLED_PER_BUCKET, SPLITTER_LENGTH = 65_536, 1_024, 1_024, 200
 
 
 def _names(cols) -> list[str]:

@@ -18,7 +18,8 @@ def bucket_sizes(df, col):
     return sorted(r[0] for r in df.groupBy(order_bucket(df, col, 1).alias("b")).agg(F.count(F.lit(1))).select("count(1)").collect())
 
 
-def test_text_buckets_are_even(spark):
+def test_text_buckets_are_even(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SAMPLED_PER_BUCKET", 64)
     names = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_name")
     prefixed = names.select("c_custkey", F.concat(F.lit("the same long beginning " * 20), "c_name").alias("c_name"))
     for df in (names, prefixed):
@@ -26,7 +27,8 @@ def test_text_buckets_are_even(spark):
         assert len(sizes) > 100 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
 
 
-def test_buckets_rise_with_the_text(spark):
+def test_buckets_rise_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SAMPLED_PER_BUCKET", 64)
     rng = random.Random(2)
     values = [None, "", "a", "é", "日", "z" * 300] + ["".join(rng.choice("abé") for _ in range(rng.randrange(9))) for _ in range(2000)]
     for kind, vs in (("string", values), ("binary", [None if v is None else v.encode() for v in values])):
@@ -36,6 +38,11 @@ def test_buckets_rise_with_the_text(spark):
         assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and got[-1][1] > 5
 
 
+def test_text_buckets_of_a_small_table_are_even_too(spark):
+    sizes = bucket_sizes(spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey", "c_name"), "c_name")
+    assert len(sizes) > 10 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
 @pytest.mark.parametrize("per", [1, 64])
 def test_neighbours_on_a_hot_text_key(spark, monkeypatch, per):
     monkeypatch.setattr(ordered, "SAMPLED_PER_BUCKET", per)  # 1: nearly every value has its own bucket
