@@ -107,3 +107,18 @@ def test_id_lists_take_the_columns_type(spark):
     assert [r.k for r in in_ids(text, "k", [7], negate=True).collect()] == ["a"]
     assert [r.k for r in in_ids(number, "k", [7, None]).collect()] == [7]
     assert in_ids(number, "k", [7, None], negate=True).count() == 0
+
+
+def test_rows_once_per_node_of_the_cover(spark):
+    from stepwise.operators.dyadic import with_cover
+    ranges = [(lo, hi) for lo in range(-9, 20) for hi in range(lo - 1, lo + 20)] + [(-(1 << 40), 1 << 41), (5, (1 << 50) - 1)]
+    df = spark.createDataFrame(ranges, "lo long, hi long")
+    nodes = {}
+    for lo, hi, n in with_cover(df, F.col("lo"), F.col("hi")).select("lo", "hi", "_node").collect():
+        nodes.setdefault((lo, hi), []).append(tuple(n))
+    for lo, hi, array in df.select("lo", "hi", cover(F.col("lo"), F.col("hi"))).collect():
+        mine = sorted((n << level, (n + 1) << level) for level, n in nodes.get((lo, hi), []))
+        assert sorted(map(tuple, array)) == sorted(nodes.get((lo, hi), []))
+        assert len(mine) <= 2 * max(hi - lo + 1, 1).bit_length()
+        ends = [lo] + [e for _, e in mine]
+        assert [s for s, _ in mine] == ends[:-1] and ends[-1] == max(hi + 1, lo)  # gapless, without overlap

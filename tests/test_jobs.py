@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -66,3 +67,67 @@ def test_backfill_chooser_filters_only_the_choice_and_keeps_ties(spark):
                                    "step_name string, step_parameter string, data string, last_growth long")
     out = backfill_latest(target, hist, runs, [1, 2], ["Thin"], exclude_location="WS")
     assert rows(out, "id_block", "id_block_run") == [(None, 3), (1, 100), (1, 101)]
+
+
+def _brute_impact(changes, runs):
+    """J19 by pairs: ``changes`` are (time, parameter, change), all on the runs' only station."""
+    want = {}
+    for rid, rate, s, e in runs:
+        for t, p, d in changes:
+            if s <= t <= e:
+                got = want.setdefault((rid, rate), [[], None])
+                got[0] += [p] if p is not None else []
+                got[1] = got[1] if d is None else (got[1] or 0) + d
+    return {k: (None if d is None else round(d, 6), ",".join(sorted(ps)) or None, len(ps)) for k, (ps, d) in want.items()}
+
+
+def _impact_tables(spark, changes, runs):
+    """One change per source station, each with a first value, so that its change is the difference."""
+    rows = []
+    for i, (t, p, d) in enumerate(changes):
+        rows.append((2 * i, "s", datetime(2000, 1, 1), i, p, "0"))
+        rows.append((2 * i + 1, "s", t, i, p, None if d is None else str(d)))
+    ch = spark.createDataFrame(rows, "id_run long, station_name string, start_time timestamp, id_station long, step_parameter string, step_data string")
+    edges = spark.createDataFrame([(i, 7) for i in range(len(changes))], "source_id_station long, target_id_station long")
+    stations = spark.createDataFrame([(7,)], "id_station long")
+    rr = spark.createDataFrame([(i, r, 7, s, e) for i, r, s, e in runs], "id_run_growth long, mean_growth_rate double, id_station long, start_time timestamp, end_time timestamp")
+    return ch, edges, stations, rr
+
+
+def test_change_impact_equals_pairs(spark):
+    from stepwise.plans.runs import change_impact
+    rnd = random.Random(19)
+    at = lambda: datetime(2024, 1, 1) + timedelta(minutes=rnd.randrange(0, 6 * 1440, 5))  # noqa: E731 - many equal times
+    changes = [(at(), rnd.choice(["a", "b", "cc", None]), rnd.choice([None, 1.5, -2.0, 4.0])) for _ in range(150)]
+    runs = [(k, rnd.choice([1.0, None]), *sorted((at(), at()))) for k in range(40)]
+    t = changes[0][0]
+    runs += [(100, 1.0, t, t), (101, 1.0, t, t + timedelta(hours=1)), (102, 1.0, datetime(2023, 1, 1), datetime(2030, 1, 1)),
+             (103, 1.0, t.replace(hour=0, minute=0), t.replace(hour=23, minute=59)), (104, 1.0, t, t - timedelta(days=1))]
+    runs += [runs[0], runs[40], runs[42], runs[42]]  # equal rows count again
+    for width in (86400, 10 ** 8):
+        out = change_impact(*_impact_tables(spark, changes, runs), since=datetime(2001, 1, 1), time_width=width)
+        got = {(r[0], r[1]): (None if r[2] is None else round(r[2], 6), r[3], r[4]) for r in out.collect()}
+        assert got == _brute_impact(changes, [r for r in runs if r[2] <= r[3]])
+
+
+def test_change_impact_makes_no_pair_per_change_and_run(spark):
+    """1,000 changes and 1,000 runs of one station on one day: no operator may make a row per pair (500,000 would be)."""
+    from stepwise.plans.runs import change_impact
+    day = datetime(2024, 1, 1)
+    changes = [(day + timedelta(seconds=40 * i), "p", 1.0) for i in range(1000)]
+    runs = [(k, 1.0, day, day + timedelta(seconds=40 * k + 1)) for k in range(1000)]
+    df = change_impact(*_impact_tables(spark, changes, runs), since=datetime(2001, 1, 1))
+    assert {r[0]: (r[2], r[3], r[4]) for r in df.collect()} == {k: (k + 1.0, ",".join("p" * (k + 1)), k + 1) for k in range(1000)}
+    # the metrics of the plan that collect() ran, from the final adaptive plan
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 1000 <= most < 60_000

@@ -132,3 +132,10 @@ def test_text_ids(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
     assert [r.k for r in in_ids(df, "k", ["a", "x"]).collect()] == ["a"]
     assert [r.k for r in in_ids(df, "k", ["a"], negate=True).collect()] == ["b"]
+
+
+def test_grouped_sorted_list_with_weights(spark):
+    from stepwise.operators.lists import grouped_sorted_list
+    df = spark.createDataFrame([(1, "b,", 2), (1, "a", 1), (1, "b,", 1), (1, "", 2), (1, None, 4), (1, "z", 0), (2, None, 3), (3, "x", 200_000)], "k int, p string, w long")
+    got = {r.k: (r.lst, r.n) for r in grouped_sorted_list(df, ["k"], "p", "lst", sep=", ", count_name="n", weight="w").collect()}
+    assert got == {1: (", , a, b,, b,, b,", 6), 2: (None, 0), 3: (", ".join(["x"] * 200_000), 200_000)}
