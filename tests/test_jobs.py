@@ -131,3 +131,56 @@ def test_change_impact_makes_no_pair_per_change_and_run(spark):
         most = max(most, rows.get().value() if rows.isDefined() else 0)
         todo += [node.children().apply(i) for i in range(node.children().size())]
     assert 1000 <= most < 60_000
+
+
+def test_change_impact_shuffles_rows_like_changes_plus_runs(spark):
+    """400 changes and 1,500 runs of two days, fifty parameters: a run is shuffled as a few rows with all its parameters, not as
+    one or more per parameter."""
+    from stepwise.plans.runs import change_impact
+    rnd = random.Random(5)
+    at = lambda: datetime(2024, 1, 3) + timedelta(microseconds=rnd.randrange(6 * 86400 * 10**6))
+    changes = [(at(), f"p{rnd.randrange(50)}", float(rnd.randrange(9))) for _ in range(400)]
+    runs = [(k, 1.0, t - timedelta(days=2), t) for k, t in enumerate(at() for _ in range(1500))]
+    df = change_impact(*_impact_tables(spark, changes, runs), since=datetime(2001, 1, 1))
+    assert {(r[0], r[1]): (round(r[2], 6), r[3], r[4]) for r in df.collect()} == _brute_impact(changes, runs)
+    written, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        rows = node.metrics().get("shuffleRecordsWritten")
+        written += rows.get().value() if rows.isDefined() else 0
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert 1500 <= written < 40_000
+
+
+def test_change_impact_of_stations_with_many_rows(spark):
+    """A station with most of the rows is spread over id buckets, one with a few is not: both have the same LAG."""
+    from stepwise.plans.runs import change_impact
+    rnd = random.Random(8)
+    day = datetime(2024, 1, 1)
+    log = [(i, "s", day + timedelta(hours=rnd.randrange(90)), rnd.choice([1] * 40 + [2, 3, 4, 5, None]), rnd.choice(["a", "b", None]), str(rnd.randrange(50)))
+           for i in rnd.sample(range(5000), 400)]
+    log += [(i, "s", day, 1, "a", d) for i, d in ((6000, "n/a"), (6001, "7"), (None, "3"))]
+    runs = [(k, 1.0, 70 + k % 2, s, s + timedelta(hours=rnd.randrange(60))) for k, s in enumerate(day + timedelta(hours=rnd.randrange(90)) for _ in range(50))]
+    edges = [(s, 70 + s % 2) for s in (1, 2, 3, 4)] * 2 + [(1, 70), (None, 70), (5, 99)]
+    df = change_impact(
+        spark.createDataFrame(log, "id_run long, station_name string, start_time timestamp, id_station long, step_parameter string, step_data string"),
+        spark.createDataFrame(edges, "source_id_station long, target_id_station long"), spark.createDataFrame([(70,), (71,)], "id_station long"),
+        spark.createDataFrame(runs, "id_run_growth long, mean_growth_rate double, id_station long, start_time timestamp, end_time timestamp"),
+        id_width=500)
+    number = lambda d: None if d == "n/a" else float(d)
+    want, last = {}, {}
+    for i, _, t, s, p, d in sorted(log, key=lambda r: (r[0] is not None, r[0] or 0)):
+        before, last[s, p] = last.get((s, p)), number(d)
+        change = None if before is None or number(d) is None else number(d) - before
+        for target in {e[1] for e in edges if e[0] == s and s is not None}:
+            for k, rate, station, lo, hi in runs:
+                if station == target and lo <= t <= hi:
+                    of = want.setdefault(k, [[], None])
+                    of[0] += [p] if p is not None else []
+                    of[1] = of[1] if change is None else (of[1] or 0) + change
+    assert {r[0]: (r[2], r[3], r[4]) for r in df.collect()} == {k: (d, ",".join(sorted(ps)) or None, len(ps)) for k, (ps, d) in want.items()}
