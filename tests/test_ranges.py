@@ -27,7 +27,7 @@ def test_range_totals_equal_pairs(spark):
     r = spark.createDataFrame(ranges, "key long, lo long, hi long, n int")
     for top in (0, 3, 6, 11, 40):
         got = {}
-        for n, items, counts, total in range_totals(p, r.filter("hi - lo < 9000") if top == 0 else r, top).collect():
+        for total, n, items, counts in range_totals(p, r.filter("hi - lo < 9000") if top == 0 else r, top).collect():
             of = got.setdefault(n, [{}, None])
             for item, c in zip(items, counts, strict=True):
                 of[0][item] = of[0].get(item, 0) + c
